@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe_transducer import decode_ids, encode_texts
 from .common import read
 from .token_counts import token_counts
 
@@ -15,8 +17,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decode_ids(encode_texts(docs, path), path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "valid_utf8"
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_token_counts,)}
+    return {f.__name__: f for f in (op6_token_counts, op8_bpe_transducer)}
 
 
 def oracle_sql() -> dict[str, str]:
