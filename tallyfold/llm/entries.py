@@ -9,9 +9,20 @@ from pyspark.sql import functions as F
 
 from .bpe_transducer import decode_ids, encode_texts
 from .common import read
+from .range_shards import range_shards
 from .token_counts import token_counts
 
 
+def op4_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    return range_shards(docs, key="text_crc32", tie="doc_id", size="size", shards=16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -26,7 +37,7 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_token_counts, op8_bpe_transducer)}
+    return {f.__name__: f for f in (op4_range_shards, op6_token_counts, op8_bpe_transducer)}
 
 
 def oracle_sql() -> dict[str, str]:
