@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 from .bpe_transducer import decode_ids, encode_texts
 from .common import read
+from .isolation_rules import BASE, quality_verdicts
 from .range_shards import range_shards
 from .token_counts import token_counts
 
 
+def op3_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return verdicts.select("doc_id", *BASE, "base_failed", "kept", "anomaly")
+
+
 def op4_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = read(spark, sf_dir, "documents").select(
@@ -37,7 +43,7 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_range_shards, op6_token_counts, op8_bpe_transducer)}
+    return {f.__name__: f for f in (op3_isolation_rules, op4_range_shards, op6_token_counts, op8_bpe_transducer)}
 
 
 def oracle_sql() -> dict[str, str]:
