@@ -31,8 +31,9 @@ from .common import map_texts, prepare
 from .pretokens import pretoken_lists
 
 #: Pre-tokens and transitions that a Python worker remembers; a full memo starts anew.
-REMEMBERED_WORDS = 250_000
-REMEMBERED_MOVES = 800_000
+REMEMBERED_WORDS = 150_000
+REMEMBERED_MOVES = 350_000
+REMEMBERED_PAIRS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,8 +55,9 @@ class Transducer:
 
     def forget(self) -> None:
         # A state: the token before the pending bytes, the pending bytes, and for each place (an offset
-        # into them) at which a token may still start, the offset of the last token's start.
-        start = (b"", b"", ((0, -1),))
+        # into them) where tokens meet: the start of the token that ends there, and whether a token may
+        # still start there.
+        start = (b"", b"", ((0, -1, True),))
         self.states, self.numbers = [start], {start: 0}
         self.moves: dict[int, tuple[int, tuple[bytes, ...]]] = {}
 
@@ -119,7 +121,7 @@ class Transducer:
             return start in self.starts
         found = self.open.get((prev, start))
         if found is None:
-            if len(self.open) > REMEMBERED_MOVES:
+            if len(self.open) > REMEMBERED_PAIRS:
                 self.open.clear()
             found, k, n = False, bisect_right(self.ordered, start), len(self.ordered)
             while k < n and (t := self.ordered[k]).startswith(start):
@@ -134,42 +136,49 @@ class Transducer:
         """The state after one more byte and the tokens that it settles."""
         before, pending, places = self.states[number]
         data = pending + bytes([byte])
-        last = dict(places)  # offset -> start of the token that ends there
         end = len(data)
-        for s, p in places:  # earliest start first: the longest token
-            if (t := data[s:]) in self.ranks and ((prev := data[p:s] if p >= 0 else before) == b"" or self.stands(prev, t)):
-                last[end] = s
-                break
+        last = {}  # offset -> start of the token that ends there
+        living = []
+        for s, p, lives in places:
+            last[s] = p
+            if lives:
+                living.append(s)
+        for s in living:  # earliest start first: the longest token
+            if (t := data[s:]) in self.ranks:
+                prev = before if s == 0 else data[last[s] : s]
+                if not prev or self.stands(prev, t):
+                    last[end] = s
+                    break
         # Offsets on the way back from each place that still lives; those on all ways are settled.
         needed, o = {end}, end
         while o > 0:
             o = last[o]
             needed.add(o)
-        common = needed.copy()
-        for o, p in places:
-            if self.may_follow(data[p:o] if p >= 0 else before, data[o:]):
-                way = {o}
-                while o > 0:
-                    o = last[o]
-                    way.add(o)
-                common = common & way
-                needed |= way
+        common, living = needed.copy(), [s for s in living if self.may_follow(before if s == 0 else data[last[s] : s], data[s:])]
+        for o in living:
+            way = {o}
+            while o > 0:
+                o = last[o]
+                way.add(o)
+            common &= way
+            needed |= way
         settled = max(common)
-        out = []
-        o = settled
+        out, o = [], settled
         while o > 0:
             out.append(data[last[o] : o])
             o = last[o]
         out.reverse()
-        if out:
+        living.append(end)
+        if settled not in living:
+            before = None  # no token starts here any more, so what stands before no longer matters
+        elif out:
             before = out[-1]
-        needed = sorted(o for o in needed if o >= settled)
-        state = (before, data[settled:], tuple((o - settled, last[o] - settled if o > settled else -1) for o in needed))
+        state = (before, data[settled:], tuple((o - settled, last[o] - settled if o > settled else -1, o in living) for o in sorted(needed) if o >= settled))
         found = self.numbers.setdefault(state, len(self.states))
         if found == len(self.states):
             self.states.append(state)
-        self.moves[number << 8 | byte] = found, tuple(out)
-        return found, tuple(out)
+        move = self.moves[number << 8 | byte] = found, tuple(out)
+        return move
 
     def encode(self, data: bytes) -> list[bytes]:
         """Tokens of one pre-token."""
@@ -182,7 +191,7 @@ class Transducer:
             if move[1]:
                 out += move[1]
         _, pending, places = self.states[state]
-        last, tail, o = dict(places), [], len(pending)
+        last, tail, o = {s: p for s, p, _ in places}, [], len(pending)
         while o > 0:
             tail.append(pending[last[o] : o])
             o = last[o]
