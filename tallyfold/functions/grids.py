@@ -15,20 +15,30 @@ BRIGHTEST = 765
 BANDS = 4
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once: inside a lambda, a plain column expression would be
+    worked out again for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _permuted(values: Column, width: Column, height: Column, kind: str) -> Column:
     """The grid after a transform, by picking the source cell of each cell."""
     if kind == "none":
         return values
     across = height if kind in TURNED else width  # width of the result
-    def source(i: Column) -> Column:
+
+    def source(i: Column, cells: Column) -> Column:
         r, c = (i / across).cast("int"), i % across
         row, col = {
             "hflip": (r, width - 1 - c), "rot180": (height - 1 - r, width - 1 - c), "vflip": (height - 1 - r, c), "transpose": (c, r),
             "rot90": (height - 1 - c, r), "transverse": (height - 1 - c, width - 1 - r), "rot270": (c, width - 1 - r),
         }[kind]
-        return F.element_at(values, (row * width + col + 1).cast("int"))
+        return F.element_at(cells, (row * width + col + 1).cast("int"))
+
+    def all_cells(v: Column) -> Column:
+        return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda i: source(i, v))).otherwise(v)
 
-    return F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.size(values) - 1), source)).otherwise(values)
+    return _once(values, all_cells)
 
 
 def grid_digest(values: Column) -> Column:
@@ -45,26 +55,24 @@ def rothash(values: str = "values", width: str = "width", height: str = "height"
 def cell_bits(values: str = "values", brightest: int = BRIGHTEST) -> Column:
     """Block-mean hash of a grid whose cells are the blocks: a bit for each cell, set if it is above the
     median of its band of rows; near the median only if that is above half of the brightest."""
-    v = F.col(values)
-    band = (F.size(v) / BANDS).cast("int")
+    def hashed(v: Column) -> Column:
+        band = (F.size(v) / BANDS).cast("int")
 
-    def median(b: int) -> Column:
-        part = F.array_sort(F.slice(v, F.lit(b) * band + 1, band))
-        n = F.size(part)
-        low, high = F.element_at(part, ((n + 1) / 2).cast("int")), F.element_at(part, (n / 2).cast("int") + 1)
-        return (low + high) / 2
+        def median(b: int) -> Column:
+            part = F.array_sort(F.slice(v, F.lit(b) * band + 1, band))
+            n = F.size(part)
+            return (F.element_at(part, ((n + 1) / 2).cast("int")) + F.element_at(part, (n / 2).cast("int") + 1)) / 2
 
-    medians = F.array(*[median(b) for b in range(BANDS)])
+        def bits(known: Column) -> Column:
+            def bit(x: Column, i: Column) -> Column:
+                m = F.element_at(known["medians"], F.least((i / known["band"]).cast("int"), F.lit(BANDS - 1)) + 1)
+                return F.when((x > m) | ((F.abs(x - m) < 1) & (m > brightest / 2)), "1").otherwise("0")
 
-    def bits(of_band: Column) -> Column:
-        def bit(x: Column, i: Column) -> Column:
-            m = F.element_at(of_band, F.least((i / band).cast("int"), F.lit(BANDS - 1)) + 1)
-            return F.when((x > m) | ((F.abs(x - m) < 1) & (m > brightest / 2)), "1").otherwise("0")
+            return F.array_join(F.transform(v, bit), "")
 
-        return F.array_join(F.transform(v, bit), "")
+        return _once(F.struct(F.array(*[median(b) for b in range(BANDS)]).alias("medians"), band.alias("band")), bits)
 
-    # The medians are bound by a lambda, so that they are worked out once and not for every cell.
-    return F.element_at(F.transform(F.array(medians), bits), 1)
+    return _once(F.col(values), hashed)
 
 
 def block_bits(values: np.ndarray, width: int, height: int, n: int, brightest: int = BRIGHTEST) -> str:
