@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe_transducer import decode_ids, encode_texts
 from .common import read
 from .isolation_rules import BASE, quality_verdicts
+from .line_templates import drop_recurring_lines
 from .range_shards import range_shards
 from .token_counts import token_counts
 
@@ -42,8 +43,12 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_isolation_rules, op4_range_shards, op6_token_counts, op8_bpe_transducer)}
+    return {f.__name__: f for f in (op3_isolation_rules, op4_range_shards, op6_token_counts, op8_bpe_transducer, op9_line_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
