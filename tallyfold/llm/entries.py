@@ -13,6 +13,7 @@ from .isolation_rules import BASE, quality_verdicts
 from .line_templates import drop_recurring_lines
 from .range_shards import range_shards
 from .token_counts import token_counts
+from .weighted_near_dup import near_duplicate_classes
 
 
 def op3_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_weighted_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,7 +53,7 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_isolation_rules, op4_range_shards, op6_token_counts, op8_bpe_transducer, op9_line_templates)}
+    return {f.__name__: f for f in (op3_isolation_rules, op4_range_shards, op6_token_counts, op7_weighted_near_dup, op8_bpe_transducer, op9_line_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
