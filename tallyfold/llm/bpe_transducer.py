@@ -31,8 +31,8 @@ from .common import map_texts, prepare
 from .pretokens import pretoken_lists
 
 #: Pre-tokens and transitions that a Python worker remembers; a full memo starts anew.
-REMEMBERED_WORDS = 150_000
-REMEMBERED_MOVES = 350_000
+REMEMBERED_WORDS = 200_000
+REMEMBERED_MOVES = 900_000
 REMEMBERED_PAIRS = 200_000
 
 
@@ -42,6 +42,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def pack(before: bytes | None, pending: bytes, places: list[tuple[int, int, bool]]) -> bytes:
+    """A state as one bytes object: memory is what bounds the number of states."""
+    head = struct.pack("<HH", 0xFFFF if before is None else len(before), len(pending))
+    return head + (before or b"") + pending + b"".join(struct.pack("<HhB", *x) for x in places)
+
+
+def unpack(state: bytes) -> tuple[bytes | None, bytes, list[tuple[int, int, bool]]]:
+    n, m = struct.unpack_from("<HH", state)
+    before, at = (None, 4) if n == 0xFFFF else (state[4 : 4 + n], 4 + n)
+    return before, state[at : at + m], [(o, p, bool(x)) for o, p, x in struct.iter_unpack("<HhB", state[at + m :])]
+
+
 class Transducer:
     """Lazily determinised encoder for one rank table."""
 
@@ -57,9 +69,10 @@ class Transducer:
         # A state: the token before the pending bytes, the pending bytes, and for each place (an offset
         # into them) where tokens meet: the start of the token that ends there, and whether a token may
         # still start there.
-        start = (b"", b"", ((0, -1, True),))
+        start = pack(b"", b"", [(0, -1, True)])
         self.states, self.numbers = [start], {start: 0}
-        self.moves: dict[int, tuple[int, tuple[bytes, ...]]] = {}
+        self.moves: dict[int, int] = {}  # state and byte -> state
+        self.emits: dict[int, tuple[bytes, ...]] = {}  # the same, where tokens are emitted
 
     def merged(self, data: bytes, below: float = float("inf")) -> list[bytes]:
         """Encoding by merging the lowest rank first, with ranks under ``below`` only: the
@@ -132,9 +145,9 @@ class Transducer:
             self.open[prev, start] = found
         return found
 
-    def step(self, number: int, byte: int) -> tuple[int, tuple[bytes, ...]]:
-        """The state after one more byte and the tokens that it settles."""
-        before, pending, places = self.states[number]
+    def step(self, number: int, byte: int) -> int:
+        """The state after one more byte; the tokens that it settles go to ``emits``."""
+        before, pending, places = unpack(self.states[number])
         data = pending + bytes([byte])
         end = len(data)
         last = {}  # offset -> start of the token that ends there
@@ -173,24 +186,28 @@ class Transducer:
             before = None  # no token starts here any more, so what stands before no longer matters
         elif out:
             before = out[-1]
-        state = (before, data[settled:], tuple((o - settled, last[o] - settled if o > settled else -1, o in living) for o in sorted(needed) if o >= settled))
+        state = pack(before, data[settled:], [(o - settled, last[o] - settled if o > settled else -1, o in living) for o in sorted(needed) if o >= settled])
         found = self.numbers.setdefault(state, len(self.states))
         if found == len(self.states):
             self.states.append(state)
-        move = self.moves[number << 8 | byte] = found, tuple(out)
-        return move
+        self.moves[number << 8 | byte] = found
+        if out:
+            self.emits[number << 8 | byte] = tuple(out)
+        return found
 
     def encode(self, data: bytes) -> list[bytes]:
         """Tokens of one pre-token."""
         if len(self.moves) > REMEMBERED_MOVES:
             self.forget()
-        state, out, moves = 0, [], self.moves
+        state, out, moves, emits = 0, [], self.moves, self.emits
         for byte in data:
-            move = moves.get(state << 8 | byte) or self.step(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-        _, pending, places = self.states[state]
+            key = state << 8 | byte
+            state = moves.get(key)
+            if state is None:
+                state = self.step(key >> 8, byte)
+            if key in emits:
+                out += emits[key]
+        _, pending, places = unpack(self.states[state])
         last, tail, o = {s: p for s, p, _ in places}, [], len(pending)
         while o > 0:
             tail.append(pending[last[o] : o])
