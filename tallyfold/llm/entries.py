@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe_transducer import decode_ids, encode_texts
 from .common import read
+from .edit_windows import found_items
 from .isolation_rules import BASE, quality_verdicts
 from .line_templates import drop_recurring_lines
 from .range_shards import range_shards
@@ -31,6 +32,11 @@ def op4_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_edit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = found_items(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("found") > 0).alias("contaminated"), F.col("found.item_id").alias("item_ids"), F.col("found.edits").alias("edits"), F.col("found.word").alias("words"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -53,7 +59,7 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_isolation_rules, op4_range_shards, op6_token_counts, op7_weighted_near_dup, op8_bpe_transducer, op9_line_templates)}
+    return {f.__name__: f for f in (op3_isolation_rules, op4_range_shards, op5_edit_windows, op6_token_counts, op7_weighted_near_dup, op8_bpe_transducer, op9_line_templates)}
 
 
 def oracle_sql() -> dict[str, str]:

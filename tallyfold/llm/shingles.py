@@ -46,16 +46,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def folded() -> tuple[np.ndarray, np.ndarray]:
+    """Byte values and separators for words that differ in neither case nor punctuation (ASCII)."""
+    code = np.arange(256)
+    upper = (code >= 65) & (code <= 90)
+    values = _BYTE[np.where(upper, code + 32, code)]
+    word = upper | ((code >= 97) & (code <= 122)) | ((code >= 48) & (code <= 57)) | (code >= 128)
+    return values, ~word
+
+
+def word_hashes(texts: list[bytes], values: np.ndarray = _BYTE, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and the number of words of each text."""
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     n = len(data)
     size = 1 << max(16, (n - 1).bit_length())
     power, inverse = _powers(size)
-    space = _SPACE[data]
+    space = separators[data]
     total = np.empty(n + 1, dtype=np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
+    np.cumsum(values[data] * power[:n], out=total[1:])
     edge = np.diff(space.astype(np.int8), prepend=1)
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     ends = ends[1:] if len(ends) > len(starts) else ends
