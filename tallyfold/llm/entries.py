@@ -11,12 +11,23 @@ from .bpe_transducer import decode_ids, encode_texts
 from .common import read
 from .edit_windows import found_items
 from .isolation_rules import BASE, quality_verdicts
+from .language_id import fit_text_model, page_declared, page_host, page_text, with_language
 from .line_templates import drop_recurring_lines
 from .range_shards import range_shards
 from .token_counts import token_counts
 from .weighted_near_dup import near_duplicate_classes
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (declared language, source) and pages (markup language, host of the address)."""
+    docs, pages = read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages")
+    none = F.lit(None).cast("long")
+    rows = docs.select("doc_id", none.alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host")).unionByName(
+        pages.select(none.alias("doc_id"), "page_id", page_text(F.col("html")).alias("text"), page_declared(F.col("html")).alias("declared"), page_host(F.col("url")).alias("host"))
+    )
+    return with_language(rows, fit_text_model(docs, "text", "lang"), "text", "declared", "host", keep_text=False)
+
+
 def op3_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return verdicts.select("doc_id", *BASE, "base_failed", "kept", "anomaly")
@@ -59,7 +70,7 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_isolation_rules, op4_range_shards, op5_edit_windows, op6_token_counts, op7_weighted_near_dup, op8_bpe_transducer, op9_line_templates)}
+    return {f.__name__: f for f in (op1_language_id, op3_isolation_rules, op4_range_shards, op5_edit_windows, op6_token_counts, op7_weighted_near_dup, op8_bpe_transducer, op9_line_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
