@@ -277,19 +277,11 @@ def _of(table: DataFrame, nodes: DataFrame) -> DataFrame:
     return table.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes, "node", "left_semi")
 
 
-def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``key``, ``class_id`` (the smallest key in the class) and ``class_size`` (rows) for each row of ``docs``.
-
-    Texts are in one class if a chain of links joins them; a link is a weighted Jaccard
-    similarity of ``similarity`` or more.  Equal texts with a word are in one class.  Rows
-    without any word (null, empty, blank) are each in a class of their own, with their own
-    key as its id; null keys come after others and stand in only where a class has no other.
-    Repeated rows get equal results.  Other columns are left out; an empty table gives an
-    empty result.
-    """
-    spark = docs.sparkSession
-    own = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("node", F.unhex(F.md5("text")))
-    n = docs.count()
+def _labelled(own: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``node`` (a key of the text), and ``node, label`` of texts that are linked to others."""
+    spark = own.sparkSession
+    own = own.withColumn("node", F.unhex(F.md5("text")))
+    n = own.count()
     weights = spark.sparkContext.broadcast(Weights(n, *frequent_shingles(own, "text", n)))
     signed = cut(signatures(own, weights, BANDS, ROWS).groupBy("node").agg(F.first("keys").alias("keys")), "signatures")
     members = cut(_members(signed), "members")
@@ -316,9 +308,43 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     if not more.isEmpty():
         labels = cut(components(links.unionByName(more)), "labels")
 
+    return own, labels
+
+
+def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``key``, ``class_id`` (the smallest key in the class) and ``class_size`` (rows) for each row of ``docs``.
+
+    Texts are in one class if a chain of links joins them; a link is a weighted Jaccard
+    similarity of ``similarity`` or more.  Equal texts with a word are in one class.  Rows
+    without any word (null, empty, blank) are each in a class of their own, with their own
+    key as its id; null keys come after others and stand in only where a class has no other.
+    Repeated rows get equal results.  Other columns are left out; an empty table gives an
+    empty result.
+    """
+    own, labels = _labelled(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), similarity)
     blank = F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) == 0, F.lit(True))
     rows = own.select("key", "node", blank.alias("blank")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     spoken = rows.where("NOT blank")
     sizes = spoken.groupBy("label").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size"))
     classed = spoken.select("key", "label").join(sizes, "label").select("key", "class_id", "class_size")
     return classed.unionByName(rows.where("blank").select("key", F.col("key").alias("class_id"), F.lit(1).cast("long").alias("class_size"))).withColumnRenamed("key", key)
+
+
+def keep_one_of_each_class(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` less all but one of each class: that with the smallest key stays (of equal keys the
+    smallest text's; of repeated rows one).  Rows without a word all stay.  Columns stay as they are."""
+    _, labels = _labelled(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), similarity)
+    body = F.col(text).cast("string")
+    own = docs.withColumn("__node", F.unhex(F.md5(body)))
+    spoken = F.coalesce(F.length(F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")) > 0, F.lit(False))
+    # Rows of one text and key, then texts, then classes: only keys are shuffled to find what stays.
+    rows = own.where(spoken).groupBy(F.col("__node").alias("node"), F.col(key).alias("first")).agg(F.count("*").alias("same"))
+    order = F.struct(F.col("first").isNull(), "first")
+    texts = rows.groupBy("node").agg(F.min_by(F.struct("first", "same"), order).alias("x")).select("node", "x.first", "x.same")
+    classed = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    best = F.min_by(F.struct("node", "first", "same"), F.struct(F.col("first").isNull(), "first", "node"))
+    kept = cut(classed.groupBy("label").agg(best.alias("x")).select(F.col("x.node").alias("__kept"), F.col("x.first").alias("__first"), F.col("x.same").alias("__same")), "kept")
+    stay = own.where(spoken).join(kept, (F.col("__node") == F.col("__kept")) & F.col(key).eqNullSafe(F.col("__first")))
+    if not kept.where("__same > 1").isEmpty():  # rows that repeat both key and text: one of them stays
+        stay = stay.dropDuplicates(["__node"])
+    return stay.select(*docs.columns).unionByName(own.where(~spoken).select(*docs.columns))
