@@ -16,7 +16,9 @@ hash.  Samples are banded; texts that share a band are compared exactly.
 Links.  In each bucket all texts are compared with its first one.  Texts that are then
 in different components are compared with each other, which settles the rest; pairs
 inside one component need no comparison.  An overfull bucket is parted by longer bands
-of more samples, which let fewer texts below the threshold meet.
+of more samples, which let fewer texts below the threshold meet; before that, texts that
+can have no link, because too much of their weight is in shingles that no other text of
+the overfull buckets has, are left out.
 """
 
 from __future__ import annotations
@@ -59,15 +61,17 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> U(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _merge_chunks(batches):
-    """Sums of packed count arrays by chunk; what it holds is bounded by the number of chunks."""
+def _merge_chunks(batches, least: int | None = None):
+    """Sums of packed count arrays by chunk, or bits that say which reach ``least``; what it holds is bounded
+    by the number of chunks."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             counts = np.frombuffer(data, dtype="<u4").astype(np.uint64)
             total[c] = total[c] + counts if c in total else counts
     for c, counts in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.minimum(counts, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["chunk", "counts"])
+        packed = np.packbits(counts >= least) if least else np.minimum(counts, 2**32 - 1).astype("<u4")
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=["chunk", "counts"])
 
 
 def frequent_shingles(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,16 +93,10 @@ def frequent_shingles(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, n
     packed = "chunk int, counts binary"
     # Two merges: many tasks' arrays first meet in several places per chunk.
     made = narrow.mapInArrow(slots, packed).withColumn("part", F.spark_partition_id() % 16)
-    merged = made.repartition("chunk", "part").select("chunk", "counts").mapInArrow(_merge_chunks, packed).repartition("chunk").mapInArrow(_merge_chunks, packed)
-
-    def bits(batches):
-        for batch in batches:
-            for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                flags = np.packbits(np.frombuffer(data, dtype="<u4") >= least)
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([flags.tobytes()], pa.binary())], names=["chunk", "counts"])
-
+    merged = made.repartition("chunk", "part").select("chunk", "counts").mapInArrow(_merge_chunks, packed)
+    flagged = merged.repartition("chunk").mapInArrow(lambda batches: _merge_chunks(batches, least), packed)
     rows: dict[int, np.ndarray] = {}
-    for r in merged.mapInArrow(bits, packed).collect():  # 2^SLOT_BITS bits in all
+    for r in flagged.collect():  # 2^SLOT_BITS bits in all
         part = np.frombuffer(bytes(r["counts"]), dtype=np.uint8)
         rows[r["chunk"]] = rows[r["chunk"]] | part if r["chunk"] in rows else part
     if not rows:
@@ -183,7 +181,7 @@ def samples(h: np.ndarray, weights: np.ndarray, counts: np.ndarray, n: int) -> n
         best = np.minimum.reduceat(keys, starts) & U(0xFFFFFFFF)
         draw, at = best >> U(16), (best >> U(11)) & U(LEVELS - 1)
         step = t[(at << U(16) | draw).astype(np.int64)].astype(np.uint64)
-        out[d] = mix((draw << U(11) | (best & U(0x7FF))) + (step << U(32)) + U(d) * U(0x9E3779B97F4A7C15))
+        out[d] = mix((draw << U(11) | (best & U(0x7FF))) + (step << U(32)) + U(d * 0x9E3779B97F4A7C15 % (1 << 64)))
     return out.T
 
 
@@ -227,48 +225,88 @@ def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndar
 
 
 def vectors(texts: DataFrame, weights) -> DataFrame:
-    """``node, hashes, weights`` as packed numbers, for rows (``text, node``)."""
+    """``node``, its shingles' ``hashes`` and ``times`` as packed numbers, and its ``total`` weight, for rows (``text, node``)."""
 
     def run(batches):
         w = weights.value
         for batch, a, b, group in _text_groups(batches):
             h, times, counts = distinct_shingles(group)
-            value = w.of(h, times)
+            value = np.r_[0, np.cumsum(w.of(h, times))]
             ends = np.cumsum(counts)
+            times = times.astype("<u4")
             yield pa.RecordBatch.from_arrays([
                 batch.column(1).slice(a, b - a),
                 pa.array([h[e - c : e].tobytes() for e, c in zip(ends, counts)], pa.binary()),
-                pa.array([value[e - c : e].tobytes() for e, c in zip(ends, counts)], pa.binary()),
-            ], names=["node", "hashes", "weights"])
+                pa.array([times[e - c : e].tobytes() for e, c in zip(ends, counts)], pa.binary()),
+                pa.array(value[ends] - value[ends - counts]),
+            ], names=["node", "hashes", "times", "total"])
 
-    return texts.select("text", "node").mapInArrow(run, "node binary, hashes binary, weights binary")
+    return texts.select("text", "node").mapInArrow(run, "node binary, hashes binary, times binary, total double")
 
 
-def verified(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, known: DataFrame, weights, similarity: float) -> DataFrame:
     """The pairs ``a, b`` that are similar enough."""
-    left = known.select(F.col("node").alias("a"), F.col("hashes").alias("ha"), F.col("weights").alias("wa"))
-    right = known.select(F.col("node").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
+    left = known.select(F.col("node").alias("a"), F.col("hashes").alias("ha"), F.col("times").alias("ta"))
+    right = known.select(F.col("node").alias("b"), F.col("hashes").alias("hb"), F.col("times").alias("tb"))
 
     def run(batches):
+        w = weights.value
+
+        def vector(h: bytes, t: bytes) -> tuple[np.ndarray, np.ndarray]:
+            hashes = np.frombuffer(h, U)
+            return hashes, w.of(hashes, np.frombuffer(t, "<u4"))
+
         for batch in batches:
-            rows = [batch.column(k).to_pylist() for k in range(2, 6)]
-            keep = [
-                weighted_jaccard(np.frombuffer(ha, U), np.frombuffer(wa), np.frombuffer(hb, U), np.frombuffer(wb)) >= similarity - 1e-9
-                for ha, wa, hb, wb in zip(*rows)
-            ]
+            keep, last, mine = [], None, None
+            for a, ha, ta, hb, tb in zip(*[batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5)]):
+                if a != last:
+                    last, mine = a, vector(ha, ta)
+                keep.append(weighted_jaccard(*mine, *vector(hb, tb)) >= similarity - 1e-9)
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "wa", "hb", "wb")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "ta", "hb", "tb")
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def lone_weights(known: DataFrame, weights) -> DataFrame:
+    """``node, lone``: weight of the shingles that no other text of ``known`` has."""
+
+    def run(batches):
+        w = weights.value
+        for batch in batches:
+            for node, hashes, times in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                h = np.frombuffer(hashes, U)
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(h), pa.binary()), pa.array(h.view(np.int64)), pa.array(w.of(h, np.frombuffer(times, "<u4")))], names=["node", "h", "w"])
+
+    rows = known.select("node", "hashes", "times").mapInArrow(run, "node binary, h long, w double")
+    once = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.max("w").alias("w")).where("n = 1")
+    return once.groupBy("node").agg(F.sum("w").alias("lone"))
+
+
+def linkable(known: DataFrame, weights, similarity: float, rounds: int = 3) -> DataFrame:
+    """``known`` with ``lone``, less texts that no other text can be similar to: a pair shares none of either
+    one's lone weight, so a text with over 1 - similarity of its weight alone has no link.  Leaving such texts
+    out makes more shingles lone, hence the rounds."""
+    for _ in range(rounds):
+        n = known.count()
+        lone = lone_weights(known, weights)
+        known = cut(known.drop("lone").join(lone, "node", "left").fillna({"lone": 0.0}).where(F.col("lone") <= (1 - similarity) * F.col("total") + 1e-9), "linkable")
+        if known.count() == n:
+            break
+    return known
+
+
 # --- classes -------------------------------------------------------------------------------------
 
-def _members(signed: DataFrame) -> DataFrame:
-    """``node, band, key, n, pivot`` of the texts that share a bucket with another."""
-    rows = signed.select("node", F.posexplode("keys").alias("band", "key"))
-    shared = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
+def _members(signed: DataFrame, first: str | None = None) -> DataFrame:
+    """``node, band, key, n, pivot`` of the texts that share a bucket with another; the pivot is the text with
+    the smallest ``first`` (a column of ``signed``) and then node."""
+    rank = [first] if first else []
+    rows = signed.select("node", *rank, F.posexplode("keys").alias("band", "key"))
+    least = F.min(F.struct(*rank, "node")).getField("node")
+    shared = rows.groupBy("band", "key").agg(F.count("*").alias("n"), least.alias("pivot")).where("n > 1")
+    rows = rows.drop(*rank)
     return rows.join(shared, ["band", "key"])
 
 
@@ -287,24 +325,35 @@ def _labelled(own: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     members = cut(_members(signed), "members")
     hot = cut(members.where(F.col("n") > FULL).select("node").distinct(), "hot")
     members = members.where(F.col("n") <= FULL).drop("n")
+    bounds = None
     if not hot.isEmpty():
-        one_each = _of(own, hot).groupBy("node").agg(F.first("text").alias("text"))
-        fine = _members(signatures(one_each, weights, FINE_BANDS, FINE_ROWS)).withColumn("band", F.col("band") + BANDS).drop("n")
-        members = members.unionByName(fine.select(*members.columns))
-        members = cut(members, "fine-members")
+        one_each = cut(_of(own, hot).groupBy("node").agg(F.first("text").alias("text")), "hot-texts")
+        able = linkable(cut(vectors(one_each, weights), "hot-vectors"), weights, similarity)
+        bounds = able.select("node", "lone")
+        fine_signed = signatures(one_each.join(able.select("node"), "node", "left_semi"), weights, FINE_BANDS, FINE_ROWS)
+        fine = _members(fine_signed.join(bounds, "node"), "lone").withColumn("band", F.col("band") + BANDS).drop("n")
+        members = cut(members.unionByName(fine.select(*members.columns)), "fine-members")
     nodes = cut(members.select("node").distinct(), "nodes")
     known = cut(vectors(_of(own, nodes).groupBy("node").agg(F.first("text").alias("text")), weights), "vectors")
+    size = known.select("node", "total")
+    size = size.join(bounds, "node", "left") if bounds is not None else size.withColumn("lone", F.lit(None).cast("double"))
 
-    stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(verified(stars, known, similarity), "links")
+    stars = members.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    links = cut(verified(stars, known, weights, similarity), "links")
     labels = cut(components(links), "labels")
-    # Buckets that still hold several components: their texts are compared across components.
+    # Buckets that still hold several components: their texts are compared across components, where the
+    # weights allow a link (lone weights hold for the fine buckets, whose texts are all from one set).
     placed = members.select("band", "key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band", "key")
-    apart = cut(placed.join(mixed, ["band", "key"]), "apart")
-    other = apart.select("band", "key", F.col("node").alias("b"), F.col("label").alias("other"))
-    across = apart.join(other, ["band", "key"]).where("label < other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    more = cut(verified(across.join(stars, ["a", "b"], "left_anti"), known, similarity), "more-links")
+    lone = F.when(F.col("band") >= BANDS, F.col("lone")).otherwise(0.0)
+    apart = cut(placed.join(mixed, ["band", "key"]).join(size, "node").withColumn("lone", F.coalesce(lone, F.lit(0.0))), "apart")
+    other = apart.select("band", "key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("total").alias("total_b"), F.col("lone").alias("lone_b"))
+    most = F.least(F.col("total") - F.col("lone"), F.col("total_b") - F.col("lone_b")) / F.greatest(F.col("total") + F.col("lone_b"), F.col("total_b") + F.col("lone"))
+    across = (
+        apart.alias("l").join(other.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("label") < F.col("other")) & (most >= similarity - 1e-9))
+        .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    )
+    more = cut(verified(across.join(stars, ["a", "b"], "left_anti"), known, weights, similarity), "more-links")
     if not more.isEmpty():
         labels = cut(components(links.unionByName(more)), "labels")
 
