@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe_transducer import decode_ids, encode_texts
 from .common import read
+from .context_mixing import language_model_scores
 from .edit_windows import found_items
 from .isolation_rules import BASE, quality_verdicts
 from .language_id import fit_text_model, page_declared, page_host, page_text, with_language
@@ -28,6 +29,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_language(rows, fit_text_model(docs, "text", "lang"), "text", "declared", "host", keep_text=False)
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return verdicts.select("doc_id", *BASE, "base_failed", "kept", "anomaly")
@@ -70,7 +75,7 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op3_isolation_rules, op4_range_shards, op5_edit_windows, op6_token_counts, op7_weighted_near_dup, op8_bpe_transducer, op9_line_templates)}
+    return {f.__name__: f for f in (op1_language_id, op2_context_mixing, op3_isolation_rules, op4_range_shards, op5_edit_windows, op6_token_counts, op7_weighted_near_dup, op8_bpe_transducer, op9_line_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
