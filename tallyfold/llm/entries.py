@@ -15,6 +15,7 @@ from .isolation_rules import BASE, quality_verdicts
 from .language_id import fit_text_model, page_declared, page_host, page_text, with_language
 from .line_templates import drop_recurring_lines
 from .range_shards import range_shards
+from .suffix_repeats import without_repeats
 from .token_counts import token_counts
 from .weighted_near_dup import near_duplicate_classes
 
@@ -74,8 +75,15 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_context_mixing, op3_isolation_rules, op4_range_shards, op5_edit_windows, op6_token_counts, op7_weighted_near_dup, op8_bpe_transducer, op9_line_templates)}
+    return {f.__name__: f for f in (op1_language_id, op2_context_mixing, op3_isolation_rules, op4_range_shards, op5_edit_windows, op6_token_counts, op7_weighted_near_dup, op8_bpe_transducer, op9_line_templates, op10_suffix_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
