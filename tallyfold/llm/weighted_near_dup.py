@@ -38,9 +38,9 @@ from .shingles import U, distinct_shingles, mix
 
 SIMILARITY = 0.8
 #: Bands and samples per band: chance to miss a pair at 0.8 is (1 - 0.8^4)^12 = 0.2 %; in overfull buckets
-#: (more than FULL texts) (1 - 0.8^12)^100 = 0.08 %.
+#: (more than FULL texts) (1 - 0.8^10)^60 = 0.11 %.
 BANDS, ROWS = 12, 4
-FINE_BANDS, FINE_ROWS, FULL = 100, 12, 48
+FINE_BANDS, FINE_ROWS, FULL = 60, 10, 48
 RARE = 1000
 SLOT_BITS = 21
 CHUNKS = 64
