@@ -10,7 +10,7 @@ SAMPLINGS keys are tried, and every meeting is verified by the exact edit distan
 Walks start only where they can lead to an item.  k edits leave all but k of any words of
 an item in place, so of its k + NEED rarest words (rarest in the benchmark) a window must
 hold NEED; windows that don't are passed over without loss.  Words are compared without
-ASCII case and punctuation, by 64-bit hashes.
+case and ASCII punctuation, by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str]):
         values, separators = folded()
-        words, counts = word_hashes([x.encode() for x in texts], values, separators)
+        words, counts = word_hashes([x.casefold().encode() for x in texts], values, separators)
         ends = np.cumsum(counts)
         keep = [i for i in range(len(texts)) if counts[i] >= SHORTEST]
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -207,39 +207,24 @@ def found_items(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     docs = docs.drop("found")
     prepare(docs.sparkSession)
     one = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("word", T.LongType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField("found", T.ArrayType(one))])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("word", pa.int64())]))
-    place = docs.columns.index(text)
-    out = None
+    place, names, out = docs.columns.index(text), [], docs
     for block in _blocks(items.where(F.col(item_key).isNotNull()), item_key, item_text):
+        names.append(f"__found{len(names)}")
+        schema = T.StructType([*out.schema.fields, T.StructField(names[-1], T.ArrayType(one))])
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, columns=schema.names):
             for batch in batches:
-                texts = [(x or "").encode() for x in batch.column(place).to_pylist()]
+                texts = [(x or "").casefold().encode() for x in batch.column(place).to_pylist()]
                 found = []
                 for a, b in slices([len(x) for x in texts], 2_000_000):
                     for hits in shared.value.hits(texts[a:b]):
                         found.append([{"item_id": i, "edits": e, "word": w} for i, (e, w) in sorted(hits.items())])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=columns)
 
-        if out is None:
-            out = docs.mapInArrow(run, schema)
-        else:  # a later block's finds are added to those of the rows so far
-            out = out.withColumnRenamed("found", "__found").mapInArrow(_adding(run, place), T.StructType([*docs.schema.fields, T.StructField("__found", T.ArrayType(one)), T.StructField("found", T.ArrayType(one))]))
-            out = out.withColumn("found", F.array_sort(F.concat("__found", "found"))).drop("__found")
-    return out
-
-
-def _adding(run, place: int):
-    """The block's search over rows that carry one more column at the end."""
-
-    def more(batches):
-        for batch in batches:
-            for done in run(iter([batch])):
-                yield pa.RecordBatch.from_arrays(done.columns, names=[*batch.schema.names, "found"])
-
-    return more
+        out = out.mapInArrow(run, schema)
+    return out.withColumn("found", F.array_sort(F.concat(*names)) if len(names) > 1 else F.col(names[0])).drop(*names)
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:

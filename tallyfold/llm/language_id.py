@@ -41,12 +41,12 @@ for _b in range(256):
 
 def trigram_cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Cells of all trigrams of all texts in order, and how many each text has."""
-    data = _letters[np.frombuffer(b"  ".join(texts) + b"   ", dtype=np.uint8)].astype(np.uint32)
+    data = _letters[np.frombuffer(b"  " + b"  ".join(texts) + b"   ", dtype=np.uint8)].astype(np.uint32)
     codes = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
-    # Runs of blanks say nothing, nor do trigrams that start in one text and end in the next (they hold both blanks).
+    # Runs of blanks say nothing.  A trigram belongs to the text that its middle lies in; two blanks part the texts.
     keep = ~((data[1:-1] == 32) & ((data[:-2] == 32) | (data[2:] == 32)))
-    starts = np.cumsum([0] + [len(t) + 2 for t in texts])
-    counts = np.diff(np.r_[0, np.cumsum(keep)][np.minimum(starts, len(keep))])
+    middles = np.cumsum([1] + [len(t) + 2 for t in texts])
+    counts = np.diff(np.r_[0, np.cumsum(keep)][np.minimum(middles, len(keep))])
     cells = (codes[keep] * np.uint32(2654435761)) >> np.uint32(32 - CELLS_BITS)
     return cells, counts
 

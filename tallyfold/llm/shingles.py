@@ -47,7 +47,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def folded() -> tuple[np.ndarray, np.ndarray]:
-    """Byte values and separators for words that differ in neither case nor punctuation (ASCII)."""
+    """Byte values and separators for words that differ in neither ASCII case nor punctuation."""
     code = np.arange(256)
     upper = (code >= 65) & (code <= 90)
     values = _BYTE[np.where(upper, code + 32, code)]
