@@ -14,8 +14,8 @@ from ..schema import EXTRA, FILES, IMAGES, LISTING
 def read_inventory(spark: SparkSession, roots: list[str], content: bool = False) -> DataFrame:
     """Regular files under the roots: ``path, inode, size, mtime_ns, error`` (and ``content``).
 
-    The file source leaves out names that start with ``_`` or ``.``, knows no inode (0) and
-    times only to the millisecond; use a ready listing (:func:`read_listing`) where these matter.
+    The file source leaves out empty files and names that start with ``_`` or ``.``, knows no
+    inode (0) and times only to the millisecond; use a ready listing (:func:`read_listing`) where these matter.
     Without ``content`` the files are listed and not read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)

@@ -82,9 +82,9 @@ def test_index_round_trip(spark, tmp_path):
 def test_inventory_of_a_folder(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.txt").write_bytes(b"hello world")
-    (tmp_path / "b").write_bytes(b"")
+    (tmp_path / "b").write_bytes(b"x")
     rows = {r["path"]: r for r in inventory.read_inventory(spark, [str(tmp_path)], content=True).collect()}
-    assert {p: r["size"] for p, r in rows.items()} == {str(tmp_path / "d" / "a.txt"): 11, str(tmp_path / "b"): 0}
+    assert {p: r["size"] for p, r in rows.items()} == {str(tmp_path / "d" / "a.txt"): 11, str(tmp_path / "b"): 1}
     df = digests.with_digests(inventory.read_inventory(spark, [str(tmp_path / "d")], content=True), "content")
     assert df.first()["md5"] == "5eb63bbbe01eeed093cb22bb8f5acdc3"
     assert predicates.kib(F.col("size")) is not None
