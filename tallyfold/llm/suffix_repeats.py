@@ -32,9 +32,11 @@ from .shingles import _BASE, _BYTE, _powers, mix
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM + 1
-GROUP_BYTES = 2_000_000
-#: Text behind each bucket of anchors, and behind each shard of stretches, about.
-BUCKET_BYTES, SHARD_BYTES = 16_000_000, 16_000_000
+#: Text in a row of the group table, and of what is worked on at once.
+GROUP_BYTES, SLICE_BYTES = 16_000_000, 2_000_000
+#: Text behind each bucket of anchors, and behind each shard of stretches, about.  Suffix order takes about 100
+#: bytes of memory for each byte of a shard, and a shard may hold twice the bytes that stand behind it.
+BUCKET_BYTES, SHARD_BYTES = 16_000_000, 2_000_000
 NO_KEY = np.iinfo(np.int64).max  # a null key comes after all others
 U = np.uint64
 
@@ -86,6 +88,16 @@ class Group:
     def __init__(self, keys: bytes, sizes: bytes, texts: bytes):
         self.keys, self.sizes, self.data = unpack(keys), unpack(sizes), unpack(texts, np.uint8)
 
+    def anchors(self) -> list[np.ndarray]:
+        """As the function of this name, for all texts of the group, slice by slice."""
+        ends = np.cumsum(self.sizes)
+        parts = []
+        for a, b in slices(self.sizes.tolist(), SLICE_BYTES):
+            start = int(ends[a] - self.sizes[a])
+            h, owner, low, high = anchors(self.data[start : ends[b - 1]], self.sizes[a:b])
+            parts.append((h, owner + a, low + start, high + start))
+        return [np.concatenate(x) for x in zip(*parts)]
+
     def bucket_of(self, h: np.ndarray, n: int) -> np.ndarray:
         return (h % U(n)).astype(np.int64)
 
@@ -129,7 +141,7 @@ def dealt_anchors(groups: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for gid, keys, sizes, texts in zip(*[batch.column(k).to_pylist() for k in range(4)]):
                 g = Group(keys, sizes, texts)
-                h, owner, _, _ = anchors(g.data, g.sizes)
+                h, owner, _, _ = g.anchors()
                 b = g.bucket_of(h, buckets)
                 order = np.argsort(b, kind="stable")
                 edges = np.searchsorted(b[order], np.arange(buckets + 1))
@@ -171,7 +183,7 @@ def stretches(groups: DataFrame, flags: DataFrame, buckets: int, shards: int) ->
         for batch in batches:
             for gid, keys, sizes, texts, marked in zip(*[batch.column(k).to_pylist() for k in range(5)]):
                 g = Group(keys, sizes, texts)
-                h, owner, low, high = anchors(g.data, g.sizes)
+                h, owner, low, high = g.anchors()
                 b = g.bucket_of(h, buckets)
                 order = np.argsort(b, kind="stable")
                 edges = np.searchsorted(b[order], np.arange(buckets + 1))
@@ -260,14 +272,14 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             for keys, nulls, sizes, texts, marked in zip(*[batch.column(k).to_pylist() for k in range(5)]):
                 g = Group(keys, sizes, texts)
                 nulls = unpack(nulls, bool)
-                edge = np.zeros(len(g.data) + 1, dtype=np.int64)
+                edge = np.zeros(len(g.data) + 1, dtype=np.int32)
                 for m in marked or []:
                     _, first, end = unpack(m).reshape(3, -1)
                     np.add.at(edge, first, 1)
                     np.add.at(edge, end, -1)
-                gone = np.cumsum(edge[:-1]) > 0
+                gone = np.cumsum(edge, out=edge)[:-1] > 0
                 ends = np.cumsum(g.sizes)
-                for a, b in slices(g.sizes.tolist(), GROUP_BYTES):
+                for a, b in slices(g.sizes.tolist(), SLICE_BYTES):
                     spans, kept = [], []
                     for e, n in zip(ends[a:b], g.sizes[a:b]):
                         own = np.diff(np.r_[0, gone[e - n : e].view(np.int8), 0])

@@ -105,22 +105,28 @@ def test_codes_are_prefix_free_and_bits_match():
     sure = sum(2.0 ** -codes.length[k] for k in range(4))
     assert abs(sure - 1) < 1e-9 and abs(sum(2.0 ** -codes.length[k] for k in range(4, 4 + 257)) - 1) < 1e-9
     texts = [[b"the", b"new", b"\n"], [b"\n"], [b"x\0y", b"of", b"\n"]]
-    *_, bit, per_text = codes.bits(texts)
-    want = [codes.length[0] + codes.length[3] + sum(codes.length[4 + b] for b in b"new") + codes.length[4 + 256] + codes.length[1], codes.length[1]]
-    assert per_text[:2].tolist() == want and len(bit) == per_text.sum()
+    _, _, bit, n, per_text = codes.bits(texts)
+    assert per_text.tolist() == [1 + 4 + 1 + 1 - 0, 1, 1 + 4 + 1 + 1] and len(bit) == n.sum()
+    want = [codes.length[0], codes.length[3], *[codes.length[4 + b] for b in b"new"], codes.length[4 + 256], codes.length[1]]
+    assert n[:7].tolist() == want
 
 
-def test_mixture_sums_to_one():
-    """All texts of a tiny language: the probabilities of both values of each bit add up to one."""
+def test_mixture_sums_to_one_and_order_within_a_code_is_free():
+    """The probabilities of both values of the last bit add up to one; bits of one step may come in any order."""
     rng = np.random.default_rng(0)
-    inputs = rng.normal(size=(50, 3, context_mixing.PREDICTORS)).astype(np.float32)
-    gate = rng.integers(0, context_mixing.GATES, (50, 3))
-    bit = rng.integers(0, 2, (50, 3)).astype(np.uint8)
+    steps, lanes, deep = 20, 3, 5
+    lane = np.tile(np.repeat(np.arange(lanes), deep), steps)
+    gate = np.tile(np.arange(deep), steps * lanes)
+    inputs = rng.normal(size=(len(lane), context_mixing.PREDICTORS)).astype(np.float32)
+    bit = rng.integers(0, 2, len(lane)).astype(np.uint8)
+    edges = np.arange(0, len(lane) + 1, lanes * deep)
     mixer = context_mixing.Mixer.fresh()
     flipped = bit.copy()
-    flipped[-1] = 1 - flipped[-1]  # up to the last bit both runs are the same
-    a, b = mixer.run(inputs, gate, bit), mixer.run(inputs, gate, flipped)
-    assert np.allclose(a[:-1], b[:-1]) and np.allclose(np.exp(a[-1]) + np.exp(b[-1]), 1, atol=1e-5)
+    flipped[-1] = 1 - flipped[-1]
+    a, b = (mixer.run(inputs, lane, gate, x, edges, lanes)[0] for x in (bit, flipped))
+    assert np.allclose(a[:-1], b[:-1]) and abs(np.exp(a[-1]) + np.exp(b[-1]) - 1) < 1e-5
+    one_by_one = mixer.run(inputs, lane, gate, bit, np.arange(len(lane) + 1), lanes)[0]
+    assert np.allclose(a, one_by_one, atol=1e-6)
 
 
 # --- 3 quality -----------------------------------------------------------------------------------
@@ -459,6 +465,7 @@ def test_repeats(spark, docs, odd, none, monkeypatch):
     monkeypatch.setattr(suffix_repeats, "BUCKET_BYTES", 40_000)
     monkeypatch.setattr(suffix_repeats, "SHARD_BYTES", 40_000)
     monkeypatch.setattr(suffix_repeats, "GROUP_BYTES", 30_000)
+    monkeypatch.setattr(suffix_repeats, "SLICE_BYTES", 7_000)
     rng = random.Random(10)
     passage = "".join(rng.choices("abcde fgh", k=130))
     rows = [(i, "".join(rng.choices("xyz ", k=rng.randrange(0, 150))) + passage[rng.randrange(60) : rng.randrange(70, 130)] + "".join(rng.choices("uvw ", k=40))) for i in range(60)]
