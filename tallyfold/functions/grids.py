@@ -116,7 +116,9 @@ def apply_orientation(df: DataFrame, transform: str = "transform") -> DataFrame:
     for kind in list(TRANSFORMS.values())[1:]:
         out = F.when(t == kind, _permuted(v, w, h, kind)).otherwise(out)
     turned = t.isin(*TURNED)
-    return df.withColumns({"values": out, "width": F.when(turned, h).otherwise(w), "height": F.when(turned, w).otherwise(h)})
+    # In one step, names inside a lambda would be taken for the new width and height.
+    done = df.withColumn("values", out).withColumns({"__width": F.when(turned, h).otherwise(w), "__height": F.when(turned, w).otherwise(h)})
+    return done.withColumns({"width": F.col("__width"), "height": F.col("__height")}).drop("__width", "__height")
 
 
 def image_records(df: DataFrame) -> DataFrame:
