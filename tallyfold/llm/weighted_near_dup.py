@@ -274,13 +274,18 @@ def lone_weights(known: DataFrame, weights) -> DataFrame:
 
     def run(batches):
         w = weights.value
-        for batch in batches:
-            for node, hashes, times in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                h = np.frombuffer(hashes, U)
-                yield pa.RecordBatch.from_arrays([pa.array([node] * len(h), pa.binary()), pa.array(h.view(np.int64)), pa.array(w.of(h, np.frombuffer(times, "<u4")))], names=["node", "h", "w"])
-
-    rows = known.select("node", "hashes", "times").mapInArrow(run, "node binary, h long, w double")
-    once = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.max("w").alias("w")).where("n = 1")
+        for batch in batches:  # shingles of a batch meet here first: one row each, with how many texts have it
+            hashes = [np.frombuffer(x, U) for x in batch.column(1).to_pylist()]
+            times = np.concatenate([np.frombuffer(x, "<u4") for x in batch.column(2).to_pylist()] or [np.empty(0, "<u4")])
+            flat = np.concatenate(hashes or [np.empty(0, U)])
+            owner = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
+            h, first, n = np.unique(flat, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner[first])), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(w.of(h, times[first]))], names=["node", "h", "n", "w"]
+            )
+
+    rows = known.select("node", "hashes", "times").mapInArrow(run, "node binary, h long, n long, w double")
+    once = rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("node").alias("node"), F.max("w").alias("w")).where("n = 1")
     return once.groupBy("node").agg(F.sum("w").alias("lone"))
 
 
