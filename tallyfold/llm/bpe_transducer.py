@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, prepare
+from .common import claim, map_texts, prepare, remembers
 from .pretokens import pretoken_lists
 
 #: Pre-tokens and transitions that a Python worker remembers; a full memo starts anew.
@@ -287,6 +287,9 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+remembers(__name__, lambda: _encoder.cache_clear())
+
+
 @lru_cache(2)
 def _token_bytes(path: str) -> list[bytes]:
     ranks = read_ranks(path)
@@ -323,6 +326,7 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", chunk: int = 1 << 16)
     names = schema.names
 
     def run(batches):
+        claim(__name__)
         vocabulary = _token_bytes(path)
         for batch in batches:
             decoded, valid = [], []

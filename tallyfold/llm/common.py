@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,6 +22,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def remembers(name: str, forget: Callable[[], None]) -> None:
+    """Tell how to drop what an operator keeps in a Python worker."""
+    _memories[name] = forget
+
+
+def claim(name: str) -> None:
+    """Called when a task begins.  Spark uses Python workers again for later stages: what other operators keep in
+    this one is dropped, so that memory does not add up over a pipeline."""
+    dropped = [forget() for owner, forget in list(_memories.items()) if owner != name]
+    if dropped:
+        gc.collect()
+
+
 def prepare(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long rows (a batch is also bounded in bytes)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -77,7 +94,10 @@ def map_texts(
     arrow = to_arrow_schema(schema)
     types = [f.type for f in arrow][len(keep):]
 
+    owner = function.__module__
+
     def run(batches):
+        claim(owner)
         for batch in batches:
             texts = [x or "" for x in batch.column(0).to_pylist()]
             kept = batch.columns[1:]

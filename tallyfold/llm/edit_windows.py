@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, slices
+from .common import claim, prepare, slices
 from .shingles import U, folded, mix, word_hashes
 
 #: Edits allowed per word of an item, and words of the shortest item that is looked for.
@@ -215,6 +215,7 @@ def found_items(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared, columns=schema.names):
+            claim(__name__)
             for batch in batches:
                 texts = [(x or "").casefold().encode() for x in batch.column(place).to_pylist()]
                 found = []

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, prepare, slices
+from .common import claim, cut, prepare, slices
 
 CELLS_BITS = 16
 #: Labelled rows that the text model is fitted on, about; most languages, by number of rows; fewest rows of one.
@@ -52,6 +52,7 @@ def trigram_cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _groups(batches, column: int, most: int = 500_000):
+    claim(__name__)
     for batch in batches:
         texts = [(x or "").encode() for x in batch.column(column).to_pylist()]
         for a, b in slices([len(x) for x in texts], most):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import map_texts, remembers
 from .pretokens import pretoken_lists
 
 NONE = np.int64(1 << 40)
@@ -117,6 +117,9 @@ def _table(path: str) -> tuple[MergeTable, dict[str, int]]:
     return MergeTable(path), {}
 
 
+remembers(__name__, lambda: _table.cache_clear())
+
+
 def count_batch(texts: list[str], path: str) -> list[int]:
     """Tokens of each text; strings of special tokens inside a text are one token each."""
     table, known = _table(path)

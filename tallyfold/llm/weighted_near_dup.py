@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, prepare, slices
+from .common import claim, cut, prepare, remembers, slices
 from .components import components
 from .shingles import U, distinct_shingles, mix
 
@@ -51,6 +51,7 @@ BROADCAST_ROWS = 500_000
 # --- document frequencies ------------------------------------------------------------------------
 
 def _text_groups(batches, column: int = 0, most: int = 400_000):
+    claim(__name__)
     for batch in batches:
         texts = [(x or "").encode() for x in batch.column(column).to_pylist()]
         for a, b in slices([len(x) for x in texts], most):
@@ -164,6 +165,9 @@ def _draws() -> tuple[np.ndarray, np.ndarray]:
     return (code << U(32) | low).ravel(), t.astype(np.int64).ravel()
 
 
+remembers(__name__, lambda: _draws.cache_clear())
+
+
 @lru_cache(2)
 def _factors(n: int) -> np.ndarray:
     return np.random.default_rng(11).integers(0, 1 << 63, n, dtype=np.uint64) * U(2) + U(1)
