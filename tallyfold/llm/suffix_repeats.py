@@ -34,9 +34,9 @@ LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM + 1
 #: Text in a row of the group table, and of what is worked on at once.
 GROUP_BYTES, SLICE_BYTES = 16_000_000, 2_000_000
-#: Text behind each bucket of anchors, and behind each shard of stretches, about.  Suffix order takes about 100
-#: bytes of memory for each byte of a shard, and a shard may hold twice the bytes that stand behind it.
-BUCKET_BYTES, SHARD_BYTES = 16_000_000, 2_000_000
+#: Text behind each bucket of anchors; bytes of all stretches in a shard (suffix order takes about 100 bytes of
+#: memory for each of the different ones), and of a stretch, about.
+BUCKET_BYTES, SHARD_BYTES, STRETCH = 16_000_000, 4_000_000, 66
 NO_KEY = np.iinfo(np.int64).max  # a null key comes after all others
 U = np.uint64
 
@@ -170,6 +170,7 @@ def shared_anchors(table: pa.Table) -> pa.Table:
     return pa.table({
         "gid": table.column("gid"), "bucket": table.column("bucket"),
         "flags": pa.array([np.packbits(f).tobytes() if f.any() else None for f in flags], pa.binary()),
+        "n": pa.array([int(f.sum()) for f in flags], pa.int64()),
     })
 
 
@@ -215,31 +216,51 @@ def repeated_windows(table: pa.Table) -> pa.Table:
     gids = np.repeat(np.array(table.column("gid").to_pylist()), [x.shape[1] for x in numbers])
     owner, key, low, count = np.concatenate(numbers, axis=1)
     data = np.concatenate([unpack(x, np.uint8) for x in table.column("texts").to_pylist()])
+    # Equal stretches are sorted once, under the smallest of their keys; all others of them go whole.
     size = count + LENGTH - 1
+    ends = np.cumsum(size)
+    raw, seen = data.tobytes(), {}
+    alike = np.array([seen.setdefault(raw[e - n : e], len(seen)) for e, n in zip(ends.tolist(), size.tolist())], dtype=np.int64)
+    smallest = np.full(len(seen), NO_KEY)
+    np.minimum.at(smallest, alike, key)
+    data = np.frombuffer(b"".join(seen), dtype=np.uint8)
+    size = np.array([len(x) for x in seen], dtype=np.int64)
+    del raw, seen
     begin = np.cumsum(size) - size
     stretch = np.repeat(np.arange(len(size)), size)
     inside = np.arange(len(data)) - begin[stretch]
     order = suffix_order(data)
-    order = order[inside[order] < count[stretch[order]]]  # starts of whole windows, in suffix order
+    order = order[inside[order] <= size[stretch[order]] - LENGTH]  # starts of whole windows, in suffix order
     wide = eights(data)
     same = np.ones(len(order) - 1, dtype=bool)
     for k in (0, 8, 16, 24, 32, 40, LENGTH - 8):  # a common prefix of LENGTH bytes with the neighbour before
         w = wide[order + k]
         same &= w[1:] == w[:-1]
     starts = np.flatnonzero(np.r_[True, ~same])
-    own = key[stretch[order]]
+    own = smallest[stretch[order]]
     least = np.repeat(np.minimum.reduceat(own, starts), np.diff(np.r_[starts, len(order)]))
     gone = np.sort(order[own > least])
-    if not len(gone):
-        return pa.table({"gid": pa.array([], pa.int64()), "runs": pa.array([], pa.binary())})
     s = stretch[gone]
-    new = np.flatnonzero(np.r_[True, (np.diff(gone) != 1) | (np.diff(s) != 0)])
-    last = np.r_[new[1:], len(gone)] - 1
-    first = low[s[new]] + inside[gone[new]]
-    runs = np.stack([owner[s[new]], first, first + (gone[last] - gone[new]) + LENGTH])
-    of = gids[s[new]]
-    ids = np.unique(of)
-    return pa.table({"gid": pa.array(ids), "runs": pa.array([pack(runs[:, of == g]) for g in ids], pa.binary())})
+    new = np.flatnonzero(np.r_[True, (np.diff(gone) != 1) | (np.diff(s) != 0)]) if len(gone) else np.empty(0, dtype=np.int64)
+    last = np.r_[new[1:], len(gone)] - 1 if len(new) else new
+    of_run, first, end = s[new], inside[gone[new]], inside[gone[last]] + LENGTH
+    # Back to the occurrences: whole stretches, and the runs of those that hold the smallest key.
+    whole = np.flatnonzero(key > smallest[alike])
+    kept = np.flatnonzero(key == smallest[alike])
+    n_runs = np.bincount(of_run, minlength=len(size))
+    before = np.cumsum(n_runs) - n_runs
+    each = n_runs[alike[kept]]
+    run = np.repeat(before[alike[kept]], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    at = np.r_[whole, np.repeat(kept, each)]
+    runs = np.stack([owner[at], low[at] + np.r_[np.zeros(len(whole), dtype=np.int64), first[run]], low[at] + np.r_[count[whole] + LENGTH - 1, end[run]]])
+    ids = gids[at]
+    by_group = np.argsort(ids, kind="stable")
+    found, edges = np.unique(ids[by_group], return_index=True)
+    edges = np.r_[edges, len(ids)]
+    return pa.table({
+        "gid": pa.array(found, pa.int64()),
+        "runs": pa.array([pack(runs[:, by_group[a:b]]) for a, b in zip(edges[:-1], edges[1:])], pa.binary()),
+    })
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,10 +277,12 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     prepare(spark)
     key_type = docs.schema[key].dataType
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("n")).first()["n"] or 0
-    buckets, shards = (max(16, -(-size // b)) for b in (BUCKET_BYTES, SHARD_BYTES))
+    buckets = max(16, -(-size // BUCKET_BYTES))
     groups = grouped(docs, key, text)
-    flags = dealt_anchors(groups, buckets).groupBy("bucket").applyInArrow(shared_anchors, "gid long, bucket int, flags binary")
-    found = stretches(groups, cut(flags, "anchor-flags"), buckets, shards).groupBy("shard").applyInArrow(repeated_windows, "gid long, runs binary")
+    flags = cut(dealt_anchors(groups, buckets).groupBy("bucket").applyInArrow(shared_anchors, "gid long, bucket int, flags binary, n long"), "anchor-flags")
+    shared = flags.agg(F.sum("n").alias("n")).first()["n"] or 0
+    shards = max(16, -(-shared * STRETCH // SHARD_BYTES))
+    found = stretches(groups, flags, buckets, shards).groupBy("shard").applyInArrow(repeated_windows, "gid long, runs binary")
     runs = cut(found, "runs").groupBy("gid").agg(F.collect_list("runs").alias("runs"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = T.StructType([
