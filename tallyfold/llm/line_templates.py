@@ -7,15 +7,20 @@ recur in enough documents are dropped from all documents but the first.
 
 Only hashes of lines are shuffled for the whole corpus.  The texts of lines are needed
 where a leaf holds several different lines that occur often enough together to make a
-recurring template; a leaf too full for one task is parsed a level deeper.
+recurring template.  A line joins a template only if it shares so many tokens with the
+template's first line that one of a few blocks of tokens is equal; so an overfull leaf is
+parted, without changing any template, into lines that equal blocks connect.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
+from itertools import groupby, pairwise
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,11 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import claim, cut, prepare, slices
+from .components import components
 
 #: Documents in which a template must occur, share of equal fixed tokens to join one.
 MIN_DOCS, SIMILAR = 10, 0.8
-#: Leading tokens on the path, level by level, and the most different lines in a leaf before it is parsed deeper.
-DEPTHS, LEAF = (4, 8, 16, 32), 2000
+#: Leading tokens on the path, and the most different lines in a leaf before it is parted.
+DEPTH, LEAF = 4, 2000
 #: Up to this many rows a table of 8-byte keys is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -45,9 +51,19 @@ def line_key(words: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(words))
 
 
-def path_keys(words: list[str]) -> list[int]:
-    """Keys of the leaf that the line falls in, for each depth."""
-    return [xxhash.xxh3_64_intdigest(f"{len(words)} " + " ".join(words[:d])) for d in DEPTHS]
+def path_key(words: list[str]) -> int:
+    """Key of the leaf that the line falls in."""
+    return xxhash.xxh3_64_intdigest(f"{len(words)} " + " ".join(words[:DEPTH]))
+
+
+def blocks(words: list[str]) -> list[int]:
+    """Keys of the line's blocks.  Two lines of a leaf that share SIMILAR of their tokens have one in common: there is
+    one block more than tokens in which they may differ (fields always do), and blocks with a field are left out."""
+    free = len(words) - math.ceil(SIMILAR * len(words)) - words[:DEPTH].count(ANY)
+    if free < 0:
+        return []
+    edges = [DEPTH + (len(words) - DEPTH) * j // (free + 1) for j in range(free + 2)]
+    return [xxhash.xxh3_64_intdigest(f"{j} " + " ".join(words[a:b])) for j, (a, b) in enumerate(pairwise(edges)) if ANY not in words[a:b]]
 
 
 def signed(numbers: list[int]) -> np.ndarray:
@@ -72,17 +88,16 @@ def _batches(batches, of_text):
 
 
 def line_hashes(docs: DataFrame, ids: list[str], text: str) -> DataFrame:
-    """One row for each different line of each row: ``ids``, the line's key ``h`` and its leaf keys."""
+    """One row for each different line of each row: ``ids``, the line's key ``h`` and its leaf's key."""
     prepare(docs.sparkSession)
-    names = ["h", *[f"k{d}" for d in DEPTHS]]
-    schema = T.StructType([docs.schema[c] for c in ids] + [T.StructField(c, T.LongType()) for c in names])
+    schema = T.StructType([docs.schema[c] for c in ids] + [T.StructField(c, T.LongType()) for c in ("h", "leaf")])
 
     def of_text(text: str):
         seen = {}
         for line in text.split("\n"):
             if (words := tokens(line)) and (h := line_key(words)) not in seen:
-                seen[h] = path_keys(words)
-        return [list(seen), *(zip(*seen.values()) if seen else [[]] * len(DEPTHS))]
+                seen[h] = path_key(words)
+        return [list(seen), list(seen.values())]
 
     def run(batches):
         for kept, columns in _batches(batches, of_text):
@@ -110,6 +125,43 @@ def line_texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text).cast("string")).mapInArrow(run, schema)
 
 
+class Leaf:
+    """Templates of a leaf's lines, which come one by one.  It holds the templates, not the lines."""
+
+    def __init__(self):
+        self.ids: dict[str, int] = {ANY: 0}
+        self.rows = np.empty((0, 0), dtype=np.int32)
+        self.n = 0
+        self.met: dict[int, list[int]] = {}  # templates by the blocks of their first lines
+
+    def join(self, words: list[str]) -> int:
+        """Number of the template that the line joins or founds."""
+        keys = blocks(words)
+        lists = [self.met[k] for k in keys if k in self.met]
+        if lists:
+            near = np.arange(self.n) if 4 * sum(map(len, lists)) > self.n else np.unique(np.concatenate(lists))
+            row = np.array([self.ids.get(w, -1) for w in words], dtype=np.int32)
+            found = self.rows[near]
+            fixed = ((found == row) & (row != 0)).sum(axis=1)
+            best = int(fixed.argmax())
+            if fixed[best] >= SIMILAR * len(row):
+                self.rows[near[best]] = np.where(found[best] == row, row, 0)
+                return int(near[best])
+        if self.n == len(self.rows):
+            rows = np.empty((max(16, 2 * self.n), len(words)), dtype=np.int32)
+            rows[: self.n] = self.rows if self.n else rows[:0]
+            self.rows = rows
+        self.rows[self.n] = [self.ids.setdefault(w, len(self.ids)) for w in words]
+        for k in keys:
+            self.met.setdefault(k, []).append(self.n)
+        self.n += 1
+        return self.n - 1
+
+    def texts(self) -> list[str]:
+        words = list(self.ids)
+        return [" ".join([words[w] for w in t]) for t in self.rows[: self.n].tolist()]
+
+
 def leaf_templates(lines: list[str], docs: list[int]) -> list[str]:
     """Template of each line of a leaf (all of one token count).
 
@@ -117,33 +169,44 @@ def leaf_templates(lines: list[str], docs: list[int]) -> list[str]:
     does not hang on how the rows came.  A line joins the template with most equal fixed
     tokens if that is a share of SIMILAR of all; fields it differs in become variable.
     """
-    order = sorted(range(len(lines)), key=lambda i: (-docs[i], lines[i]))
-    ids: dict[str, int] = {ANY: 0}
-    rows = np.array([[ids.setdefault(w, len(ids)) for w in lines[i].split(" ")] for i in order], dtype=np.int64)
-    templates, of = np.empty_like(rows), np.zeros(len(rows), dtype=np.int64)
-    n = 0
-    for k, row in enumerate(rows):
-        same = (templates[:n] == row) & (row != 0)
-        fixed = same.sum(axis=1)
-        best = int(fixed.argmax()) if n else -1
-        if n and fixed[best] >= SIMILAR * len(row):
-            templates[best] = np.where(templates[best] == row, row, 0)
-        else:
-            best, n = n, n + 1
-            templates[best] = row
-        of[k] = best
-    words = list(ids)
-    texts = [" ".join(words[w] for w in t) for t in templates[:n]]
-    out = [""] * len(lines)
-    for k, i in enumerate(order):
-        out[i] = texts[of[k]]
-    return out
-
-
-def _leaf(pdf: pd.DataFrame) -> pd.DataFrame:
-    found = leaf_templates(pdf["line"].tolist(), pdf["docs"].tolist())
-    t = signed([xxhash.xxh3_64_intdigest(f"{leaf} {x}") for leaf, x in zip(pdf["leaf"], found, strict=True)])
-    return pd.DataFrame({"h": pdf["h"], "t": t, "template": found})
+    leaf = Leaf()
+    of = {i: leaf.join(lines[i].split(" ")) for i in sorted(range(len(lines)), key=lambda i: (-docs[i], lines[i]))}
+    texts = leaf.texts()
+    return [texts[of[i]] for i in range(len(lines))]
+
+
+def _templates(batches):
+    """``h, t`` for rows (``part, leaf, h, line``) that come part by part, in the order in which lines are taken."""
+    claim(__name__)
+
+    def rows():
+        for batch in batches:
+            yield from zip(*[c.to_pylist() for c in batch.columns])
+
+    for (_, key), lines in groupby(rows(), itemgetter(0, 1)):
+        leaf, hashes, of = Leaf(), array("q"), array("q")
+        for _, _, h, line in lines:
+            hashes.append(h)
+            of.append(leaf.join(line.split(" ")))
+        t = signed([xxhash.xxh3_64_intdigest(f"{key} {x}") for x in leaf.texts()])
+        hashes, of = np.array(hashes), np.array(of)
+        for a in range(0, len(of), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[a : a + 100_000]), pa.array(t[of[a : a + 100_000]])], names=["h", "t"])
+
+
+def _parted(full: DataFrame) -> DataFrame:
+    """``h, part`` for rows (``h, leaf, line``): lines of a leaf that no chain of equal blocks connects are in different parts."""
+
+    def run(batches):
+        for batch in batches:
+            made = [[xxhash.xxh3_64_intdigest(f"{leaf} {b}") for b in blocks(line.split(" "))] for leaf, line in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            rows = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(signed([b for m in made for b in m]))], names=["h", "block"])
+
+    keys = cut(full.select("h", "leaf", "line").mapInArrow(run, "h long, block long"), "blocks")
+    met = keys.groupBy("block").agg(F.min("h").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    labels = components(keys.join(met, "block").select(F.col("h").alias("a"), "b"))
+    return full.select("h").join(labels, F.col("h") == F.col("node"), "left").select("h", F.coalesce("label", "h").alias("part"))
 
 
 def _joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
@@ -155,23 +218,23 @@ def _joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> D
 def recurring_lines(lines: DataFrame, docs: DataFrame, first: str, ids: list[str], text: str, min_docs: int = MIN_DOCS) -> DataFrame:
     """``h, t, docs, keep``: each line key whose template recurs, the template's key, its number of documents
     and the smallest ``first`` among them."""
-    different = cut(lines.groupBy("h", *[f"k{d}" for d in DEPTHS]).agg(F.count("*").alias("docs"), F.min(first).alias("keep")), "lines")
-    # Leaves with several lines that together occur often enough; overfull ones a level deeper.
-    parts, rest = [], different
-    for d in DEPTHS:
-        leaves = rest.groupBy(f"k{d}").agg(F.count("*").alias("n"), F.sum("docs").alias("all")).where((F.col("n") > 1) & (F.col("all") >= min_docs))
-        parts.append(rest.join(leaves.where(F.col("n") <= LEAF), f"k{d}").select("h", "docs", F.col(f"k{d}").alias("leaf")))
-        rest = rest.join(leaves.where(F.col("n") > LEAF).select(f"k{d}"), f"k{d}", "left_semi")
-    wanted = parts[0]
-    for p in parts[1:]:
-        wanted = wanted.unionByName(p)
-    wanted = cut(wanted, "wanted")
+    different = cut(lines.groupBy("h", "leaf").agg(F.count("*").alias("docs"), F.min(first).alias("keep")), "lines")
+    # Leaves with several lines that together occur often enough.
+    many = (F.col("n") > 1) & (F.col("all") >= min_docs)
+    leaves = different.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("docs").alias("all")).where(many)
+    wanted = cut(different.join(leaves, "leaf").select("h", "docs", "leaf", (F.col("n") > LEAF).alias("full")), "wanted")
     texts = _joined(line_texts(docs, text), wanted.select("h"), "h").groupBy("h").agg(F.min("line").alias("line"))
-    templates = cut(wanted.join(texts, "h").groupBy("leaf").applyInPandas(_leaf, "h long, t long, template string"), "templates")
+    known = wanted.join(texts, "h").withColumn("part", F.col("leaf"))
+    if not wanted.where("full").isEmpty():
+        known = cut(known, "known")
+        parted = known.where("full").drop("part").join(_parted(known.where("full")), "h")
+        known = known.where("NOT full").unionByName(parted)
+    ordered = known.repartition("part", "leaf").sortWithinPartitions("part", "leaf", F.desc("docs"), "line")
+    templates = cut(ordered.select("part", "leaf", "h", "line").mapInArrow(_templates, "h long, t long"), "templates")
     # A template's documents: those of all its lines, each counted once.
-    members = _joined(lines.select(*ids, "h"), templates.select("h", "t"), "h")
+    members = _joined(lines.select(*ids, "h"), templates, "h")
     shared = members.groupBy("t", *ids).agg(F.lit(1).alias("one")).groupBy("t").agg(F.count("*").alias("docs"), F.min(first).alias("keep"))
-    clustered = templates.select("h", "t").join(shared.where(F.col("docs") >= min_docs), "t").select("h", "t", "docs", "keep")
+    clustered = templates.join(shared.where(F.col("docs") >= min_docs), "t").select("h", "t", "docs", "keep")
     alone = different.where(F.col("docs") >= min_docs).join(templates.select("h"), "h", "left_anti").select("h", F.col("h").alias("t"), "docs", "keep")
     return clustered.unionByName(alone)
 

@@ -428,6 +428,39 @@ def test_overfull_leaf_goes_deeper(spark, monkeypatch):
     assert sum(r["n_dropped"] for r in got) >= 59
 
 
+def test_overfull_leaf_keeps_its_templates(spark, monkeypatch):
+    rng = random.Random(4)
+    rows, k = [], 0
+    for form in ("the same four words {} and more text after that in line", "the same four words and more {} text after that in line", "the same four words and more text after that {} {}", "the same four words " + "long " * 30 + "{} then an end"):
+        for i in range(15):
+            rows.append((k := k + 1, form.format(*[f"{chr(97 + i)}{rng.choice('xyz')}{w}" for w in "pq"])))
+    for n in (12, 13, 40):
+        rows += [(k := k + 1, "the same four words " + " ".join(rng.choice(["up", "down", "left"]) if rng.random() < 0.15 else f"t{chr(97 + j % 26)}" for j in range(n))) for _ in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    whole = {tuple(r) for r in line_templates.drop_recurring_lines(df).collect()}
+    assert sum(r[3] for r in whole) > 40
+    monkeypatch.setattr(line_templates, "LEAF", 5)
+    assert {tuple(r) for r in line_templates.drop_recurring_lines(df).collect()} == whole
+
+
+def test_templates_equal_a_search_through_all():
+    rng = random.Random(9)
+    for n in (5, 6, 9, 20):
+        lines = list({"a b c d " + " ".join(rng.choice(["<*>", "x", "y", "z"]) if rng.random() < 0.3 else "w" for _ in range(n - 4)) for _ in range(300)})
+        docs, found, want = [rng.randint(1, 3) for _ in lines], [], {}
+        for i in sorted(range(len(lines)), key=lambda i: (-docs[i], lines[i])):
+            words = lines[i].split(" ")
+            same = [sum(x == y != "<*>" for x, y in zip(words, t)) for t in found]
+            best = same.index(max(same)) if same else -1
+            if same and same[best] >= 0.8 * n:
+                found[best][:] = [x if x == y else "<*>" for x, y in zip(words, found[best])]
+            else:
+                best = len(found)
+                found.append(words)
+            want[i] = found[best]
+        assert line_templates.leaf_templates(lines, docs) == [" ".join(want[i]) for i in range(len(lines))]
+
+
 def test_lines_odd(odd, none):
     got = line_templates.drop_recurring_lines(odd.withColumn("n_lines", F.lit("clash")), min_docs=3).collect()
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in odd.collect())
