@@ -100,6 +100,30 @@ def test_scores_base_and_distribution(spark, docs, odd, none):
     assert context_mixing.language_model_scores(none).count() == 0
 
 
+def test_development_rows_are_learnt_from(spark, monkeypatch):
+    rng = random.Random(6)
+    text = " ".join(f"w{rng.randrange(90)}" for _ in range(120))
+    df = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
+    monkeypatch.setattr(context_mixing, "DEV_PART", 1)  # every training row
+    assert all(r["bits_per_byte"] < 0.5 for r in context_mixing.language_model_scores(df).collect())
+
+
+def test_mixer_is_fitted_over_all_development_rows(spark):
+    rng = random.Random(7)
+    rows = [(" ".join(rng.choice(["the", "of", "rare"]) for _ in range(rng.randrange(1, 300))),) for _ in range(60)]
+    codes = spark.sparkContext.broadcast(context_mixing.Codes.build([(b"the", 50), (b"\n", 20), (b"of", 9)], 7, np.arange(257), 100, 50))
+    df = spark.createDataFrame(rows, "text string").repartition(4)
+    table = spark.sparkContext.broadcast(context_mixing.context_table(context_mixing.context_counts(df, codes)))
+    want = context_mixing.Mixer.fresh()
+    for _ in range(context_mixing.EPOCHS):
+        learned = []
+        context_mixing.mixed(codes.value, table.value, want, [context_mixing.tokens(t) for (t,) in rows], learned)
+        n = sum(x[2] for x in learned)
+        want = context_mixing.Mixer(*[(sum(x[k] for x in learned) / n).astype(np.float32) for k in (0, 1)])
+    got = context_mixing.fit_mixer(df, codes, table)
+    assert np.allclose(got.weights, want.weights, atol=1e-4) and np.allclose(got.refine, want.refine, atol=1e-4)
+
+
 def test_codes_are_prefix_free_and_bits_match():
     codes = context_mixing.Codes.build([(b"the", 50), (b"\n", 20), (b"of", 9)], 7, np.arange(257), 100, 50)
     sure = sum(2.0 ** -codes.length[k] for k in range(4))
