@@ -1,11 +1,10 @@
 """Near-duplicate classes by improved consistent weighted sampling.
 
 Weights.  A shingle of a text weighs its count there times 1 + ln(N / df) / ln N, where
-df is the number of the N documents that have it, taken as N / RARE at least: the
-weight falls from frequent to rare by less than a factor of two.  Only shingles that
-occur in more documents than that need exact counts, and at most RARE times the mean
-number of shingles per document can: they are found in two passes, first by counts
-of hashed slots (never too small), then exactly.
+df is the number of the N documents that have it, counted exactly for all shingles.  Texts
+are put in slices; a slice's different shingles go out once each, packed by ranges of
+hashes, and come back as document counts in the same order.  A shingle of one document
+has no other text to be shared with: only its weight is kept.
 
 Signatures.  Improved consistent weighted sampling (Ioffe, 2010) draws for each sample
 the shingle with the least a = c / (y e^r), where ln y = r (t - b), t = floor(ln w / r + b),
@@ -23,11 +22,12 @@ the overfull buckets has, are left out.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,111 +41,89 @@ SIMILARITY = 0.8
 #: (more than FULL texts) (1 - 0.8^10)^60 = 0.11 %.
 BANDS, ROWS = 12, 4
 FINE_BANDS, FINE_ROWS, FULL = 60, 10, 48
+#: No weight hangs on it any more; the tests read it.
 RARE = 1000
-SLOT_BITS = 21
-CHUNKS = 64
+#: Bytes of text in a slice, and about so many shingles in a range of hashes.
+SLICE_BYTES, RANGE = 4_000_000, 1_000_000
 LEVELS, STEP = 32, 0.2
 BROADCAST_ROWS = 500_000
 
 
 # --- document frequencies ------------------------------------------------------------------------
 
-def _text_groups(batches, column: int = 0, most: int = 400_000):
-    claim(__name__)
-    for batch in batches:
-        texts = [(x or "").encode() for x in batch.column(column).to_pylist()]
-        for a, b in slices([len(x) for x in texts], most):
-            yield batch, a, b, texts[a:b]
-
-
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> U(64 - SLOT_BITS)).astype(np.int64)
-
-
-def _merge_chunks(batches, least: int | None = None):
-    """Sums of packed count arrays by chunk, or bits that say which reach ``least``; what it holds is bounded
-    by the number of chunks."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts = np.frombuffer(data, dtype="<u4").astype(np.uint64)
-            total[c] = total[c] + counts if c in total else counts
-    for c, counts in total.items():
-        packed = np.packbits(counts >= least) if least else np.minimum(counts, 2**32 - 1).astype("<u4")
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=["chunk", "counts"])
-
-
-def frequent_shingles(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles in more than n / RARE documents, and their document counts."""
-    spark = docs.sparkSession
-    prepare(spark)
-    least = n // RARE + 1
-    narrow = docs.select(F.col(text).cast("string"))
-
-    def slots(batches):
-        counts = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
-        for _, _, _, texts in _text_groups(batches):
-            h, _, _ = distinct_shingles(texts)
-            s, k = np.unique(_slot(h), return_counts=True)
-            counts[s] += k.astype(np.uint32)
-        for c, part in enumerate(np.split(counts, CHUNKS)):
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], names=["chunk", "counts"])
-
-    packed = "chunk int, counts binary"
-    # Two merges: many tasks' arrays first meet in several places per chunk.
-    made = narrow.mapInArrow(slots, packed).withColumn("part", F.spark_partition_id() % 16)
-    merged = made.repartition("chunk", "part").select("chunk", "counts").mapInArrow(_merge_chunks, packed)
-    flagged = merged.repartition("chunk").mapInArrow(lambda batches: _merge_chunks(batches, least), packed)
-    rows: dict[int, np.ndarray] = {}
-    for r in flagged.collect():  # 2^SLOT_BITS bits in all
-        part = np.frombuffer(bytes(r["counts"]), dtype=np.uint8)
-        rows[r["chunk"]] = rows[r["chunk"]] | part if r["chunk"] in rows else part
-    if not rows:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    flags = spark.sparkContext.broadcast(np.concatenate([rows[c] for c in range(CHUNKS)]))
-
-    def counted(batches):
-        open_slots = np.unpackbits(flags.value).astype(bool)
-        held: list[np.ndarray] = []
-        size = 0
-
-        def out():
-            h, k = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k.astype(np.int64))], names=["h", "df"])
-
-        for _, _, _, texts in _text_groups(batches):
-            h, _, _ = distinct_shingles(texts)
-            held.append(h[open_slots[_slot(h)]])
-            size += len(held[-1])
-            if size > 1_000_000:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
-
-    found = narrow.mapInArrow(counted, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).where(F.col("df") >= least).toArrow()
-    h, df = found.column("h").to_numpy().view(np.uint64), found.column("df").to_numpy()
-    order = np.argsort(h)
-    return h[order], df[order]
-
-
 class Weights:
-    """Shingle weights from the frequent shingles' counts."""
+    """Shingle weights from document counts; a shingle without a count has one document."""
 
-    def __init__(self, n: int, hashes: np.ndarray, df: np.ndarray):
-        self.hashes = hashes
-        scale = np.log(max(n, 2))
-        floor = max(1.0, n / RARE)
-        self.rare = 1 + np.log(max(n, 1) / floor) / scale
-        self.frequent = 1 + np.log(max(n, 1) / np.maximum(df, floor)) / scale
+    def __init__(self, n: int, hashes: np.ndarray = (), df: np.ndarray = ()):
+        self.n, self.hashes, self.df = n, hashes, df
+
+    def by_count(self, df: np.ndarray, times: np.ndarray) -> np.ndarray:
+        return (1 + np.log(max(self.n, 1) / df) / np.log(max(self.n, 2))) * times
 
     def of(self, h: np.ndarray, times: np.ndarray) -> np.ndarray:
-        w = np.full(len(h), self.rare)
+        df = np.ones(len(h))
         if len(self.hashes) and len(h):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             same = self.hashes[at] == h
-            w[same] = self.frequent[at[same]]
-        return w * times
+            df[same] = self.df[at[same]]
+        return self.by_count(df, times)
+
+
+def text_slices(own: DataFrame) -> DataFrame:
+    """``slice, nodes, texts``: the rows (``text, node``) in slices of about SLICE_BYTES, without empty texts."""
+    prepare(own.sparkSession)
+
+    def run(batches):
+        claim(__name__)
+        number, nodes, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([nodes], pa.list_(pa.binary())), pa.array([texts], pa.list_(pa.string()))], names=["slice", "nodes", "texts"])
+
+        for batch in batches:
+            for text, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not text:
+                    continue
+                nodes.append(node)
+                texts.append(text)
+                size += len(text)
+                if size > SLICE_BYTES:
+                    yield out()
+                    number, nodes, texts, size = number + 1, [], [], 0
+        if texts:
+            yield out()
+
+    return cut(own.select("text", "node").mapInArrow(run, "slice long, nodes array<binary>, texts array<string>"), "slices")
+
+
+def document_counts(sliced: DataFrame, size: int) -> DataFrame:
+    """``slice, found``: for each slice the document counts of its different shingles by ascending hash, packed range by range."""
+    bits = max(0, math.ceil(math.log2(max(size / 6 / RANGE, 1))))
+
+    def dealt(batches):
+        claim(__name__)
+        for batch in batches:
+            for number, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h, k = np.unique(distinct_shingles([x.encode() for x in texts])[0], return_counts=True)
+                place = (h >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), dtype=np.int64)
+                ranges, first = np.unique(place, return_index=True)
+                ends = np.r_[first[1:], len(h)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([number] * len(ranges), pa.int64()), pa.array(ranges, pa.int64()),
+                    pa.array([h[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.array([k[a:b].astype("<u4").tobytes() for a, b in zip(first, ends)], pa.binary()),
+                ], names=["slice", "range", "hashes", "counts"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(x, U) for x in table.column("hashes").to_pylist()]
+        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()])
+        _, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        df = np.bincount(at, weights=counts)[at].astype("<u4")
+        parts = [x.tobytes() for x in np.split(df, np.cumsum([len(x) for x in hashes])[:-1])]
+        return pa.table({"slice": table.column("slice"), "range": table.column("range"), "df": pa.array(parts, pa.binary())})
+
+    packed = sliced.select("slice", "texts").mapInArrow(dealt, "slice long, range long, hashes binary, counts binary")
+    counted = packed.groupBy("range").applyInArrow(summed, "slice long, range long, df binary")
+    return counted.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("range", "df"))).alias("found"))
 
 
 # --- signatures ----------------------------------------------------------------------------------
@@ -198,109 +176,119 @@ def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def signatures(texts: DataFrame, weights, bands: int, rows: int) -> DataFrame:
-    """``node, keys`` for the rows (``text, node``) that have a shingle."""
-    prepare(texts.sparkSession)
+def signed_vectors(own: DataFrame, n: int, size: int) -> DataFrame:
+    """For the rows (``text, node``) that have a shingle: ``node``, its band ``keys``, ``hashes`` and ``weights`` of its
+    shingles in more than one document as packed numbers, ``single``, the weight of its other shingles, and its ``total`` weight."""
+    weights = Weights(n)
+    sliced = text_slices(own)
 
     def run(batches):
-        w = weights.value
-        for batch, a, b, group in _text_groups(batches, 0, 150_000):
-            h, times, counts = distinct_shingles(group)
-            some = np.flatnonzero(counts)
-            if not len(some):
-                continue
-            found = samples(h, w.of(h, times), counts[some], bands * rows)
-            keys = band_keys(found, bands, rows).view(np.int64)
-            nodes = batch.column(1).slice(a, b - a).take(pa.array(some))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([nodes, flat], names=["node", "keys"])
+        claim(__name__)
+        for batch in batches:
+            for nodes, texts, found in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                texts = [x.encode() for x in texts]
+                counts_of = np.frombuffer(b"".join(x["df"] for x in found), "<u4")
+                listed = np.unique(distinct_shingles(texts)[0])
+                for a, b in slices([len(x) for x in texts], 150_000):
+                    h, times, counts = distinct_shingles(texts[a:b])
+                    some = np.flatnonzero(counts)
+                    if not len(some):
+                        continue
+                    df = counts_of[np.searchsorted(listed, h)]
+                    w = weights.by_count(df, times)
+                    counts = counts[some]
+                    keys = band_keys(samples(h, w, counts, BANDS * ROWS), BANDS, ROWS).view(np.int64)
+                    starts = np.cumsum(counts) - counts
+                    shared = df > 1
+                    ends = np.cumsum(np.add.reduceat(shared.astype(np.int64), starts))
+                    begins = np.r_[0, ends[:-1]]
+                    hs, ws = h[shared], w[shared]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([nodes[a + i] for i in some], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
+                        pa.array([hs[x:y].tobytes() for x, y in zip(begins, ends)], pa.binary()), pa.array([ws[x:y].tobytes() for x, y in zip(begins, ends)], pa.binary()),
+                        pa.array(np.add.reduceat(np.where(shared, 0.0, w), starts)), pa.array(np.add.reduceat(w, starts)),
+                    ], names=["node", "keys", "hashes", "weights", "single", "total"])
+
+    joined = sliced.join(document_counts(sliced, size), "slice").select("nodes", "texts", "found")
+    return cut(joined.mapInArrow(run, "node binary, keys array<long>, hashes binary, weights binary, single double, total double"), "signed-vectors")
+
+
+def fine_signatures(texts: DataFrame, n: int) -> DataFrame:
+    """``node, keys`` by FINE_BANDS for the rows (``text, node, hashes, weights``)."""
+    weights = Weights(n)
 
-    return texts.select("text", "node").mapInArrow(run, "node binary, keys array<long>")
+    def run(batches):
+        claim(__name__)
+        for batch in batches:
+            for text, node, hashes, known in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+                h, times, counts = distinct_shingles([text.encode()])
+                w = weights.of(h, times)
+                w[np.searchsorted(h, np.frombuffer(hashes, U))] = np.frombuffer(known)
+                keys = band_keys(samples(h, w, counts, FINE_BANDS * FINE_ROWS), FINE_BANDS, FINE_ROWS).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([node], pa.binary()), pa.array([keys.ravel()], pa.list_(pa.int64()))], names=["node", "keys"])
+
+    return texts.select("text", "node", "hashes", "weights").mapInArrow(run, "node binary, keys array<long>")
 
 
 # --- exact comparison ----------------------------------------------------------------------------
 
-def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -> float:
-    """Sum of smaller weights over sum of larger ones; hashes are ascending."""
+def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray, total: float | None = None) -> float:
+    """Sum of smaller weights over sum of larger ones; hashes are ascending.  ``total`` is both texts' weight where
+    not all shingles are given."""
+    total = w1.sum() + w2.sum() if total is None else total
+    if not len(h1) or not len(h2):
+        return 0.0
     at = np.minimum(np.searchsorted(h2, h1), len(h2) - 1)
     same = h2[at] == h1
     least = np.minimum(w1[same], w2[at[same]]).sum()
-    return float(least / (w1.sum() + w2.sum() - least))
-
+    return float(least / (total - least))
 
-def vectors(texts: DataFrame, weights) -> DataFrame:
-    """``node``, its shingles' ``hashes`` and ``times`` as packed numbers, and its ``total`` weight, for rows (``text, node``)."""
 
-    def run(batches):
-        w = weights.value
-        for batch, a, b, group in _text_groups(batches):
-            h, times, counts = distinct_shingles(group)
-            value = np.r_[0, np.cumsum(w.of(h, times))]
-            ends = np.cumsum(counts)
-            times = times.astype("<u4")
-            yield pa.RecordBatch.from_arrays([
-                batch.column(1).slice(a, b - a),
-                pa.array([h[e - c : e].tobytes() for e, c in zip(ends, counts)], pa.binary()),
-                pa.array([times[e - c : e].tobytes() for e, c in zip(ends, counts)], pa.binary()),
-                pa.array(value[ends] - value[ends - counts]),
-            ], names=["node", "hashes", "times", "total"])
-
-    return texts.select("text", "node").mapInArrow(run, "node binary, hashes binary, times binary, total double")
-
-
-def verified(pairs: DataFrame, known: DataFrame, weights, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``a, b`` that are similar enough."""
-    left = known.select(F.col("node").alias("a"), F.col("hashes").alias("ha"), F.col("times").alias("ta"))
-    right = known.select(F.col("node").alias("b"), F.col("hashes").alias("hb"), F.col("times").alias("tb"))
+    left = known.select(F.col("node").alias("a"), F.col("hashes").alias("ha"), F.col("weights").alias("wa"), F.col("total").alias("ta"))
+    right = known.select(F.col("node").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb"), F.col("total").alias("tb"))
 
     def run(batches):
-        w = weights.value
-
-        def vector(h: bytes, t: bytes) -> tuple[np.ndarray, np.ndarray]:
-            hashes = np.frombuffer(h, U)
-            return hashes, w.of(hashes, np.frombuffer(t, "<u4"))
-
         for batch in batches:
-            keep, last, mine = [], None, None
-            for a, ha, ta, hb, tb in zip(*[batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5)]):
-                if a != last:
-                    last, mine = a, vector(ha, ta)
-                keep.append(weighted_jaccard(*mine, *vector(hb, tb)) >= similarity - 1e-9)
+            keep = [
+                weighted_jaccard(np.frombuffer(ha, U), np.frombuffer(wa), np.frombuffer(hb, U), np.frombuffer(wb), total) >= similarity - 1e-9
+                for ha, wa, hb, wb, total in zip(*[batch.column(k).to_pylist() for k in range(2, 7)])
+            ]
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "ta", "hb", "tb")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "wa", "hb", "wb", (F.col("ta") + F.col("tb")).alias("total"))
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def lone_weights(known: DataFrame, weights) -> DataFrame:
-    """``node, lone``: weight of the shingles that no other text of ``known`` has."""
+def lone_weights(known: DataFrame) -> DataFrame:
+    """``node, lone``: weight of the shingles, of those listed, that no other text of ``known`` has."""
 
     def run(batches):
-        w = weights.value
         for batch in batches:  # shingles of a batch meet here first: one row each, with how many texts have it
             hashes = [np.frombuffer(x, U) for x in batch.column(1).to_pylist()]
-            times = np.concatenate([np.frombuffer(x, "<u4") for x in batch.column(2).to_pylist()] or [np.empty(0, "<u4")])
+            w = np.concatenate([np.frombuffer(x) for x in batch.column(2).to_pylist()] or [np.empty(0)])
             flat = np.concatenate(hashes or [np.empty(0, U)])
             owner = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
             h, first, n = np.unique(flat, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner[first])), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(w.of(h, times[first]))], names=["node", "h", "n", "w"]
+                [batch.column(0).take(pa.array(owner[first])), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(w[first])], names=["node", "h", "n", "w"]
             )
 
-    rows = known.select("node", "hashes", "times").mapInArrow(run, "node binary, h long, n long, w double")
+    rows = known.select("node", "hashes", "weights").mapInArrow(run, "node binary, h long, n long, w double")
     once = rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("node").alias("node"), F.max("w").alias("w")).where("n = 1")
     return once.groupBy("node").agg(F.sum("w").alias("lone"))
 
 
-def linkable(known: DataFrame, weights, similarity: float, rounds: int = 3) -> DataFrame:
+def linkable(known: DataFrame, similarity: float, rounds: int = 3) -> DataFrame:
     """``known`` with ``lone``, less texts that no other text can be similar to: a pair shares none of either
     one's lone weight, so a text with over 1 - similarity of its weight alone has no link.  Leaving such texts
     out makes more shingles lone, hence the rounds."""
     for _ in range(rounds):
         n = known.count()
-        lone = lone_weights(known, weights)
-        known = cut(known.drop("lone").join(lone, "node", "left").fillna({"lone": 0.0}).where(F.col("lone") <= (1 - similarity) * F.col("total") + 1e-9), "linkable")
+        lone = lone_weights(known)
+        known = cut(known.drop("lone").join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0.0)) + F.col("single")).where(F.col("lone") <= (1 - similarity) * F.col("total") + 1e-9), "linkable")
         if known.count() == n:
             break
     return known
@@ -326,29 +314,33 @@ def _of(table: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _labelled(own: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The rows with ``node`` (a key of the text), and ``node, label`` of texts that are linked to others."""
-    spark = own.sparkSession
     own = own.withColumn("node", F.unhex(F.md5("text")))
-    n = own.count()
-    weights = spark.sparkContext.broadcast(Weights(n, *frequent_shingles(own, "text", n)))
-    signed = cut(signatures(own, weights, BANDS, ROWS).groupBy("node").agg(F.first("keys").alias("keys")), "signatures")
+    n, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    every = signed_vectors(own, n, size)
+    signed = cut(every.groupBy("node").agg(F.first("keys").alias("keys")), "signatures")
+
+    def vectors(nodes: DataFrame) -> DataFrame:
+        fields = ["hashes", "weights", "single", "total"]
+        return _of(every, nodes).groupBy("node").agg(F.first(F.struct(*fields)).alias("x")).select("node", "x.*")
+
     members = cut(_members(signed), "members")
     hot = cut(members.where(F.col("n") > FULL).select("node").distinct(), "hot")
     members = members.where(F.col("n") <= FULL).drop("n")
     bounds = None
     if not hot.isEmpty():
         one_each = cut(_of(own, hot).groupBy("node").agg(F.first("text").alias("text")), "hot-texts")
-        able = linkable(cut(vectors(one_each, weights), "hot-vectors"), weights, similarity)
+        able = linkable(cut(vectors(hot), "hot-vectors"), similarity)
         bounds = able.select("node", "lone")
-        fine_signed = signatures(one_each.join(able.select("node"), "node", "left_semi"), weights, FINE_BANDS, FINE_ROWS)
+        fine_signed = fine_signatures(one_each.join(able.select("node", "hashes", "weights"), "node"), n)
         fine = _members(fine_signed.join(bounds, "node"), "lone").withColumn("band", F.col("band") + BANDS).drop("n")
         members = cut(members.unionByName(fine.select(*members.columns)), "fine-members")
     nodes = cut(members.select("node").distinct(), "nodes")
-    known = cut(vectors(_of(own, nodes).groupBy("node").agg(F.first("text").alias("text")), weights), "vectors")
+    known = cut(vectors(nodes), "vectors")
     size = known.select("node", "total")
     size = size.join(bounds, "node", "left") if bounds is not None else size.withColumn("lone", F.lit(None).cast("double"))
 
     stars = members.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-    links = cut(verified(stars, known, weights, similarity), "links")
+    links = cut(verified(stars, known, similarity), "links")
     labels = cut(components(links), "labels")
     # Buckets that still hold several components: their texts are compared across components, where the
     # weights allow a link (lone weights hold for the fine buckets, whose texts are all from one set).
@@ -362,7 +354,7 @@ def _labelled(own: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
         apart.alias("l").join(other.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("label") < F.col("other")) & (most >= similarity - 1e-9))
         .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     )
-    more = cut(verified(across.join(stars, ["a", "b"], "left_anti"), known, weights, similarity), "more-links")
+    more = cut(verified(across.join(stars, ["a", "b"], "left_anti"), known, similarity), "more-links")
     if not more.isEmpty():
         labels = cut(components(links.unionByName(more)), "labels")
 

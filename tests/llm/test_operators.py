@@ -354,6 +354,28 @@ def test_near_duplicates_odd(spark, odd, none):
     assert weighted_near_dup.keep_one_of_each_class(odd).count() == odd.count() - 1
 
 
+def test_weights_follow_exact_document_counts(spark, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(weighted_near_dup, "SLICE_BYTES", 20_000)
+    monkeypatch.setattr(weighted_near_dup, "RANGE", 3000)
+    common = [" ".join(f"c{k}{j}" for j in range(5)) for k in range(5)]  # each is in a few documents of 5,000
+    texts = [" ".join([f"u{i}x{j}" for j in range(6)] + [common[i % 5]] * (i < 20) + ["again and again"] * (i % 2)) for i in range(5000)] + ["", "two words", "two words"]
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(t, hashlib.md5(t.encode()).digest()) for t in texts], "text string, node binary").repartition(3)
+    words = [t.split() for t in texts]
+    counts = [Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))) for w in words]
+    docs = Counter(x for c in counts for x in c)
+    assert {2, 4} <= set(docs.values())
+    n = len(texts)
+    got = {bytes(r["node"]): r for r in weighted_near_dup.signed_vectors(df, n, sum(map(len, texts))).collect()}
+    for t, c in zip(texts, counts):
+        if c:
+            weight = {x: k * (1 + math.log(n / docs[x]) / math.log(n)) for x, k in c.items()}
+            r = got[hashlib.md5(t.encode()).digest()]
+            assert math.isclose(r["total"], sum(weight.values())) and math.isclose(r["single"], sum(w for x, w in weight.items() if docs[x] == 1), abs_tol=1e-9)
+            assert np.allclose(sorted(np.frombuffer(r["weights"])), sorted(w for x, w in weight.items() if docs[x] > 1))
+
+
 def test_samples_agree_as_often_as_weights_overlap():
     rng = np.random.default_rng(3)
     h = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
