@@ -13,6 +13,8 @@ from functools import lru_cache
 import numpy as np
 
 WORDS = 5
+#: Bytes hashed at once (a longer word is one piece).
+PIECE = 1 << 20
 U = np.uint64
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -22,7 +24,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-@lru_cache(1)
+@lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse mod 2^64."""
     inverse = pow(_BASE, -1, 1 << 64)
@@ -55,23 +57,32 @@ def folded() -> tuple[np.ndarray, np.ndarray]:
     return values, ~word
 
 
-def word_hashes(texts: list[bytes], values: np.ndarray = _BYTE, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and the number of words of each text."""
-    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    n = len(data)
-    size = 1 << max(16, (n - 1).bit_length())
-    power, inverse = _powers(size)
+def word_spans(data: np.ndarray, values: np.ndarray = _BYTE, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word in order.  Powers are needed for one piece at a time only."""
     space = separators[data]
-    total = np.empty(n + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(values[data] * power[:n], out=total[1:])
-    edge = np.diff(space.astype(np.int8), prepend=1)
+    edge = np.diff(space.view(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    ends = ends[1:] if len(ends) > len(starts) else ends
-    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    if len(ends) < len(starts):
+        ends = np.r_[ends, len(data)]
+    hashes, a = np.empty(len(starts), dtype=np.uint64), 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + PIECE, "right")))
+        low, high = int(starts[a]), int(ends[b - 1])
+        power, inverse = _powers(max(PIECE, 1 << (high - low).bit_length()))
+        total = np.empty(high - low + 1, dtype=np.uint64)
+        total[0] = 0
+        np.cumsum(values[data[low:high]] * power[: high - low], out=total[1:])
+        first, last = starts[a:b] - low, ends[a:b] - low
+        hashes[a:b] = mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
+        a = b
+    return hashes, starts, ends
+
+
+def word_hashes(texts: list[bytes], values: np.ndarray = _BYTE, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in order, and the number of words of each text."""
+    hashes, starts, _ = word_spans(np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8), values, separators)
     firsts = np.cumsum([0] + [len(t) + 1 for t in texts])
-    counts = np.diff(np.searchsorted(starts, firsts))
-    return hashes, counts
+    return hashes, np.diff(np.searchsorted(starts, firsts))
 
 
 def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
