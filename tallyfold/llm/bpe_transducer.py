@@ -8,10 +8,12 @@ transducer keeps the bytes that are not settled yet and the last token at each p
 where a later token could still start.  Places where no token can start any more are
 dropped; once all that remain share their first tokens, these are emitted.  How far it
 looks ahead is thus bounded by the longest token.  States are made when first reached
-and found again by content, so that all words of a corpus share them.
+and found again by content, so that all words of a corpus share them.  The new words of a
+batch of texts take their steps together, byte by byte, through a table of moves.
 
-Decoding.  Token bytes are joined; a small state machine for UTF-8 holds back the
-bytes of a character that the next chunk will complete.
+Decoding.  A state machine for UTF-8 runs over token ids: for each state (how the current
+character may go on) and token it knows the state after the token's bytes.  Whole characters
+come out at once; the bytes of one that is not complete wait for the next chunk.
 """
 
 from __future__ import annotations
@@ -27,13 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, map_texts, prepare, remembers
-from .pretokens import pretoken_lists
+from .common import claim, map_texts, prepare, remembers, slices
+from .pretokens import pretoken_lists, pretokens
 
-#: Pre-tokens and transitions that a Python worker remembers; a full memo starts anew.
-REMEMBERED_WORDS = 200_000
-REMEMBERED_MOVES = 900_000
+#: Pre-tokens, moves and pairs that a Python worker remembers; a full memo starts anew.
+REMEMBERED_WORDS = 300_000
+REMEMBERED_MOVES = 1_200_000
 REMEMBERED_PAIRS = 200_000
+#: Pre-tokens of up to so many bytes take their steps together.
+TOGETHER = 48
+#: Characters of the texts whose new pre-tokens are encoded together.
+WORDS_AT_ONCE = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,6 +60,43 @@ def unpack(state: bytes) -> tuple[bytes | None, bytes, list[tuple[int, int, bool
     return before, state[at : at + m], [(o, p, bool(x)) for o, p, x in struct.iter_unpack("<HhB", state[at + m :])]
 
 
+class Moves:
+    """A hash table from state and byte to what the move leads to, for many lookups at once."""
+
+    def __init__(self, bits: int = 14):
+        self.n, self.bits = 0, bits
+        self.keys, self.values = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int64)
+
+    def _slot(self, keys):
+        x = keys * 0x9E3779B1
+        return ((x ^ x >> 29) & 0x7FFFFFFF) * 0x85EBCA6B >> 20 & (len(self.keys) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values of some keys; -1 where there is none."""
+        out, mask = np.full(len(keys), -1, dtype=np.int64), len(self.keys) - 1
+        slot, open_ = self._slot(keys), np.arange(len(keys))
+        while len(open_):
+            there = self.keys[slot]
+            same = there == keys[open_]
+            out[open_[same]] = self.values[slot[same]]
+            more = ~same & (there >= 0)
+            open_, slot = open_[more], slot[more] + 1 & mask
+        return out
+
+    def put(self, key: int, value: int) -> None:
+        if 2 * self.n >= len(self.keys):
+            used = np.flatnonzero(self.keys >= 0)
+            old, kept = self.keys[used].tolist(), self.values[used].tolist()
+            self.__init__(self.bits + 1)
+            for k, v in zip(old, kept):
+                self.put(k, v)
+        slot, mask = int(self._slot(np.int64(key))), len(self.keys) - 1
+        while (there := self.keys[slot]) >= 0 and there != key:
+            slot = slot + 1 & mask
+        self.n += there != key
+        self.keys[slot], self.values[slot] = key, value
+
+
 class Transducer:
     """Lazily determinised encoder for one rank table."""
 
@@ -71,8 +114,18 @@ class Transducer:
         # still start there.
         start = pack(b"", b"", [(0, -1, True)])
         self.states, self.numbers = [start], {start: 0}
-        self.moves: dict[int, int] = {}  # state and byte -> state
-        self.emits: dict[int, tuple[bytes, ...]] = {}  # the same, where tokens are emitted
+        self.moves = Moves()  # state and byte -> number of what is emitted, and state
+        self.tails = np.full(1024, -1, dtype=np.int64)  # state -> number of what ends a pre-token there
+        self.outs, self.out_numbers = [()], {(): 0}  # ids that are emitted together
+        self.flat, self.first, self.size = np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+
+    def emitted(self, tokens: list[bytes]) -> int:
+        """The number of a row of tokens that is emitted at once."""
+        ids = tuple(map(self.ranks.__getitem__, tokens))
+        found = self.out_numbers.setdefault(ids, len(self.outs))
+        if found == len(self.outs):
+            self.outs.append(ids)
+        return found
 
     def merged(self, data: bytes, below: float = float("inf")) -> list[bytes]:
         """Encoding by merging the lowest rank first, with ranks under ``below`` only: the
@@ -190,29 +243,68 @@ class Transducer:
         found = self.numbers.setdefault(state, len(self.states))
         if found == len(self.states):
             self.states.append(state)
-        self.moves[number << 8 | byte] = found
-        if out:
-            self.emits[number << 8 | byte] = tuple(out)
-        return found
+        value = self.emitted(out) << 32 | found
+        self.moves.put(number << 8 | byte, value)
+        return value
+
+    def tail(self, state: int) -> int:
+        """Number of the tokens that are emitted where a pre-token ends in the state."""
+        if state >= len(self.tails):
+            self.tails = np.r_[self.tails, np.full(max(len(self.tails), state + 1), -1, dtype=np.int64)]
+        if self.tails[state] < 0:
+            _, pending, places = unpack(self.states[state])
+            last, out, o = {s: p for s, p, _ in places}, [], len(pending)
+            while o > 0:
+                out.append(pending[last[o] : o])
+                o = last[o]
+            self.tails[state] = self.emitted(out[::-1])
+        return int(self.tails[state])
 
-    def encode(self, data: bytes) -> list[bytes]:
-        """Tokens of one pre-token."""
-        if len(self.moves) > REMEMBERED_MOVES:
-            self.forget()
-        state, out, moves, emits = 0, [], self.moves, self.emits
+    def encode(self, data: bytes) -> list[int]:
+        """Ids of one pre-token."""
+        state, out = 0, []
         for byte in data:
             key = state << 8 | byte
-            state = moves.get(key)
-            if state is None:
-                state = self.step(key >> 8, byte)
-            if key in emits:
-                out += emits[key]
-        _, pending, places = unpack(self.states[state])
-        last, tail, o = {s: p for s, p, _ in places}, [], len(pending)
-        while o > 0:
-            tail.append(pending[last[o] : o])
-            o = last[o]
-        return out + tail[::-1]
+            value = int(self.moves.find(np.array([key]))[0])
+            value = self.step(state, byte) if value < 0 else value
+            out += self.outs[value >> 32]
+            state = value & 0xFFFFFFFF
+        return out + list(self.outs[self.tail(state)])
+
+    def encode_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token (none longer than TOGETHER), as little-endian unsigned 32-bit numbers."""
+        if self.moves.n > REMEMBERED_MOVES:
+            self.forget()
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        data = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64)
+        begin, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        longest = int(size[0])
+        outs, state = np.zeros((len(words), longest + 1), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        reach = np.searchsorted(-size, -np.arange(longest), "left")  # words with a byte at each place
+        for k, n in enumerate(reach.tolist()):
+            keys = state[:n] << 8 | data[begin[:n] + k]
+            values = self.moves.find(keys)
+            missing = np.flatnonzero(values < 0)
+            if len(missing):
+                new, of = np.unique(keys[missing], return_inverse=True)
+                values[missing] = np.array([self.step(key >> 8, key & 255) for key in new.tolist()])[of]
+            outs[:n, k], state[:n] = values >> 32, values & 0xFFFFFFFF
+        ends, of = np.unique(state, return_inverse=True)
+        outs[:, longest] = np.array([self.tail(s) for s in ends.tolist()])[of]
+        if len(self.outs) > len(self.first):
+            new = self.outs[len(self.first) :]
+            size_new = np.array([len(x) for x in new], dtype=np.int64)
+            self.first = np.r_[self.first, len(self.flat) + np.cumsum(size_new) - size_new]
+            self.size = np.r_[self.size, size_new]
+            self.flat = np.r_[self.flat, np.array([i for x in new for i in x], dtype="<u4")]
+        outs = outs[np.argsort(order)].ravel()
+        outs = outs[: len(words) * (longest + 1)]
+        n = self.size[outs]
+        edges = np.r_[0, np.cumsum(n)]
+        ids = self.flat[np.repeat(self.first[outs] - edges[:-1], n) + np.arange(edges[-1])].tobytes()
+        edges = (4 * edges[:: longest + 1]).tolist()
+        return [ids[a:b] for a, b in zip(edges, edges[1:])]
 
 
 class Encoder:
@@ -224,62 +316,119 @@ class Encoder:
         self.packed = {t: struct.pack("<I", r) for t, r in self.ranks.items()}
         self.known: dict[str, bytes] = {}
 
-    def word(self, word: str) -> bytes:
-        data = word.encode()
-        whole = self.packed.get(data)  # a pre-token that is a token stays whole
-        return whole if whole is not None else b"".join(map(self.packed.__getitem__, self.transducer.encode(data)))
+    def learn(self, words: set[str]) -> None:
+        """Put the ids of new pre-tokens into the memo."""
+        if len(self.known) > REMEMBERED_WORDS:
+            self.known.clear()
+        together: list[str] = []
+        for w in words:
+            data = w.encode()
+            whole = self.packed.get(data)  # a pre-token that is a token stays whole
+            if whole is not None:
+                self.known[w] = whole
+            elif len(data) > TOGETHER:
+                ids = self.transducer.encode(data)
+                self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                together.append(w)
+        if together:
+            self.known.update(zip(together, self.transducer.encode_all([w.encode() for w in together])))
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; the new pre-tokens of several texts are encoded together."""
+        out: list[bytes] = []
+        for a, b in slices([len(x) for x in texts], WORDS_AT_ONCE):
+            if b == a + 1:
+                out.append(self.text(texts[a]))
+                continue
+            lists = [pretokens(x) for x in texts[a:b]]
+            need = set().union(*lists)
+            if new := need.difference(self.known):
+                self.learn(new)
+                if gone := need.difference(self.known):  # the memo started anew
+                    self.learn(gone)
+            get = self.known.__getitem__
+            out += [b"".join(map(get, x)) for x in lists]
+        return out
 
     def text(self, text: str) -> bytes:
-        known, out = self.known, []
+        """The ids of one text, which may be very long."""
+        out = []
         for pieces in pretoken_lists(text):
-            try:
-                out.append(b"".join(map(known.__getitem__, pieces)))
-            except KeyError:
-                if len(known) > REMEMBERED_WORDS:
-                    known.clear()
-                for w in set(pieces).difference(known):
-                    known[w] = self.word(w)
-                out.append(b"".join(map(known.__getitem__, pieces)))
+            need = set(pieces)
+            if new := need.difference(self.known):
+                self.learn(new)
+                if gone := need.difference(self.known):
+                    self.learn(gone)
+            out.append(b"".join(map(self.known.__getitem__, pieces)))
         return b"".join(out)
 
 
+def _utf8_steps() -> np.ndarray:
+    """State by state and byte: 0 between characters, 1 to 3 that many bytes to come, 4 to 7 first bytes with narrower second
+    bytes (after E0, ED, F0, F4), 8 no UTF-8."""
+    step = np.full((9, 256), 8, dtype=np.uint8)
+    step[0, :0x80] = 0
+    step[0, 0xC2:0xE0], step[0, 0xE0:0xF0], step[0, 0xF0:0xF5] = 1, 2, 3
+    step[0, [0xE0, 0xED, 0xF0, 0xF4]] = 4, 5, 6, 7
+    for state, low, high, then in ((1, 0x80, 0xC0, 0), (2, 0x80, 0xC0, 1), (3, 0x80, 0xC0, 2), (4, 0xA0, 0xC0, 1), (5, 0x80, 0xA0, 1), (6, 0x90, 0xC0, 2), (7, 0x80, 0x90, 2)):
+        step[state, low:high] = then
+    return step
+
+
+class TokenTable:
+    """The bytes of each id, and the UTF-8 state that they lead to from each state."""
+
+    def __init__(self, path: str):
+        ranks = read_ranks(path)
+        self.pieces = [b""] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            self.pieces[r] = t
+        step, sizes = _utf8_steps(), np.array([len(t) for t in self.pieces])
+        data, first = np.frombuffer(b"".join(self.pieces), dtype=np.uint8), np.cumsum(sizes) - sizes
+        self.after = np.tile(np.arange(9, dtype=np.uint8), (len(sizes), 1))
+        for k in range(int(sizes.max())):
+            some = np.flatnonzero(sizes > k)
+            self.after[some] = step[self.after[some], data[first[some] + k][:, None]]
+
+
 class Utf8Stream:
-    """Incremental UTF-8 state machine.
+    """Incremental UTF-8 state machine over token ids.
 
-    ``feed`` gives the text of all complete characters; a character cut by the chunk's
-    end waits for the next chunk.  Bytes that are no UTF-8 become U+FFFD and set
-    ``valid`` to false; so does a character that ``close`` finds incomplete.
+    ``feed`` gives the bytes of all complete characters; those of a character that is cut by
+    the chunk's end wait for the next chunk, or for ``close``.  Bytes that are no UTF-8 come
+    out as they are and set ``valid`` to false, as does a character that ``close`` finds incomplete.
     """
 
-    def __init__(self):
-        self.held, self.valid = b"", True
-
-    @staticmethod
-    def waiting(data: bytes) -> int:
-        """How many bytes at the end begin a character that is not complete."""
-        for back in range(1, min(3, len(data)) + 1):
-            b = data[-back]
-            if b & 0xC0 != 0x80:  # a first byte
-                need = 2 if 0xC2 <= b < 0xE0 else 3 if 0xE0 <= b < 0xF0 else 4 if 0xF0 <= b < 0xF5 else 1
-                return back if need > back else 0
-        return 0
-
-    def _text(self, data: bytes) -> str:
-        try:
-            return data.decode()
-        except UnicodeDecodeError:
-            self.valid = False
-            return data.decode(errors="replace")
+    def __init__(self, table: TokenTable):
+        self.table, self.state, self.held, self.valid = table, 0, b"", True
 
-    def feed(self, data: bytes) -> str:
-        data = self.held + data
-        n = self.waiting(data)
-        self.held = data[len(data) - n :]
-        return self._text(data[: len(data) - n])
+    def feed(self, ids: np.ndarray) -> bytes:
+        after, state, k = self.table.after, self.state, 0
+        cuts = np.flatnonzero(after[ids, 0])  # tokens that do not end where a character does, if they begin where one does
+        while k < len(ids):
+            if state == 0:
+                at = np.searchsorted(cuts, k)
+                if at == len(cuts):
+                    break
+                k = cuts[at]
+            elif state == 8:
+                break
+            state = int(after[ids[k], state])
+            k += 1
+        data = self.held + b"".join(map(self.table.pieces.__getitem__, ids.tolist()))
+        self.state, waits = state, 0
+        if state == 8:
+            self.valid = False
+        elif state:
+            waits = next(n for n in (1, 2, 3) if data[-n] & 0xC0 == 0xC0)  # back to the character's first byte
+        self.held = data[len(data) - waits :]
+        return data[: len(data) - waits]
 
-    def close(self) -> str:
+    def close(self) -> bytes:
+        self.valid &= not self.held
         held, self.held = self.held, b""
-        return self._text(held) if held else ""
+        return held
 
 
 @lru_cache(2)
@@ -287,16 +436,34 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-remembers(__name__, lambda: _encoder.cache_clear())
+remembers(__name__, lambda: (_encoder.cache_clear(), _tokens.cache_clear()))
 
 
 @lru_cache(2)
-def _token_bytes(path: str) -> list[bytes]:
-    ranks = read_ranks(path)
-    out = [b""] * (max(ranks.values()) + 1)
-    for t, r in ranks.items():
-        out[r] = t
-    return out
+def _tokens(path: str) -> TokenTable:
+    return TokenTable(path)
+
+
+def _decoded(rows: list[bytes | None], path: str, chunk: int) -> tuple[list[bytes], list[bool]]:
+    decoded, valid = [], []
+    for row in rows:
+        ids, stream = np.frombuffer(row or b"", dtype="<u4"), Utf8Stream(_tokens(path))
+        out = [stream.feed(ids[k : k + chunk]) for k in range(0, len(ids), chunk)]
+        decoded.append(b"".join([*out, stream.close()]))
+        valid.append(stream.valid)
+    return decoded, valid
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, chunk: int = 1 << 16) -> DataFrame:
+    """encode_texts, then decode_ids, in one pass over the rows."""
+    keep = keep if keep is not None else [c for c in df.columns if c != text]
+
+    def function(texts: list[str]) -> list:
+        ids = _encoder(path).texts(texts)
+        return [ids, [len(x) // 4 for x in ids], *_decoded(ids, path, chunk)]
+
+    fields = [("ids", T.BinaryType()), ("n_tokens", T.LongType()), ("decoded", T.BinaryType()), ("valid_utf8", T.BooleanType())]
+    return map_texts(df, text, keep, [T.StructField(*f) for f in fields], function)
 
 
 def encode_texts(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -308,8 +475,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", keep: list[str] |
     keep = keep if keep is not None else [c for c in df.columns if c != text]
 
     def function(texts: list[str]) -> list:
-        encoder = _encoder(path)
-        ids = [encoder.text(x) for x in texts]
+        ids = _encoder(path).texts(texts)
         return [ids, [len(x) // 4 for x in ids]]
 
     return map_texts(df, text, keep, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], function)
@@ -327,19 +493,8 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", chunk: int = 1 << 16)
 
     def run(batches):
         claim(__name__)
-        vocabulary = _token_bytes(path)
         for batch in batches:
-            decoded, valid = [], []
-            for row in batch.column(place).to_pylist():
-                numbers = np.frombuffer(row or b"", dtype="<u4")
-                stream, out = Utf8Stream(), []
-                for k in range(0, len(numbers), chunk):
-                    data = b"".join(map(vocabulary.__getitem__, numbers[k : k + chunk].tolist()))
-                    stream.feed(data)
-                    out.append(data)
-                stream.close()
-                decoded.append(b"".join(out))
-                valid.append(stream.valid)
+            decoded, valid = _decoded(batch.column(place).to_pylist(), path, chunk)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary()), pa.array(valid, pa.bool_())], names=names)
 
     return df.mapInArrow(run, schema)

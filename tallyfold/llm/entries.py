@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe_transducer import decode_ids, encode_texts
+from .bpe_transducer import round_trip
 from .common import read
 from .context_mixing import language_model_scores
 from .edit_windows import found_items
@@ -66,7 +66,7 @@ def op7_weighted_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return decode_ids(encode_texts(docs, path), path).select(
+    return round_trip(docs, path).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "valid_utf8"
     )
 

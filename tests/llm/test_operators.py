@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyfold.llm import (
-    bpe_transducer, components, context_mixing, edit_windows, induced_sort, isolation_rules, language_id, line_templates, range_shards, shingles,
+    bpe_transducer, components, context_mixing, edit_windows, induced_sort, isolation_rules, language_id, line_templates, pretokens, range_shards, shingles,
     suffix_repeats, token_counts, weighted_near_dup,
 )
 
@@ -415,6 +415,8 @@ def test_encoding_and_decoding(spark, docs, odd, none):
     got = bpe_transducer.decode_ids(encoded, path, chunk=7).collect()
     pack = lambda t: np.array(library.encode_ordinary(t), dtype="<u4").tobytes()
     assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"]), r["valid_utf8"]) for r in got) == Counter((k, pack(t), t.encode(), True) for k, t in texts_of(df))
+    both = bpe_transducer.round_trip(df.withColumn("x", F.lit(1)), path).collect()
+    assert Counter((r["doc_id"], r["x"], bytes(r["ids"]), bytes(r["decoded"]), r["n_tokens"]) for r in both) == Counter((r["doc_id"], 1, bytes(r["ids"]), bytes(r["decoded"]), r["n_tokens"]) for r in got)
     assert bpe_transducer.decoded_texts(encoded, path).where("text IS NULL").count() == 0
     assert bpe_transducer.encode_texts(none, path).count() == 0
 
@@ -422,27 +424,55 @@ def test_encoding_and_decoding(spark, docs, odd, none):
 def test_transducer_forgets_without_harm(monkeypatch):
     monkeypatch.setattr(bpe_transducer, "REMEMBERED_MOVES", 50)
     monkeypatch.setattr(bpe_transducer, "REMEMBERED_PAIRS", 50)
-    t = bpe_transducer.Transducer(bpe_transducer.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    ranks = bpe_transducer.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    t = bpe_transducer.Transducer(ranks)
     rng = random.Random(6)
-    for _ in range(300):
-        data = bytes(rng.choices(b"aehinorst ", k=rng.randrange(1, 40)))
-        assert t.encode(data) == t.merged(data)
+    for _ in range(40):
+        words = [bytes(rng.choices(b"aehinorst ", k=rng.randrange(1, 40))) for _ in range(8)]
+        want = [[ranks[x] for x in t.merged(w)] for w in words]
+        assert [np.frombuffer(x, "<u4").tolist() for x in t.encode_all(words)] == want
+        assert t.encode(words[0]) == want[0]
+
+
+def test_moves_are_found_again():
+    rng, moves, want = random.Random(1), bpe_transducer.Moves(4), {}
+    for _ in range(3000):
+        key, value = rng.randrange(1 << 28), rng.randrange(1 << 50)
+        want[key] = value
+        moves.put(key, value)
+    keys = [*want, *range(1 << 28, (1 << 28) + 500)]
+    assert moves.find(np.array(keys)).tolist() == [want.get(k, -1) for k in keys] and moves.n == len(want)
+
+
+def test_latin_texts_have_the_same_pretokens():
+    rng = random.Random(2)
+    for top in (128, 256):
+        for _ in range(300):
+            text = "".join(chr(rng.randrange(top)) if rng.random() < 0.7 else rng.choice(" \n'st\x85\xa0") for _ in range(60))
+            assert pretokens.pretokens(text) == pretokens._matchers()[0].findall(text)
 
 
 def test_utf8_stream():
+    table = bpe_transducer._tokens(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    of_byte = [table.pieces.index(bytes([b])) for b in range(256)]
+    ids = lambda data: np.array([of_byte[b] for b in data], dtype="<u4")
     rng = random.Random(7)
-    for _ in range(200):
-        data = "".join(rng.choices("aé中🙂", k=20)).encode()
-        s, out, k = bpe_transducer.Utf8Stream(), "", 0
+    for trial in range(600):
+        data = "".join(rng.choice("aé中🙂") for _ in range(12)).encode() if trial % 3 else bytes(rng.choice(b"\xe2\x82\xac\xf0\x9f\x98\xc3\xa9a\xed\xff") for _ in range(6))
+        s, out, k = bpe_transducer.Utf8Stream(table), [], 0
         while k < len(data):
             n = rng.randint(1, 3)
-            out += s.feed(data[k : k + n])
+            out.append(s.feed(ids(data[k : k + n])))
             k += n
-        assert out + s.close() == data.decode() and s.valid
-    s = bpe_transducer.Utf8Stream()
-    assert s.feed(b"a\xff") == "a�" and not s.valid
-    s = bpe_transducer.Utf8Stream()
-    assert s.feed("é".encode()[:1]) == "" and s.close() == "�" and not s.valid
+        out.append(s.close())
+        assert b"".join(out) == data
+        try:
+            data.decode()
+            assert s.valid and all(x.decode() is not None for x in out)  # whole characters only
+        except UnicodeDecodeError:
+            assert not s.valid
+    s = bpe_transducer.Utf8Stream(table)
+    assert s.feed(ids("é".encode()[:1])) == b"" and s.close() == "é".encode()[:1] and not s.valid
 
 
 # --- 9 lines -------------------------------------------------------------------------------------
