@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.bpe_transducer import decode_ids, encode_texts
+from tallyfold.llm.bpe_transducer import round_trip
 from tallyfold.llm.common import cut, read
 from tallyfold.llm.edit_windows import without_contaminated
 from tallyfold.llm.language_id import identified
@@ -47,7 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, token ids and whether they decode to the text again."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    done = decode_ids(encode_texts(docs, path, keep=["doc_id"]), path)
+    done = round_trip(docs, path, keep=["doc_id"])
     return done.select("doc_id", "n_tokens", F.hex("ids").alias("ids_hex"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "valid_utf8")
 
 
