@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DIGESTS, INFO
+from ..sources.shared import cut
 
 _FUNCTIONS = {"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256)}
 ATTEMPTS = 3
@@ -56,11 +57,12 @@ def stable(before: DataFrame, after: DataFrame) -> DataFrame:
 def read_stable(todo: DataFrame, read: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """Digests of files that held still, and the paths that changed in all of ATTEMPTS tries.
 
-    ``read(paths)`` lists, digests and lists again, and gives the three tables.
+    ``read(paths)`` lists, digests and lists again, and gives the three tables, in the order in which they are to be made.
     """
     done, left = None, todo.select("path")
     for _ in range(ATTEMPTS):
-        before, digests, after = read(left)
+        # Cut, so that the digests are those of the very read that was judged.
+        before, digests, after = (cut(t, f"try-{name}") for name, t in zip(("before", "digests", "after"), read(left)))
         verdict = stable(before, after)
         good = digests.join(verdict.where("stable"), "path", "left_semi")
         done = good if done is None else done.unionByName(good)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.digests import info
-from ..functions.predicates import may_have_metadata
+from ..functions.digests import info, merge_digests, plan_digests
+from ..functions.predicates import ignore_names, may_have_metadata, split_errors
 from ..schema import DIGESTS
+from ..sources.inventory import Index, upsert
 
 
 def lookup_paths(requests: DataFrame, files: DataFrame) -> DataFrame:
-    """The file row of each request ``(pos, path)``; nulls where unknown.  Each repeat of a path is answered."""
-    return requests.join(files, "path", "left")
+    """The file row of each request ``(pos, path)``, in the order of ``pos``; nulls where unknown.  Each repeat of a path is
+    answered."""
+    return requests.join(files, "path", "left").orderBy("pos")
 
 
 def classify(listing: DataFrame, files: DataFrame) -> DataFrame:
@@ -71,3 +75,29 @@ def index_summary(df: DataFrame) -> DataFrame:
         F.count("*").alias("files"), F.countDistinct("content_hash").alias("contents"),
         F.count_if(F.col("hash_computed")).alias("computed"), F.count_if(~F.col("hash_computed")).alias("reused"),
     )
+
+
+def run_index(listing: DataFrame, index: Index, digest: Callable[[DataFrame], DataFrame], decode: Callable[[DataFrame], DataFrame], desired=DIGESTS) -> tuple[DataFrame, Index]:
+    """One run of the index: the records of all files that could be listed, and the three tables after it.
+
+    Ignored names and failed entries go; files are classified against the index; new and
+    changed ones are digested, as are unchanged ones that lack a digest asked for:
+    ``digest(rows)`` adds ``content`` (the key digest) and a struct ``new`` of the further
+    ones.  Contents of photo candidates without an image row are decoded: ``decode(hashes)``
+    gives image rows for ``content_hash``.  Rows already known are taken from the index, and
+    what was computed replaces or joins its tables; nothing is ever removed from them.
+    """
+    ok, _ = split_errors(ignore_names(listing))
+    classified = classify(ok, index.files)
+    known = attach_extra(classified, index.extra, bool(desired))
+    planned = plan_digests(known, desired).withColumn("read", (F.col("status") != "unchanged") | (F.size("todo") > 0))
+    read = digest(planned.where("read")).withColumn("content_hash", F.coalesce("content_hash", "content"))
+    digested = merge_digests(read).select(*planned.columns).unionByName(planned.where("NOT read"))
+    flagged = computed_flags(digested, index.images)
+    made = decode(images_to_compute(flagged, index.images))
+    images = index.images.unionByName(made.select(*index.images.columns))
+    records = attach_images(flagged, images)
+    once = F.lit(1)
+    files = upsert(index.files, records.where("hash_computed").select(*index.files.columns, once.alias("seq")), ["path"], "seq")
+    more = records.where("read AND store_extra").select(*index.extra.columns).dropDuplicates(["content_hash"]).withColumn("seq", once)
+    return records, Index(files, images, upsert(index.extra, more, ["content_hash"], "seq"))

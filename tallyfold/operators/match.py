@@ -1,8 +1,11 @@
 """Matching a source with destinations by equal hashes.
 
 Inputs have ``path`` and the hash columns ``h0`` (content), ``h1`` (rotation), ``h2``
-(block); a null hash never matches.  The destination is aggregated first, so that a
-source row meets at most three rows, however many copies a hash has.
+(block); a null hash never matches.  A match is a class of paths, known by kind and hash:
+``class_sizes`` counts a class, ``class_members`` lists it one row a path, and the links of
+a source path name classes, three at most, however many copies a hash has.  Lists of paths
+(``hash_index``, ``find_matches``, ``diff``) are for reports: a list is one row, so that a
+content with very many copies is better read as a class.
 """
 
 from __future__ import annotations
@@ -21,32 +24,56 @@ def melted(df: DataFrame, exact: bool = False) -> DataFrame:
     ).where("hash IS NOT NULL")
 
 
+def class_members(df: DataFrame, exact: bool = False) -> DataFrame:
+    """``kind, hash, path``: the distinct paths of each hash, over all roots."""
+    return melted(df, exact).select("kind", "hash", "path").distinct()
+
+
+def class_sizes(df: DataFrame, exact: bool = False) -> DataFrame:
+    """``kind, hash, n_paths``; equal rows are counted once before they meet."""
+    return class_members(df, exact).groupBy("kind", "hash").agg(F.count("*").alias("n_paths"))
+
+
+def duplicate_classes(df: DataFrame, exact: bool = False) -> DataFrame:
+    """Hashes that more than one path has, with the number of paths."""
+    return class_sizes(df, exact).where("n_paths > 1")
+
+
+def find_classes(src: DataFrame, dest: DataFrame, exact: bool = False) -> DataFrame:
+    """``path, kind, hash, n_paths``: the destination's classes that each source path is linked to."""
+    return class_members(src, exact).join(class_sizes(dest, exact), ["kind", "hash"]).select("path", "kind", "hash", "n_paths")
+
+
 def hash_index(dest: DataFrame, exact: bool = False) -> DataFrame:
     """``kind, hash, paths``: the sorted set of paths of each hash, over all roots."""
     return melted(dest, exact).groupBy("kind", "hash").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 
-def duplicate_groups(df: DataFrame, exact: bool = False) -> DataFrame:
-    """Hashes that more than one path has."""
-    return hash_index(df, exact).where(F.size("paths") > 1)
-
-
 def _hits(src: DataFrame, dest: DataFrame, exact: bool) -> DataFrame:
-    return melted(src, exact).join(hash_index(dest, exact), ["kind", "hash"])
+    """The classes of source paths with their lists, which are made for classes that are hit only."""
+    hit = melted(src, exact)
+    paths = melted(dest, exact).join(hit.select("kind", "hash").distinct(), ["kind", "hash"], "left_semi")
+    return hit.join(paths.groupBy("kind", "hash").agg(F.array_sort(F.collect_set("path")).alias("paths")), ["kind", "hash"])
 
 
 def find_matches(src: DataFrame, dest: DataFrame, exact: bool = False) -> DataFrame:
-    """Every source path with the sorted distinct destination paths over all kinds (empty: no match)."""
+    """Every source path, in order, with the sorted distinct destination paths over all kinds (empty: no match)."""
     found = _hits(src, dest, exact).groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("paths")))).alias("matches"))
     return src.select("path").distinct().join(found, "path", "left").withColumn(
         "matches", F.coalesce("matches", F.array().cast("array<string>"))
-    )
+    ).orderBy("path")
 
 
 def diff(src: DataFrame, dest: DataFrame, exact: bool = False) -> DataFrame:
-    """Every source path with the first kind that hits (``tier``, null: none) and that kind's paths."""
+    """Every source path, in order, with the first kind that hits (``tier``, null: none) and that kind's paths."""
     first = _hits(src, dest, exact).groupBy("path").agg(F.min("kind").alias("tier"), F.min_by("paths", "kind").alias("matches"))
-    return src.select("path").distinct().join(first, "path", "left")
+    return src.select("path").distinct().join(first, "path", "left").orderBy("path")
+
+
+def diff_classes(src: DataFrame, dest: DataFrame, exact: bool = False) -> DataFrame:
+    """As diff with the class (``hash``, ``n_paths``) in place of its paths."""
+    first = find_classes(src, dest, exact).groupBy("path").agg(F.min_by(F.struct(F.col("kind").alias("tier"), "hash", "n_paths"), "kind").alias("x"))
+    return src.select("path").distinct().join(first, "path", "left").select("path", "x.tier", "x.hash", "x.n_paths").orderBy("path")
 
 
 def diff_tiers(src: DataFrame, dest: DataFrame, exact: bool = False) -> DataFrame:

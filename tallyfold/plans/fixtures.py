@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SIDE = 8
+SIDE, WIDE, HIGH = 8, 24, 20
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,16 +22,20 @@ def tagged(letter: str, c: str = "h0") -> Column:
 
 
 def docs_files(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    return as_files(table(spark, sf, "documents")).drop("text")
+
+
+def as_files(d: DataFrame) -> DataFrame:
+    """Documents as listing rows with their hashes and texts."""
     n = F.col("doc_id")
     ending = F.element_at(F.array(*map(F.lit, (".jpg", ".JPEG", ".heic", ".txt", ".HEIF", ".jfif", "", ".png"))), (n % 8 + 1).cast("int"))
     name = F.when(n % 41 == 0, ".picasa.ini").when(n % 37 == 0, F.concat(F.lit("._IMG_"), n, F.lit(".jpg"))).otherwise(F.concat(F.lit("IMG_"), n, ending))
     return d.select(
-        "doc_id", (F.substring("source", 4, 10).cast("int") < 5).alias("is_src"),
+        "doc_id", "text", (F.substring("source", 4, 10).cast("int") < 5).alias("is_src"),
         F.concat(F.lit("/lib/"), "source", F.lit("/"), "lang", F.lit("/"), n, F.lit("/"), name).alias("path"), n.alias("inode"),
         F.when(n % 29 == 0, 40000000).when(n % 29 == 8, 40000001).otherwise(F.octet_length("text")).cast("long").alias("size"),
         ((n - 100) * 1000000007).alias("mtime_ns"), F.when(n % 53 == 0, "io error").alias("error"), sha("text").alias("h0"),
-        F.when(n % 8 != 2, sha(F.left("text", F.lit(256)))).alias("h1"), F.when(n % 8 != 3, sha(F.left("text", F.lit(64)))).alias("h2"),
+        F.when(n % 8 != 2, sha(F.translate("text", UPPER, UPPER.lower()))).alias("h1"), F.when(n % 8 != 3, sha(F.translate("text", "0123456789 ,.", ""))).alias("h2"),
     )
 
 
@@ -81,6 +86,12 @@ def grids_src(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def pictures(spark: SparkSession, sf: str) -> DataFrame:
+    """Pictures of WIDE by HIGH cells, whose blocks of 16 by 16 have fractional edges."""
+    cells = F.transform(F.sequence(F.lit(0), F.lit(WIDE * HIGH - 1)), lambda i: F.element_at("values", ((i * 7 + F.floor(i / WIDE) * 3) % 64 + 1).cast("int")))
+    return grids_src(spark, sf).select("vec_id", F.lit(WIDE).alias("width"), F.lit(HIGH).alias("height"), cells.alias("values"))
+
+
 def grids_dst(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.grids import _permuted
 

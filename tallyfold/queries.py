@@ -25,8 +25,8 @@ _VIEWS = {
   CAST(CASE doc_id % 29 WHEN 0 THEN 40000000 WHEN 8 THEN 40000001 ELSE strlen(text) END AS BIGINT) AS size,
   (doc_id - 100) * 1000000007 AS mtime_ns,
   CASE WHEN doc_id % 53 = 0 THEN 'io error' END AS error,
-  sha256(text) AS h0, CASE WHEN doc_id % 8 <> 2 THEN sha256(left(text, 256)) END AS h1,
-  CASE WHEN doc_id % 8 <> 3 THEN sha256(left(text, 64)) END AS h2 FROM documents""",
+  sha256(text) AS h0, CASE WHEN doc_id % 8 <> 2 THEN sha256(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) END AS h1,
+  CASE WHEN doc_id % 8 <> 3 THEN sha256(translate(text, '0123456789 ,.', '')) END AS h2 FROM documents""",
     "files_old": """SELECT path, inode + (doc_id % 10 = 3)::INT AS inode, size + (doc_id % 10 = 2)::INT AS size,
   mtime_ns + (doc_id % 10 = 1)::INT AS mtime_ns, h0 AS content_hash FROM docs_files WHERE doc_id % 10 <> 0
 UNION ALL SELECT '/gone/' || doc_id, inode, size, mtime_ns, h0 FROM docs_files WHERE doc_id % 50 = 9""",
@@ -107,7 +107,9 @@ def _with(body: str) -> str:
                     needed.append(name)
 
     visit(body)
-    return "WITH " + ",\n".join(f"{n} AS ({_VIEWS[n]})" for n in needed) + "\n" + body if needed else body
+    head = "WITH " + ",\n".join(f"{n} AS ({_VIEWS[n]})" for n in needed)
+    own = body.removeprefix("WITH ")  # a statement with views of its own goes on with them
+    return body if not needed else f"{head}\n{body}" if own == body else f"{head},\n{own}"
 
 
 def query(sql: str | None):
@@ -148,9 +150,9 @@ def _classified(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- sources and sinks ---------------------------------------------------------------------------
 
-@query(None)
+@query("SELECT path, inode, size, mtime_ns, error FROM docs_files")
 def q_inventory(spark, sf):
-    return src.read_inventory(spark, [sf]).select("path", "size")
+    return src.as_listing(fx.docs_files(spark, sf))
 
 
 @query("""SELECT path, max(seq) AS seq, arg_max(value, seq) AS value FROM event_rows GROUP BY path""")
@@ -242,6 +244,14 @@ def q_digest_plan(spark, sf):
     return plan_digests(d).select("path", _joined("todo").alias("todo"), "store_extra")
 
 
+@query("""SELECT path, CASE WHEN md5 IS NULL THEN md5(path) ELSE md5 END AS md5, CASE WHEN sha1 IS NULL THEN sha1(path) ELSE sha1 END AS sha1, e.sha256
+FROM docs_files LEFT JOIN extra_tbl e ON e.content_hash = h0""")
+def q_digest_merge(spark, sf):
+    d = fx.docs_files(spark, sf).withColumn("content_hash", F.col("h0")).join(fx.extra_tbl(spark, sf), "content_hash", "left")
+    new = F.struct(F.md5("path").alias("md5"), F.sha1("path").alias("sha1"), F.sha2("path", 256).alias("sha256"))
+    return digests.merge_digests(plan_digests(d, ("md5", "sha1")).withColumn("new", new)).select("path", "md5", "sha1", "sha256")
+
+
 @query("SELECT path FROM flagged WHERE hash_computed OR image_computed")
 def q_changed_only(spark, sf):
     return predicates.changed_only(index.computed_flags(_classified(spark, sf), fx.images_tbl(spark, sf))).select("path")
@@ -303,6 +313,17 @@ def q_blockhash(spark, sf):
     return fx.grids_src(spark, sf).select("vec_id", grids.cell_bits(brightest=255).alias("bits"))
 
 
+@query("""WITH cells AS (SELECT vec_id, x, y, v[CAST(((y * 24 + x) * 7 + y * 3) % 64 + 1 AS INT)] AS c FROM grids_src, (SELECT unnest(range(24)) AS x), (SELECT unnest(range(20)) AS y)),
+shares AS (SELECT b, w, x, greatest(0, least((b + 1) * w / 16.0, x + 1) - greatest(b * w / 16.0, x)) AS s
+  FROM (SELECT unnest(range(16)) AS b), (SELECT unnest([20, 24]) AS w), (SELECT unnest(range(24)) AS x)),
+blocks AS (SELECT vec_id, r.b AS i, q.b AS j, sum(c * r.s * q.s) AS m FROM cells JOIN shares r ON r.w = 20 AND r.x = y AND r.s > 0 JOIN shares q ON q.w = 24 AND q.x = cells.x AND q.s > 0 GROUP BY ALL),
+bands AS (SELECT vec_id, i // 4 AS band, median(m) AS mid FROM blocks GROUP BY ALL)
+SELECT b.vec_id, string_agg(CASE WHEN m > mid OR (abs(m - mid) < 1 AND mid > 255 * 1.5 * 1.25 / 2) THEN '1' ELSE '0' END, '' ORDER BY i * 16 + j) AS bits
+FROM blocks b JOIN bands d ON d.vec_id = b.vec_id AND d.band = i // 4 GROUP BY b.vec_id""")
+def q_blockhash_pictures(spark, sf):
+    return fx.pictures(spark, sf).select("vec_id", grids.blockhash(16, 255)("values", "width", "height").alias("bits"))
+
+
 @query("SELECT vec_id, CASE vec_id % 8 + 1 " + " ".join(f"WHEN {n} THEN {_dig(_turned('v', n))}" for n in _TURN) + " END AS digest FROM grids_src")
 def q_apply_orientation(spark, sf):
     names = F.array(*map(F.lit, grids.TRANSFORMS.values()))
@@ -365,6 +386,48 @@ def q_index_summary(spark, sf):
     return index.index_summary(index.computed_flags(_classified(spark, sf), fx.images_tbl(spark, sf)))
 
 
+_RUN = """WITH listed AS (SELECT c.*, o.content_hash AS old FROM classified c LEFT JOIN files_old o ON o.path = c.path
+  WHERE error IS NULL AND regexp_extract(c.path, '[^/]+$') <> '.picasa.ini' AND NOT starts_with(regexp_extract(c.path, '[^/]+$'), '._')),
+hashed AS (SELECT *, CASE WHEN status = 'unchanged' THEN old ELSE h0 END AS content_hash FROM listed),
+more AS (SELECT h.*, e.md5, e.sha1, e.sha256, coalesce(status = 'unchanged' AND md5 IS NOT NULL AND sha1 IS NOT NULL AND e.sha256 IS NOT NULL, false) AS whole
+  FROM hashed h LEFT JOIN extra_tbl e ON e.content_hash = h.content_hash)
+"""
+
+
+def _index_run(spark, sf):
+    content = fx.table(spark, sf, "documents").select("doc_id", "text")
+
+    def digest(rows):
+        read = with_digests(rows.drop("md5", "sha1", "sha256").join(content, "doc_id"), "text", key="content")
+        done = read.select("doc_id", "content", F.struct("md5", "sha1", "sha256").alias("new"))
+        return rows.join(done, "doc_id")
+
+    def decode(hashes):
+        h = F.col("content_hash")
+        return hashes.select(h, F.lit(1).cast("int").alias("width"), F.lit(2).cast("int").alias("height"), F.sha2(F.concat(F.lit("n"), h), 256).alias("rothash"), h.alias("blockhash"))
+
+    listing = fx.docs_files(spark, sf).select("doc_id", "path", "inode", "size", "mtime_ns", "error")
+    return index.run_index(listing, src.Index(fx.files_old(spark, sf), fx.images_tbl(spark, sf), fx.extra_tbl(spark, sf)), digest, decode)
+
+
+@query(_RUN + """SELECT m.path, status, m.content_hash, CASE WHEN whole THEN m.md5 ELSE md5(text) END AS md5, CASE WHEN whole THEN m.sha256 ELSE sha256(text) END AS sha256,
+  CASE WHEN m.path NOT IN (SELECT path FROM photos) THEN NULL WHEN i.content_hash IS NULL THEN 1 ELSE i.width END AS width
+FROM more m JOIN documents d ON d.doc_id = m.doc_id LEFT JOIN images_tbl i ON i.content_hash = m.content_hash""")
+def q_index_run(spark, sf):
+    return _index_run(spark, sf)[0].select("path", "status", "content_hash", "md5", "sha256", "width")
+
+
+@query(_RUN + """SELECT path, inode, size, mtime_ns, content_hash FROM files_old WHERE path NOT IN (SELECT path FROM hashed WHERE status <> 'unchanged')
+UNION ALL SELECT path, inode, size, mtime_ns, content_hash FROM hashed WHERE status <> 'unchanged'""")
+def q_index_run_files(spark, sf):
+    return _index_run(spark, sf)[1].files
+
+
+@query(_RUN + """SELECT DISTINCT content_hash FROM (SELECT content_hash FROM more WHERE NOT whole UNION ALL SELECT content_hash FROM extra_tbl)""")
+def q_index_run_extra(spark, sf):
+    return _index_run(spark, sf)[1].extra.select("content_hash")
+
+
 # --- matching ------------------------------------------------------------------------------------
 
 _FIND = """SELECT d.path, coalesce(m, '') AS matches FROM docs_files d LEFT JOIN (SELECT path, string_agg(other, '|' ORDER BY other) AS m
@@ -381,6 +444,25 @@ def q_find_exact(spark, sf):
     return match.find_matches(*_sides(spark, sf), exact=True).select("path", _joined("matches").alias("matches"))
 
 
+_SIZES = "(SELECT kind, hash, count(DISTINCT path) AS n_paths FROM melted WHERE NOT is_src GROUP BY ALL)"
+
+
+@query(f"SELECT DISTINCT m.path, CAST(m.kind AS INT) AS kind, m.hash, n_paths FROM melted m JOIN {_SIZES} d ON d.kind = m.kind AND d.hash = m.hash WHERE is_src")
+def q_find_classes(spark, sf):
+    return match.find_classes(*_sides(spark, sf))
+
+
+@query("SELECT DISTINCT CAST(kind AS INT) AS kind, hash, path FROM melted WHERE NOT is_src")
+def q_class_members(spark, sf):
+    return match.class_members(_sides(spark, sf)[1])
+
+
+@query(f"""SELECT t.path, t.tier, m.hash, n_paths FROM tiers t LEFT JOIN melted m ON m.path = t.path AND m.kind = t.tier AND m.is_src
+LEFT JOIN {_SIZES} d ON d.kind = m.kind AND d.hash = m.hash""")
+def q_diff_classes(spark, sf):
+    return match.diff_classes(*_sides(spark, sf))
+
+
 @query("SELECT path, tier FROM tiers")
 def q_diff_tiers(spark, sf):
     return match.diff_tiers(*_sides(spark, sf))
@@ -419,7 +501,7 @@ def q_hash_index(spark, sf):
 
 @query("SELECT CAST(kind AS INT) AS kind, hash, count(DISTINCT path) AS n_paths FROM melted GROUP BY ALL HAVING count(DISTINCT path) > 1")
 def q_duplicates(spark, sf):
-    return match.duplicate_groups(fx.docs_files(spark, sf)).select("kind", "hash", F.size("paths").cast("long").alias("n_paths"))
+    return match.duplicate_classes(fx.docs_files(spark, sf))
 
 
 # --- audit ---------------------------------------------------------------------------------------
@@ -482,19 +564,11 @@ def _drained(spark, sf, name, run):
     """Run a stream over one table's file(s) and give what it left behind."""
     import uuid
 
-    folder = f"{_work_dir(spark)}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(fx.table(spark, sf, name).schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/{name}.parquet*")
-    return run(stream, folder)
-
-
-def _work_dir(spark) -> str:
-    import tempfile
+    from .sources.shared import shared_dir
 
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tallyfold-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(fx.table(spark, sf, name).schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 2).parquet(f"{sf}/{name}.parquet*")
+    return run(stream, folder)
 
 
 @query("SELECT DISTINCT sha256(text) AS content_hash FROM documents")
@@ -514,14 +588,35 @@ def q_stream_first_seen(spark, sf):
 def q_stream_index(spark, sf):
     from pyspark.sql import types as T
 
-    from .streaming.index_stream import VersionedTable, start_upsert_stream
+    from .streaming.index_stream import DeltaTable, start_upsert_stream
 
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("value", T.DoubleType())])
 
     def run(stream, folder):
         rows = stream.select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("path"), F.col("event_id").alias("seq"), "value")
-        table = VersionedTable(spark, folder.removeprefix("file://") + "/table", schema)
-        start_upsert_stream(rows, table, ["path"], "seq", f"{folder}/state").awaitTermination()
+        table = DeltaTable(spark, f"{folder}/table", schema, ["path"], "seq")
+        start_upsert_stream(rows, table, f"{folder}/state").awaitTermination()
         return table.read()
 
     return _drained(spark, sf, "events", run)
+
+
+@query("""SELECT path, inode, size, mtime_ns, h0 AS content_hash FROM docs_files WHERE error IS NULL
+UNION ALL SELECT path, inode, size, mtime_ns, content_hash FROM files_old WHERE path NOT IN (SELECT path FROM docs_files WHERE error IS NULL)""")
+def q_stream_classify(spark, sf):
+    """The index of files kept from a stream of listing rows: each batch is classified against the index, and new and changed files are digested."""
+    from .schema import FILES
+    from .streaming.index_stream import DeltaTable, start_upsert_stream
+
+    def prepare(batch, current):
+        classified = index.classify(batch, current)
+        todo = classified.where("status <> 'unchanged'").withColumn("content_hash", F.sha2("text", 256))
+        return todo.select(*FILES.names, F.lit(1).alias("seq"))
+
+    def run(stream, folder):
+        table = DeltaTable(spark, f"{folder}/table", FILES, ["path"], "seq")
+        table.seed(fx.files_old(spark, sf))
+        start_upsert_stream(fx.as_files(stream).select("path", "inode", "size", "mtime_ns", "error", "text"), table, f"{folder}/state", prepare).awaitTermination()
+        return table.read()
+
+    return _drained(spark, sf, "documents", run)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import EXTRA, FILES, IMAGES, LISTING
@@ -28,9 +28,14 @@ def read_inventory(spark: SparkSession, roots: list[str], content: bool = False)
     return out
 
 
+def as_listing(df: DataFrame) -> DataFrame:
+    """Rows of another table as a listing: hidden and empty files and failed entries included, one row for each."""
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in LISTING.fields])
+
+
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
     """A ready listing with the LISTING schema."""
-    return spark.read.schema(LISTING).parquet(path)
+    return as_listing(spark.read.schema(LISTING).parquet(path))
 
 
 @dataclass
@@ -64,9 +69,11 @@ def upsert(current: DataFrame, updates: DataFrame, keys: list[str], order: str)
 
 
 def latest_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row with the largest ``order`` for each key, whole."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    return df.withColumn("__place", place).where("__place = 1").drop("__place")
+    """The row with the largest ``order`` for each key, whole; of equal ones the one with the largest hash, so that the
+    choice does not hang on how rows come.  Null orders come before all others.  Tasks aggregate before rows are shuffled."""
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    best = F.max_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(order, F.xxhash64(*hashed))).alias("row")
+    return df.groupBy(*[F.col(k).alias(f"key_{n}") for n, k in enumerate(keys)]).agg(best).select("row.*")
 
 
 def to_json_records(df: DataFrame) -> DataFrame:

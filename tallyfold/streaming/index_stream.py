@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources.inventory import latest_rows, upsert
+from ..sources.inventory import latest_rows
+from ..sources.shared import exists
 
 
 def new_contents_stream(stream: DataFrame, column: str = "content_hash") -> DataFrame:
@@ -18,57 +18,69 @@ def new_contents_stream(stream: DataFrame, column: str = "content_hash") -> Data
     return stream.select(column).where(F.col(column).isNotNull()).dropDuplicates([column])
 
 
-class VersionedTable:
-    """A keyed table in numbered versions, one per micro-batch: a batch that is run again writes the same version.
+class DeltaTable:
+    """A keyed table as a base and the updates of each micro-batch, in any store that Spark reads.
 
-    ``folder`` is a local or shared file-system path; the pointer file is replaced in one step.
+    A batch writes its updates under its own number, so that a batch that is run again writes
+    the same rows in the same place; nothing else is touched.  ``read`` merges when it reads:
+    the latest row of each key, by ``order`` where that is a column of the table, else by
+    batch.  ``compact`` writes what is read as a new base and then notes it; earlier files
+    stay for those who read them.
     """
 
-    def __init__(self, spark, folder: str, schema):
-        self.spark, self.folder, self.schema = spark, folder, schema
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, keys: list[str], order: str):
+        self.spark, self.folder, self.schema, self.keys, self.order = spark, folder, schema, keys, order
 
-    @property
-    def _pointer(self) -> str:
-        return os.path.join(self.folder, "CURRENT")
+    def _table(self, name: str, schema: T.StructType) -> DataFrame:
+        if not exists(self.spark, f"{self.folder}/{name}"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
 
-    def version(self) -> int:
-        if not os.path.exists(self._pointer):
-            return -1
-        with open(self._pointer) as f:
-            return json.load(f)["version"]
+    def base(self) -> int:
+        """The batch up to which the newest base goes; -1 without one."""
+        return self._table("bases", T.StructType([T.StructField("batch", T.LongType())])).agg(F.max("batch")).first()[0] if exists(self.spark, f"{self.folder}/bases") else -1
 
     def read(self) -> DataFrame:
-        v = self.version()
-        if v < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v-{v}")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/v-{version}")
-        with open(self._pointer + ".new", "w") as f:
-            json.dump({"version": version}, f)
-        os.replace(self._pointer + ".new", self._pointer)
-
-
-def start_upsert_stream(stream: DataFrame, table: VersionedTable, keys: list[str], order: str, checkpoint: str, prepare: Callable[[DataFrame, DataFrame], DataFrame] | None = None):
+        base, batch = self.base(), T.StructField("batch", T.LongType())
+        rows = self._table("updates", T.StructType([*self.schema.fields, batch])).where(F.col("batch") > base)
+        if base >= 0:
+            rows = rows.unionByName(self._table(f"base-{base}", self.schema).withColumn("batch", F.lit(base).cast("long")))
+        by = self.order if self.order in self.schema.names else "batch"
+        return latest_rows(rows, self.keys, by).select(*self.schema.names)
+
+    def append(self, updates: DataFrame, batch: int) -> None:
+        """The latest update of each key, as the batch's rows."""
+        latest_rows(updates, self.keys, self.order).select(*self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/updates/batch={batch}")
+
+    def seed(self, rows: DataFrame) -> None:
+        """The first base."""
+        self._note(rows, 0)
+
+    def compact(self) -> None:
+        last = self._table("updates", T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])).agg(F.max("batch")).first()[0]
+        if last is not None and last > self.base():
+            self._note(self.read(), last)
+
+    def _note(self, rows: DataFrame, batch: int) -> None:
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/base-{batch}")
+        self.spark.range(1).select(F.lit(batch).cast("long").alias("batch")).write.mode("append").parquet(f"{self.folder}/bases")
+
+
+def start_upsert_stream(
+    stream: DataFrame, table: DeltaTable, checkpoint: str, prepare: Callable[[DataFrame, DataFrame], DataFrame] | None = None, compact_every: int = 100
+):
     """Fold every micro-batch into the table and stop when the input is drained.
 
     ``prepare(batch, current)`` makes the updates (such as classifying and digesting); rows
-    with an ``error`` are passed over and do not stop the others.
+    with an ``error`` are passed over and do not stop the others.  Batches are numbered from 1;
+    every ``compact_every`` of them the updates are merged into a new base.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= table.version():
-            return
         if "error" in batch.columns:
             batch = batch.where("error IS NULL")
-        current = table.read()
-        updates = prepare(batch, current) if prepare else batch
-        latest = latest_rows(updates, keys, order)
-        if order in table.schema.names:  # the order is a column of the table: an older row never replaces a newer one
-            merged = latest_rows(current.unionByName(latest.select(*table.schema.names)), keys, order)
-        else:
-            merged = upsert(current, updates, keys, order)
-        table.write(merged, batch_id)
+        table.append(prepare(batch, table.read()) if prepare else batch, batch_id + 1)
+        if (batch_id + 1) % compact_every == 0:
+            table.compact()
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
