@@ -39,12 +39,12 @@ BROADCAST_ROWS = 500_000
 
 ANY = "<*>"
 _digit = re.compile(r"[0-9]")
-_field = re.compile(r"\S*[0-9]\S*")
 
 
 def tokens(line: str) -> list[str]:
     """Tokens of a line, with variable fields in place of those that hold a digit."""
-    return (_field.sub(ANY, line) if _digit.search(line) else line).split()
+    words = line.split()
+    return [ANY if _digit.search(w) else w for w in words] if _digit.search(line) else words
 
 
 def line_key(words: list[str]) -> int:
@@ -239,6 +239,15 @@ def recurring_lines(lines: DataFrame, docs: DataFrame, first: str, ids: list[str
     return clustered.unionByName(alone)
 
 
+def _kept_lines(text: str | None, gone) -> tuple[str | None, int, int]:
+    """The text less the lines for whose key ``gone(h)`` holds, its number of lines with a token, and how many went."""
+    parts = (text or "").split("\n")
+    words = [tokens(p) for p in parts]
+    kept = [p for p, w in zip(parts, words) if not w or not gone(line_key(w))]
+    n = sum(map(bool, words))
+    return (text if len(kept) == len(parts) else "\n".join(kept)), n, len(parts) - len(kept)
+
+
 def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of ``docs`` with the text less its recurring lines, then ``n_lines`` and ``n_dropped`` (long).
 
@@ -247,38 +256,51 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     keeps it, as do all rows repeating that row.  Lines are what ``\\n`` parts; lines without
     a token always stay and are not counted.  A null text stays null with 0 lines; a text
     of which nothing is dropped stays as it is.  Columns named ``n_lines`` or ``n_dropped``
-    in ``docs`` are replaced.  An empty table gives an empty result.
+    in ``docs`` are replaced, whatever other names they have.  An empty table gives an empty result.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    own = docs.withColumns({"__hash": F.xxhash64(text)})
-    narrow = own.select(F.col(key).alias("__key"), "__hash", F.col(text).alias("__text"))
-    lines = cut(line_hashes(narrow, ["__key", "__hash"], "__text"), "line-hashes")
-    recurring = cut(recurring_lines(lines, narrow, "__key", ["__key", "__hash"], "__text", min_docs), "recurring")
-    hits = _joined(lines.select("__key", "__hash", "h"), recurring.select("h", "keep"), "h").where(~F.col("__key").eqNullSafe(F.col("keep")))
-    drops = hits.groupBy(F.col("__key").alias("__dkey"), F.col("__hash").alias("__dhash")).agg(F.collect_set("h").alias("__drop"))
-    joined = own.join(drops, F.col(key).eqNullSafe(F.col("__dkey")) & (F.col("__hash") == F.col("__dhash")), "left").drop("__dkey", "__dhash", "__hash")
+    narrow = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    lines = cut(line_hashes(narrow, ["key", "hash"], "text"), "line-hashes")
+    recurring = cut(recurring_lines(lines, narrow, "key", ["key", "hash"], "text", min_docs), "recurring")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    place = docs.columns.index(text)
-
-    def run(batches):
+    names = docs.columns
+    body, named = names.index(text), names.index(key)
+
+    def rows(batch, made):
+        columns = list(batch.columns[: len(names)])
+        columns[body] = pa.array([m[0] for m in made], pa.string())
+        return pa.RecordBatch.from_arrays([*columns, *[pa.array([m[k] for m in made], pa.int64()) for k in (1, 2)]], names=schema.names)
+
+    if recurring.count() <= BROADCAST_ROWS:  # counted: the keys of recurring lines and who keeps them go to the texts
+        found = recurring.select("h", "keep").toArrow().sort_by("h")
+        shared = docs.sparkSession.sparkContext.broadcast((found.column("h").to_numpy().view(np.uint64), found.column("keep").to_pylist()))
+
+        def run(batches):
+            claim(__name__)
+            hashes, keeps = shared.value
+            keeper = dict(zip(hashes.tolist(), keeps))
+            for batch in batches:
+                made = []
+                for x, own in zip(batch.column(body).to_pylist(), batch.column(named).to_pylist()):
+                    made.append(_kept_lines(x, lambda h, own=own: h in keeper and keeper[h] != own))
+                yield rows(batch, made)
+
+        return docs.mapInArrow(run, schema)
+
+    hits = lines.select("key", "hash", "h").join(recurring.select("h", "keep"), "h").where(~F.col("key").eqNullSafe(F.col("keep")))
+    drops = hits.groupBy("key", "hash").agg(F.collect_set("h").alias("drop")).alias("d")
+    # The rows' own columns travel as one struct, so that no name of theirs clashes.
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(key).alias("own_key"), F.xxhash64(text).alias("own_hash"))
+    joined = own.join(drops, F.col("own_key").eqNullSafe(F.col("d.key")) & (F.col("own_hash") == F.col("d.hash")), "left").select("row", "drop")
+
+    def run_joined(batches):
+        claim(__name__)
         for batch in batches:
-            drop = batch.column(len(schema) - 2).to_pylist()
-            out, n_lines, n_dropped = [], [], []
-            for x, gone in zip(batch.column(place).to_pylist(), drop, strict=True):
-                parts = (x or "").split("\n")
-                if not gone:
-                    n_lines.append(sum(1 for p in parts if p and not p.isspace()))
-                    n_dropped.append(0)
-                    out.append(x)
-                    continue
-                gone = {h & (2**64 - 1) for h in gone}
-                words = [tokens(p) for p in parts]
-                kept = [p for p, w in zip(parts, words, strict=True) if not w or line_key(w) not in gone]
-                n_lines.append(sum(map(bool, words)))
-                n_dropped.append(len(parts) - len(kept))
-                out.append("\n".join(kept))
-            columns = list(batch.columns[:-1])
-            columns[place] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names)
-
-    return joined.mapInArrow(run, schema)
+            flat = pa.RecordBatch.from_arrays(batch.column(0).flatten(), names=names)
+            made = []
+            for x, gone in zip(flat.column(body).to_pylist(), batch.column(1).to_pylist()):
+                gone = {h & (2**64 - 1) for h in gone or []}
+                made.append(_kept_lines(x, gone.__contains__))
+            yield rows(flat, made)
+
+    return joined.mapInArrow(run_joined, schema)
