@@ -12,9 +12,10 @@ and keeps the pair (shingle, t); two texts agree in a sample with a chance equal
 their weighted Jaccard similarity.  The draws r, c, b come from a table by the shingle's
 hash.  Samples are banded; texts that share a band are compared exactly.
 
-Links.  In each bucket all texts are compared with its first one.  Texts that are then
-in different components are compared with each other, which settles the rest; pairs
-inside one component need no comparison.  An overfull bucket is parted by longer bands
+Links.  In each bucket all texts are compared with its first one, and where several
+components are left with another one, that differs from bucket to bucket.  Texts that are
+still in different components are compared with each other, a pair in the first bucket that
+it shares only, which settles the rest; pairs inside one component need no comparison.  An overfull bucket is parted by longer bands
 of more samples, which let fewer texts below the threshold meet; before that, texts that
 can have no link, because too much of their weight is in shingles that no other text of
 the overfull buckets has, are left out.
@@ -41,8 +42,6 @@ SIMILARITY = 0.8
 #: (more than FULL texts) (1 - 0.8^10)^60 = 0.11 %.
 BANDS, ROWS = 12, 4
 FINE_BANDS, FINE_ROWS, FULL = 60, 10, 48
-#: No weight hangs on it any more; the tests read it.
-RARE = 1000
 #: Bytes of text in a slice, and about so many shingles in a range of hashes.
 SLICE_BYTES, RANGE = 4_000_000, 1_000_000
 LEVELS, STEP = 32, 0.2
@@ -339,24 +338,40 @@ def _labelled(own: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     size = known.select("node", "total")
     size = size.join(bounds, "node", "left") if bounds is not None else size.withColumn("lone", F.lit(None).cast("double"))
 
-    stars = members.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-    links = cut(verified(stars, known, similarity), "links")
-    labels = cut(components(links), "labels")
-    # Buckets that still hold several components: their texts are compared across components, where the
-    # weights allow a link (lone weights hold for the fine buckets, whose texts are all from one set).
-    placed = members.select("band", "key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band", "key")
-    lone = F.when(F.col("band") >= BANDS, F.col("lone")).otherwise(0.0)
-    apart = cut(placed.join(mixed, ["band", "key"]).join(size, "node").withColumn("lone", F.coalesce(lone, F.lit(0.0))), "apart")
-    other = apart.select("band", "key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("total").alias("total_b"), F.col("lone").alias("lone_b"))
-    most = F.least(F.col("total") - F.col("lone"), F.col("total_b") - F.col("lone_b")) / F.greatest(F.col("total") + F.col("lone_b"), F.col("total_b") + F.col("lone"))
-    across = (
-        apart.alias("l").join(other.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("label") < F.col("other")) & (most >= similarity - 1e-9))
-        .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    )
-    more = cut(verified(across.join(stars, ["a", "b"], "left_anti"), known, similarity), "more-links")
-    if not more.isEmpty():
-        labels = cut(components(links.unionByName(more)), "labels")
+    def linked(pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        found = cut(verified(pairs, known, similarity), "links")
+        if links is not None:
+            found = cut(links.unionByName(found), "links") if not found.isEmpty() else links
+        return found, cut(components(found), "labels")
+
+    def still_apart(labels: DataFrame) -> DataFrame:
+        placed = members.select("band", "key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = placed.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band", "key")
+        return placed.join(mixed, ["band", "key"])
+
+    pair = [F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")]
+    stars = cut(members.where("node <> pivot").select(*pair).distinct(), "stars")
+    links, labels = linked(stars, None)
+    apart = cut(still_apart(labels), "apart")
+    if not apart.isEmpty():  # once more, with another text of each such bucket
+        other = apart.groupBy("band", "key").agg(F.max_by(F.struct("node", "label"), F.xxhash64("band", "key", "node")).alias("p"))
+        again = apart.join(other, ["band", "key"]).where("label <> p.label").select("node", F.col("p.node").alias("pivot")).select(*pair).distinct()
+        links, labels = linked(again.join(stars, ["a", "b"], "left_anti"), links)
+        # Buckets that still hold several components: their texts are compared across components, where the
+        # weights allow a link (lone weights hold for the fine buckets, whose texts are all from one set).
+        apart = still_apart(labels)
+        bands = F.map_from_entries(F.collect_list(F.struct("band", "key")))
+        own_keys = apart.groupBy("node").agg(bands.alias("at")).select("node", F.transform(F.sequence(F.lit(0), F.lit(BANDS + FINE_BANDS - 1)), lambda k: F.try_element_at("at", k)).alias("keys"))
+        lone = F.when(F.col("band") >= BANDS, F.col("lone")).otherwise(0.0)
+        apart = cut(apart.join(size, "node").join(own_keys, "node").withColumn("lone", F.coalesce(lone, F.lit(0.0))), "apart")
+        right = apart.select("band", "key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("total").alias("total_b"), F.col("lone").alias("lone_b"), F.col("keys").alias("keys_b"))
+        most = F.least(F.col("total") - F.col("lone"), F.col("total_b") - F.col("lone_b")) / F.greatest(F.col("total") + F.col("lone_b"), F.col("total_b") + F.col("lone"))
+        first = F.array_position(F.zip_with("keys", "keys_b", lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(True)) == F.col("l.band") + 1
+        across = (
+            apart.alias("l").join(right.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("label") < F.col("other")) & (most >= similarity - 1e-9) & first)
+            .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+        )
+        links, labels = linked(across.join(stars, ["a", "b"], "left_anti"), links)
 
     return own, labels
 
