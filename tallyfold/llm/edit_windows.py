@@ -15,16 +15,19 @@ case and ASCII punctuation, by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, prepare, slices
+from .common import claim, cut, prepare, slices
 from .shingles import U, folded, mix, word_hashes
 
-#: Edits allowed per word of an item, and words of the shortest item that is looked for.
+#: Edits allowed per word of an item, and words of the shortest item that is looked for inside texts; a shorter one counts
+#: where it is the whole text.
 EDITS, SHORTEST = 0.2, 5
 #: Keys per window: embeddings, samplings of each, words in a sampling.  At 20 % edits in 40 words about a
 #: third of the written words differ, so a key agrees in 1 of 8 cases.
@@ -85,6 +88,10 @@ class Items:
         words, counts = word_hashes([x.casefold().encode() for x in texts], values, separators)
         ends = np.cumsum(counts)
         keep = [i for i in range(len(texts)) if counts[i] >= SHORTEST]
+        self.short: dict[bytes, list[int]] = {}  # items that count as whole texts only, by their words
+        for i in range(len(texts)):
+            if 0 < counts[i] < SHORTEST:
+                self.short.setdefault(words[ends[i] - counts[i] : ends[i]].tobytes(), []).append(ids[i])
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for m in sorted({int(counts[i]) for i in keep}):
             own = [i for i in keep if counts[i] == m]
@@ -143,10 +150,14 @@ class Items:
     def hits(self, texts: list[bytes]) -> list[dict[int, tuple[int, int]]]:
         """For each text, the items found in it: id -> (edits, number of the window's first word)."""
         found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        if not len(self.marked):
-            return found
         values, separators = folded()
         plain, counts = word_hashes(texts, values, separators)
+        if self.short:
+            ends = np.cumsum(counts)
+            for k in np.flatnonzero((counts > 0) & (counts < SHORTEST)).tolist():
+                found[k].update((i, (0, 0)) for i in self.short.get(plain[ends[k] - counts[k] : ends[k]].tobytes(), ()))
+        if not len(self.marked):
+            return found
         # Before each text and after the last lies a gap of words that no item has, too wide for a window to bridge.
         owner = np.repeat(np.arange(len(texts)), counts)
         words = np.zeros(len(plain) + self.gap * (len(texts) + 1) + max(self.by_length), dtype=np.uint64)
@@ -182,52 +193,58 @@ class Items:
         return found
 
 
-def _blocks(items: DataFrame, key: str, text: str) -> list[Items]:
+def _blocks(items: DataFrame, key: str, text: str) -> Iterator[tuple[Items, bool]]:
+    """The benchmark block by block, and whether a block is the last."""
     words = items.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     n = max(1, -(-words // (4 * BLOCK_WORDS)))
-    out = []
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64(key, text), F.lit(n)) == k).select(key, text).toArrow().sort_by(key)
-        out.append(Items(rows.column(0).to_pylist(), [x or "" for x in rows.column(1).to_pylist()]))
-    return out
+        yield Items(rows.column(0).to_pylist(), [x or "" for x in rows.column(1).to_pylist()]), k == n - 1
 
 
-def found_items(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``found``: for each item that the text holds, its id, the number of
+def found_items(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", into: str = "found") -> DataFrame:
+    """All columns of ``docs`` and ``into``: for each item that the text holds, its id, the number of
     ``edits`` in words, and the place (``word``) of the closest window's first word, by id.
 
-    A text holds an item of m words (five or more; shorter items are not looked for) if some
-    window of m words in it is within 0.2 m edits of the item.  A text up to that much
-    shorter than an item can hold it too.  Null, empty and blank texts hold nothing; items
-    without words are passed over; items repeated under several ids are each reported.
-    Every row gives one row, equal rows equal ones.  A column named ``found`` is replaced.
-    The benchmark is read block by block: a block is bounded (BLOCK_WORDS), and each block is
-    one pass over the documents.
+    A text holds an item of m words if some window of m words in it is within 0.2 m edits of
+    the item; an item of less than five words it holds only if it consists of it.  A text up
+    to that much shorter than an item can hold it too.  Null, empty and blank texts hold
+    nothing; items without words are passed over; items repeated under several ids are each
+    reported.  Every row gives one row, equal rows equal ones.  A column named as ``into`` is
+    replaced.  The benchmark is read block by block: a block is bounded (BLOCK_WORDS), each
+    block is one pass over the documents, and of several, each pass is written before the
+    next block is built.
     """
-    docs = docs.drop("found")
+    docs = docs.drop(into)
     prepare(docs.sparkSession)
     one = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("word", T.LongType())])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("word", pa.int64())]))
-    place, names, out = docs.columns.index(text), [], docs
-    for block in _blocks(items.where(F.col(item_key).isNotNull()), item_key, item_text):
-        names.append(f"__found{len(names)}")
-        schema = T.StructType([*out.schema.fields, T.StructField(names[-1], T.ArrayType(one))])
+    place, width = docs.columns.index(text), len(docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(one))])
+    out = docs
+    for block, last in _blocks(items.where(F.col(item_key).isNotNull()), item_key, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches, shared=shared, columns=schema.names):
+        def run(batches, shared=shared):
             claim(__name__)
             for batch in batches:
                 texts = [(x or "").casefold().encode() for x in batch.column(place).to_pylist()]
+                before = batch.column(width).to_pylist() if batch.num_columns > width else [[]] * len(texts)
                 found = []
                 for a, b in slices([len(x) for x in texts], 2_000_000):
                     for hits in shared.value.hits(texts[a:b]):
-                        found.append([{"item_id": i, "edits": e, "word": w} for i, (e, w) in sorted(hits.items())])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=columns)
+                        found.append([{"item_id": i, "edits": e, "word": w} for i, (e, w) in hits.items()])
+                found = [sorted(x + y, key=lambda hit: hit["item_id"]) for x, y in zip(before, found)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(found, kind)], names=schema.names)
 
         out = out.mapInArrow(run, schema)
-    return out.withColumn("found", F.array_sort(F.concat(*names)) if len(names) > 1 else F.col(names[0])).drop(*names)
+        if not last:
+            out = cut(out, "found-items")
+            shared.destroy()
+    return out
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text holds no item; columns stay as they are."""
-    return found_items(docs, items, text, item_key, item_text).where(F.size("found") == 0).select(*docs.columns)
+    """The rows of ``docs`` whose text holds no item; columns stay as they are, whatever their names."""
+    free = next(c for c in (f"found{k}" for k in range(len(docs.columns) + 1)) if c not in docs.columns)
+    return found_items(docs, items, text, item_key, item_text, free).where(F.size(free) == 0).drop(free)
