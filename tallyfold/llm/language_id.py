@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 from .common import claim, cut, prepare, slices
 
 CELLS_BITS = 16
-#: Labelled rows that the text model is fitted on, about; most languages, by number of rows; fewest rows of one.
-TRAIN_ROWS, MOST_LANGUAGES, LEAST_ROWS = 20_000, 64, 5
+#: Labelled rows that the text model is fitted on, about, as many for each language if it has them; most languages, by
+#: number of rows (one table each is broadcast); fewest rows of one.
+TRAIN_ROWS, MOST_LANGUAGES, LEAST_ROWS = 20_000, 256, 5
 SMOOTH = 0.5
 EVIDENCE = 300
 #: Rows that the level above weighs in a host's prior; pseudo-count of a declaration.
@@ -88,11 +89,15 @@ def fit_text_model(train: DataFrame, text: str, label: str) -> TextModel:
     # Languages: the most frequent labels, a list bounded by MOST_LANGUAGES.
     rows = train.groupBy("label").count().where(F.col("count") >= LEAST_ROWS).orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()
     languages = sorted(r["label"] for r in rows)
-    n = sum(r["count"] for r in rows)
     if not languages:
         return TextModel([], np.zeros((0, 1 << CELLS_BITS)))
-    share = min(1.0, TRAIN_ROWS / n)
-    drawn = train.where(F.col("label").isin(languages) & (F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))))
+    # Each language's share: its part of TRAIN_ROWS, and what others leave goes to those with more rows.
+    left, shares = TRAIN_ROWS, {}
+    for k, r in enumerate(sorted(rows, key=lambda r: (r["count"], r["label"]))):
+        take = min(r["count"], left // (len(rows) - k))
+        left, shares[r["label"]] = left - take, int(take / r["count"] * (1 << 20)) + 1
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+    drawn = train.where(F.col("label").isin(languages) & (F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) < share[F.col("label")]))
 
     def counted(batches):
         counts = np.zeros((len(languages), 1 << CELLS_BITS), dtype=np.int64)
