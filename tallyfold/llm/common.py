@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,6 +25,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 _memories: dict[str, Callable[[], None]] = {}
+_owner = ""
 
 
 def remembers(name: str, forget: Callable[[], None]) -> None:
@@ -33,9 +36,19 @@ def remembers(name: str, forget: Callable[[], None]) -> None:
 def claim(name: str) -> None:
     """Called when a task begins.  Spark uses Python workers again for later stages: what other operators keep in
     this one is dropped, so that memory does not add up over a pipeline."""
-    dropped = [forget() for owner, forget in list(_memories.items()) if owner != name]
-    if dropped:
-        gc.collect()
+    global _owner
+    if _owner == name:
+        return
+    _owner = name
+    for owner, forget in list(_memories.items()):
+        if owner != name:
+            forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:  # what is free goes back to the system, which else counts it as this worker's
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def prepare(spark: SparkSession) -> None:
@@ -48,23 +61,37 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests)."""
+    """The folder all executors share.  Where none is set, a temporary one serves on one machine (tests); a cluster needs one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tallyfold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: later steps
     neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Remove all that this process has cut so far; to be called when the results are written."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(sizes: list[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive groups whose sizes add up to about ``most``."""
     start = total = 0
