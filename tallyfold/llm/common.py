@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.shared import cut, discard, shared_dir  # noqa: F401 - for the operators and their callers
+
 #: Texts are handed to a task's function in groups of about this many characters.
 SLICE_CHARS = 2_000_000
 
@@ -60,38 +61,6 @@ def prepare(spark: SparkSession) -> None:
         return
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  Where none is set, a temporary one serves on one machine (tests); a cluster needs one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="tallyfold-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-_written: list[str] = []
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: later steps
-    neither recompute it nor lose it with an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession) -> None:
-    """Remove all that this process has cut so far; to be called when the results are written."""
-    jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def slices(sizes: list[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive groups whose sizes add up to about ``most``."""
     start = total = 0
@@ -138,3 +107,24 @@ def map_texts(
 
     narrow = df.select(F.col(text).cast("string").alias("__text"), *[F.col(c) for c in keep])
     return narrow.mapInArrow(run, schema)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes())
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
+
+
+def pack_texts(texts: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(b"".join(texts))
+
+
+def unpack_texts(sizes: list[int], packed: bytes) -> list[bytes]:
+    """Texts of these sizes."""
+    data, ends = zstandard.ZstdDecompressor().decompress(packed), np.cumsum([0, *sizes]).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]

@@ -2,8 +2,8 @@
 
 A suffix rises or falls as its first symbol differs from the next one.  Suffixes that begin
 a rise after a fall (the stars) are sorted first: the stretches from star to star are named
-in order, and the string of names is sorted in the same way, level by level, until names
-differ or cover DEPTH symbols.  From the stars the falling suffixes are induced by one sweep
+in order, and the string of names is sorted in the same way, for LEVELS levels; names of the
+last one are doubled until they differ or cover DEPTH symbols.  From the stars the falling suffixes are induced by one sweep
 in ascending order, and from these the rising ones by a descending sweep: whatever comes out
 in order puts the suffix one place further left into a priority queue, under its own first
 symbol.
@@ -27,6 +27,8 @@ import numpy as np
 
 #: Common prefixes are known up to LONGEST symbols, and suffixes are in the order of DEPTH symbols at least.
 LONGEST, DEPTH = 50, 64
+#: Levels that are induced.  Deeper ones have nearly as many names as places, and their sweeps too many steps.
+LEVELS = 2
 QUEUE_BYTES = 48 << 20
 _KINDS = (np.dtype(np.int32), np.dtype(np.int32), np.dtype(np.uint8))  # symbol, place, common prefix
 _SIZE = sum(k.itemsize for k in _KINDS)
@@ -187,7 +189,15 @@ class Level:
         """The stars in the order of their suffixes."""
         rank = self.star_names()
         names, dense = np.unique(rank, return_inverse=True)
-        if len(names) == len(rank) or 2 << self.level >= DEPTH:
+        covered = 2 << self.level  # symbols of the first level that a name has at least
+        if self.level + 1 >= LEVELS:
+            n = len(rank)
+            while len(names) < n and covered < DEPTH:
+                span = covered // (2 << self.level)
+                names, dense = np.unique((dense + 1) * (n + 1) + np.r_[dense[span:] + 1, np.zeros(min(span, n), dtype=np.int64)][:n], return_inverse=True)
+                covered *= 2
+            return self.stars[np.argsort(dense, kind="stable")]
+        if len(names) == len(rank) or covered >= DEPTH:
             return self.stars[np.argsort(rank, kind="stable")]
         # The last star is the end alone, whose name is the least and occurs once: it ends the string of names too.
         below = Level(dense.astype(np.int32), len(names), self.budget, self.level + 1)

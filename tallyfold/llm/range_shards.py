@@ -72,6 +72,10 @@ def _bounds(points: set[tuple]) -> list[tuple]:
     return sorted(out, key=lambda p: (p[0] is not None, p[0], p[1] is not None, p[1]))
 
 
+#: Copies of a row that unfold at once, and how many make their blocks be spread over tasks (a change of plan only).
+COPIES, SPREAD_COPIES = 1 << 14, 1 << 18
+
+
 def range_shards(df: DataFrame, key: str, tie: str, size: str, shards: int = 16) -> DataFrame:
     """Columns ``key``, ``tie``, ``size``, then ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard).
 
@@ -128,7 +132,13 @@ def range_shards(df: DataFrame, key: str, tie: str, size: str, shards: int = 16)
         .withColumn("row", at(before_rows) + F.coalesce(F.sum("copies").over(ordered), F.lit(0)))
         .withColumn("group_place", F.min("place").over(alike))
         .withColumn("group_bytes", F.sum(F.col("size") * F.col("copies")).over(alike))
-        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    )
+    # Repeated rows unfold block by block; where one has very many, its blocks are spread first.
+    if (records.agg(F.max("copies")).first()[0] or 0) > SPREAD_COPIES:
+        placed = placed.repartition("row", "block")
+    placed = (
+        placed.withColumn("copy", F.explode(F.sequence(F.col("block") * COPIES, F.least((F.col("block") + 1) * COPIES, "copies") - 1)))
         .withColumn("together", ~hot & (F.col("group_bytes") <= TOGETHER * share))
         .withColumn(
             "middle",

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, cut, prepare, remembers, slices
+from .common import claim, cut, pack, pack_texts, prepare, remembers, slices, unpack, unpack_texts
 from .components import components
 from .shingles import U, distinct_shingles, mix
 
@@ -43,7 +43,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 FINE_BANDS, FINE_ROWS, FULL = 60, 10, 48
 #: Bytes of text in a slice, and about so many shingles in a range of hashes.
-SLICE_BYTES, RANGE = 4_000_000, 1_000_000
+SLICE_BYTES, RANGE = 3_000_000, 1_000_000
 LEVELS, STEP = 32, 0.2
 BROADCAST_ROWS = 500_000
 
@@ -69,7 +69,7 @@ class Weights:
 
 
 def text_slices(own: DataFrame) -> DataFrame:
-    """``slice, nodes, texts``: the rows (``text, node``) in slices of about SLICE_BYTES, without empty texts."""
+    """``slice, nodes, sizes, texts``: the rows (``text, node``) in slices of about SLICE_BYTES, packed, without empty texts."""
     prepare(own.sparkSession)
 
     def run(batches):
@@ -77,22 +77,23 @@ def text_slices(own: DataFrame) -> DataFrame:
         number, nodes, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([nodes], pa.list_(pa.binary())), pa.array([texts], pa.list_(pa.string()))], names=["slice", "nodes", "texts"])
+            sizes = pa.array([[len(t) for t in texts]], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([b"".join(nodes)], pa.binary()), sizes, pa.array([pack_texts(texts)], pa.binary())], names=["slice", "nodes", "sizes", "texts"])
 
         for batch in batches:
             for text, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
                 nodes.append(node)
-                texts.append(text)
-                size += len(text)
+                texts.append(text.encode())
+                size += len(texts[-1])
                 if size > SLICE_BYTES:
                     yield out()
                     number, nodes, texts, size = number + 1, [], [], 0
         if texts:
             yield out()
 
-    return cut(own.select("text", "node").mapInArrow(run, "slice long, nodes array<binary>, texts array<string>"), "slices")
+    return cut(own.select("text", "node").mapInArrow(run, "slice long, nodes binary, sizes array<long>, texts binary"), "slices")
 
 
 def document_counts(sliced: DataFrame, size: int) -> DataFrame:
@@ -102,25 +103,26 @@ def document_counts(sliced: DataFrame, size: int) -> DataFrame:
     def dealt(batches):
         claim(__name__)
         for batch in batches:
-            for number, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h, k = np.unique(distinct_shingles([x.encode() for x in texts])[0], return_counts=True)
+            for number, sizes, texts in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                h, k = np.unique(distinct_shingles(unpack_texts(sizes, texts))[0], return_counts=True)
                 place = (h >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), dtype=np.int64)
                 ranges, first = np.unique(place, return_index=True)
                 ends = np.r_[first[1:], len(h)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([number] * len(ranges), pa.int64()), pa.array(ranges, pa.int64()),
-                    pa.array([h[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.array([k[a:b].astype("<u4").tobytes() for a, b in zip(first, ends)], pa.binary()),
+                    pa.array([pack(np.diff(h[a:b], prepend=U(0))) for a, b in zip(first, ends)], pa.binary()), pa.array([pack(k[a:b].astype("<u4")) for a, b in zip(first, ends)], pa.binary()),
                 ], names=["slice", "range", "hashes", "counts"])
 
     def summed(table: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(x, U) for x in table.column("hashes").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()])
+        claim(__name__)
+        hashes = [np.cumsum(unpack(x, U), dtype=U) for x in table.column("hashes").to_pylist()]
+        counts = np.concatenate([unpack(x, "<u4") for x in table.column("counts").to_pylist()])
         _, at = np.unique(np.concatenate(hashes), return_inverse=True)
         df = np.bincount(at, weights=counts)[at].astype("<u4")
-        parts = [x.tobytes() for x in np.split(df, np.cumsum([len(x) for x in hashes])[:-1])]
+        parts = [pack(x) for x in np.split(df, np.cumsum([len(x) for x in hashes])[:-1])]
         return pa.table({"slice": table.column("slice"), "range": table.column("range"), "df": pa.array(parts, pa.binary())})
 
-    packed = sliced.select("slice", "texts").mapInArrow(dealt, "slice long, range long, hashes binary, counts binary")
+    packed = sliced.select("slice", "sizes", "texts").mapInArrow(dealt, "slice long, range long, hashes binary, counts binary")
     counted = packed.groupBy("range").applyInArrow(summed, "slice long, range long, df binary")
     return counted.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("range", "df"))).alias("found"))
 
@@ -184,9 +186,10 @@ def signed_vectors(own: DataFrame, n: int, size: int) -> DataFrame:
     def run(batches):
         claim(__name__)
         for batch in batches:
-            for nodes, texts, found in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                texts = [x.encode() for x in texts]
-                counts_of = np.frombuffer(b"".join(x["df"] for x in found), "<u4")
+            for nodes, sizes, texts, found in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+                texts = unpack_texts(sizes, texts)
+                nodes = [nodes[k : k + 16] for k in range(0, len(nodes), 16)]
+                counts_of = np.concatenate([unpack(x["df"], "<u4") for x in found] or [np.empty(0, "<u4")])
                 listed = np.unique(distinct_shingles(texts)[0])
                 for a, b in slices([len(x) for x in texts], 150_000):
                     h, times, counts = distinct_shingles(texts[a:b])
@@ -208,7 +211,7 @@ def signed_vectors(own: DataFrame, n: int, size: int) -> DataFrame:
                         pa.array(np.add.reduceat(np.where(shared, 0.0, w), starts)), pa.array(np.add.reduceat(w, starts)),
                     ], names=["node", "keys", "hashes", "weights", "single", "total"])
 
-    joined = sliced.join(document_counts(sliced, size), "slice").select("nodes", "texts", "found")
+    joined = sliced.join(document_counts(sliced, size), "slice").select("nodes", "sizes", "texts", "found")
     return cut(joined.mapInArrow(run, "node binary, keys array<long>, hashes binary, weights binary, single double, total double"), "signed-vectors")
 
 

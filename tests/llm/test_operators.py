@@ -144,7 +144,7 @@ def test_successors_against_counts(spark):
             for x in zip(w, w[1:], w[2:]):
                 after.setdefault(x[:2], Counter())[x[2]] += 1
     for r in context_mixing.answered(sliced, context_mixing.answers(sliced, layout)).collect():
-        texts = context_mixing._texts(r["sizes"], r["texts"])
+        texts = context_mixing.unpack_texts(r["sizes"], r["texts"])
         times, seen, hit = context_mixing.successors(context_mixing.Tokens(texts), r["held"], [{"range": x["range"], "data": bytes(x["data"])} for x in r["found"]], layout)
         at = 0
         for text, held in zip(texts, r["held"]):
@@ -290,6 +290,14 @@ def test_shards(spark, docs, odd, none):
     assert range_shards.range_shards(sized(none), "crc", "doc_id", "size", 16).count() == 0
 
 
+def test_copies_unfold_in_blocks(spark, docs, monkeypatch):
+    rows = sized(docs.select("doc_id", "text").unionByName(spark.range(300).select(F.lit(7777).cast("long").alias("doc_id"), F.lit("the same row").alias("text"))))
+    whole = Counter(map(tuple, range_shards.range_shards(rows, "crc", "doc_id", "size", 16).collect()))
+    monkeypatch.setattr(range_shards, "COPIES", 7)
+    monkeypatch.setattr(range_shards, "SPREAD_COPIES", 100)
+    assert Counter(map(tuple, range_shards.range_shards(rows, "crc", "doc_id", "size", 16).collect())) == whole
+
+
 # --- 5 decontamination ---------------------------------------------------------------------------
 
 def brute_edits(a, b):
@@ -700,16 +708,19 @@ def check_suffixes(data, budget):
     assert sorted(got) == list(range(len(b)))
 
 
-def test_suffixes_and_common_prefixes():
+@pytest.mark.parametrize("levels", [1, 2, 6])
+def test_suffixes_and_common_prefixes(monkeypatch, levels):
+    monkeypatch.setattr(induced_sort, "LEVELS", levels)
     rng = np.random.default_rng(0)
-    for trial in range(150):
+    for trial in range(100):
         top = int(rng.integers(1, 256)) if trial % 3 else int(rng.integers(1, 4))
         check_suffixes(rng.integers(0, top, int(rng.integers(0, 300))).astype(np.uint8), 64 if trial % 2 else 1 << 20)
     for text in (b"a" * 300, b"ab" * 200, b"abc" * 150 + b"abd" * 20, b"the cat sat on the mat " * 40, bytes(range(256)) * 3, (b"x" * 80 + b"y") * 10):
         check_suffixes(np.frombuffer(text, np.uint8), 64)
 
 
-def test_sorting_spills_and_recurs():
+def test_sorting_spills_and_recurs(monkeypatch):
+    monkeypatch.setattr(induced_sort, "LEVELS", 4)
     rng = np.random.default_rng(1)
     phrase = rng.integers(97, 101, 3000).astype(np.uint8)
     level = induced_sort.Level(np.r_[np.tile(phrase, 3).astype(np.int16) + 1, np.int16(0)], 257, budget=2000)

@@ -61,7 +61,7 @@ def brute_lines(rows):
     for size, lead, line in docs:
         leaves.setdefault((size, lead), []).append(line)
     for (size, lead), found in leaves.items():
-        # Repeated rows are one document each where templates are counted, and one in the order of lines.
+        # Rows that repeat another are counted with it as one in the order of lines.
         times = [len({rows[n] for n in docs[size, lead, x]}) for x in found]
         for x, t in zip(found, line_templates.leaf_templates(found, times)):
             of[size, lead, x] = (size, lead, t)
