@@ -113,7 +113,7 @@ def test_op1_declarations_and_hosts_only_help(spark):
     """Held-out accuracy on short texts, with and without what was declared: labels of the rows that are asked about train nothing."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL")
     train, rest = docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 = 0")
-    short = rest.withColumn("text", F.substring_index("text", " ", 2))
+    short = rest.withColumn("text", F.left("text", F.lit(3)))
     model = language_id.fit_text_model(train, "text", "lang")
     wrong = F.when(F.col("doc_id") % 5 == 1, "xx").otherwise(F.col("lang"))  # one declaration in five is of no use
     right = lambda df: df.agg(F.avg((F.col("lang") == F.col("language")).cast("int"))).first()[0]
@@ -179,7 +179,7 @@ def test_op5_finds_items_at_the_limit(spark):
         i, w = rng.choice(items)
         w = list(w)
         for p in rng.sample(range(len(w)), edit_windows.edits_allowed(len(w))):
-            w[p] = f"sub{rng.random()}"
+            w[p] = f"sub{rng.randrange(10**9)}"
         rows.append((k, "Some words before " * rng.randint(0, 5) + " ".join(w) + " and after" * rng.randint(0, 5)))
         truth[k] = i
     found = edit_windows.found_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.read.parquet(f"{SF}/benchmark.parquet"))

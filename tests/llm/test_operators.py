@@ -213,7 +213,7 @@ def slow_mixed(events, table, mixer, texts):
                 s.append(own[local[k]])
                 dot = max(-12.0, min(12.0, sum(x * y for x, y in zip(w[g], s))))
                 p, y = 1 / (1 + math.exp(-dot)), int(bit[k])
-                b = round(dot * 2) + context_mixing.BUCKETS // 2
+                b = round(dot) + context_mixing.BUCKETS // 2
                 mixed = min(max((p + t[g, b]) / 2, 1e-6), 1 - 1e-6)
                 total += math.log10(mixed if y else 1 - mixed)
                 w[g] += (y - p) * context_mixing.RATE * np.array(s)
