@@ -88,7 +88,7 @@ class PriorityQueue:
         self.slots = Slots(((symbols - 1) >> self.shift) + 1, budget)
 
     def push(self, tuples: Tuples) -> None:
-        slot = tuples[0] >> self.shift
+        slot = (tuples[0] >> self.shift).astype(np.uint16)  # 16 bits are sorted by radix
         if len(slot) > 1:
             order = np.argsort(slot, kind="stable")
             slot, tuples = slot[order], tuple(x[order] for x in tuples)
@@ -100,13 +100,14 @@ class PriorityQueue:
     def pop(self, slot: int) -> Tuples:
         tuples = self.slots.take(slot)
         if self.shift and len(tuples[0]) > 1:
-            order = np.argsort(tuples[0], kind="stable")
+            inside = tuples[0] & ((1 << self.shift) - 1)
+            order = np.argsort(inside.astype(np.uint16) if self.shift <= 16 else inside, kind="stable")
             tuples = tuple(x[order] for x in tuples)
         return tuples
 
 
 class Carried:
-    """For each symbol the least common prefix among the suffixes that came out since one was last pushed under it."""
+    """For each symbol (of 16 bits at most) the least common prefix among the suffixes that came out since one was last pushed under it."""
 
     def __init__(self, symbols: int):
         self.least = np.zeros(symbols, dtype=np.uint8)
@@ -121,7 +122,7 @@ class Carried:
             tables.append(np.minimum(tables[-1][:-half], tables[-1][half:]))
         out = np.empty(len(at), dtype=np.uint8)
         if len(at):
-            order = np.argsort(symbols, kind="stable")
+            order = np.argsort(symbols.astype(np.uint16), kind="stable")
             s, i = symbols[order], at[order]
             first = np.r_[True, s[1:] != s[:-1]]
             low = np.where(first, 0, np.r_[0, i[:-1] + 1])

@@ -34,7 +34,7 @@ from .common import claim, cut, prepare, slices
 from .induced_sort import QUEUE_BYTES, sorted_suffixes
 from .shingles import _BASE, _BYTE, _powers, mix
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1
 #: Text in a row of the group table, and of what is worked on at once.
 GROUP_BYTES, SLICE_BYTES = 16_000_000, 2_000_000
