@@ -33,13 +33,13 @@ from .common import claim, map_texts, prepare, remembers, slices
 from .pretokens import pretoken_lists, pretokens
 
 #: Pre-tokens, moves and pairs that a Python worker remembers; a full memo starts anew.
-REMEMBERED_WORDS = 300_000
-REMEMBERED_MOVES = 1_200_000
-REMEMBERED_PAIRS = 200_000
-#: Pre-tokens of up to so many bytes take their steps together.
-TOGETHER = 48
+REMEMBERED_WORDS = 150_000
+REMEMBERED_MOVES = 600_000
+REMEMBERED_PAIRS = 100_000
+#: Pre-tokens of up to so many bytes take their steps together, and how many of them.
+TOGETHER, ABREAST = 48, 10_000
 #: Characters of the texts whose new pre-tokens are encoded together.
-WORDS_AT_ONCE = 1_000_000
+WORDS_AT_ONCE = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -86,10 +86,16 @@ class Moves:
     def put(self, key: int, value: int) -> None:
         if 2 * self.n >= len(self.keys):
             used = np.flatnonzero(self.keys >= 0)
-            old, kept = self.keys[used].tolist(), self.values[used].tolist()
+            old, kept = self.keys[used], self.values[used]
             self.__init__(self.bits + 1)
-            for k, v in zip(old, kept):
-                self.put(k, v)
+            self.n, slot, mask = len(old), self._slot(old), len(self.keys) - 1
+            while len(old):
+                slots, first = np.unique(slot, return_index=True)
+                first = first[self.keys[slots] < 0]  # one of those that ask for a free place gets it
+                self.keys[slot[first]], self.values[slot[first]] = old[first], kept[first]
+                left = np.ones(len(old), dtype=bool)
+                left[first] = False
+                old, kept, slot = old[left], kept[left], slot[left] + 1 & mask
         slot, mask = int(self._slot(np.int64(key))), len(self.keys) - 1
         while (there := self.keys[slot]) >= 0 and there != key:
             slot = slot + 1 & mask
@@ -331,8 +337,9 @@ class Encoder:
                 self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 together.append(w)
-        if together:
-            self.known.update(zip(together, self.transducer.encode_all([w.encode() for w in together])))
+        for k in range(0, len(together), ABREAST):
+            some = together[k : k + ABREAST]
+            self.known.update(zip(some, self.transducer.encode_all([w.encode() for w in some])))
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the new pre-tokens of several texts are encoded together."""
