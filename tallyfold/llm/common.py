@@ -56,7 +56,7 @@ def prepare(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long rows (a batch is also bounded in bytes)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     except Exception:  # noqa: BLE001 - the setting is absent before Spark 4.1
         return
 

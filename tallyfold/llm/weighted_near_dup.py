@@ -42,8 +42,8 @@ SIMILARITY = 0.8
 #: (more than FULL texts) (1 - 0.8^10)^60 = 0.11 %.
 BANDS, ROWS = 12, 4
 FINE_BANDS, FINE_ROWS, FULL = 60, 10, 48
-#: Bytes of text in a slice, and about so many shingles in a range of hashes.
-SLICE_BYTES, RANGE = 3_000_000, 1_000_000
+#: Bytes of text in a slice, of what is worked on at once, and about so many shingles in a range of hashes.
+SLICE_BYTES, PART_BYTES, RANGE = 3_000_000, 150_000, 1_000_000
 LEVELS, STEP = 32, 0.2
 BROADCAST_ROWS = 500_000
 
@@ -96,6 +96,11 @@ def text_slices(own: DataFrame) -> DataFrame:
     return cut(own.select("text", "node").mapInArrow(run, "slice long, nodes binary, sizes array<long>, texts binary"), "slices")
 
 
+def shingle_parts(texts: list[bytes]) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(a, b, *distinct_shingles(texts[a:b]))`` for a few texts at a time, which bounds what is held while they are made."""
+    return [(a, b, *distinct_shingles(texts[a:b])) for a, b in slices([len(x) for x in texts], PART_BYTES)]
+
+
 def document_counts(sliced: DataFrame, size: int) -> DataFrame:
     """``slice, found``: for each slice the document counts of its different shingles by ascending hash, packed range by range."""
     bits = max(0, math.ceil(math.log2(max(size / 6 / RANGE, 1))))
@@ -104,7 +109,7 @@ def document_counts(sliced: DataFrame, size: int) -> DataFrame:
         claim(__name__)
         for batch in batches:
             for number, sizes, texts in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                h, k = np.unique(distinct_shingles(unpack_texts(sizes, texts))[0], return_counts=True)
+                h, k = np.unique(np.concatenate([part[2] for part in shingle_parts(unpack_texts(sizes, texts))]), return_counts=True)
                 place = (h >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), dtype=np.int64)
                 ranges, first = np.unique(place, return_index=True)
                 ends = np.r_[first[1:], len(h)]
@@ -190,9 +195,9 @@ def signed_vectors(own: DataFrame, n: int, size: int) -> DataFrame:
                 texts = unpack_texts(sizes, texts)
                 nodes = [nodes[k : k + 16] for k in range(0, len(nodes), 16)]
                 counts_of = np.concatenate([unpack(x["df"], "<u4") for x in found] or [np.empty(0, "<u4")])
-                listed = np.unique(distinct_shingles(texts)[0])
-                for a, b in slices([len(x) for x in texts], 150_000):
-                    h, times, counts = distinct_shingles(texts[a:b])
+                parts = shingle_parts(texts)
+                listed = np.unique(np.concatenate([part[2] for part in parts]))
+                for a, _, h, times, counts in parts:
                     some = np.flatnonzero(counts)
                     if not len(some):
                         continue
