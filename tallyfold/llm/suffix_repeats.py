@@ -37,7 +37,7 @@ from .shingles import _BASE, _BYTE, _powers, mix
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM + 1
 #: Text in a row of the group table, and of what is worked on at once.
-GROUP_BYTES, SLICE_BYTES = 16_000_000, 2_000_000
+GROUP_BYTES, SLICE_BYTES = 16_000_000, 400_000
 #: Text behind each bucket of anchors; bytes of all stretches in a shard (the order of their suffixes takes about 25 bytes
 #: of memory for each, and queues beyond their budget lie on disk), and of a stretch, about.
 BUCKET_BYTES, SHARD_BYTES, STRETCH = 16_000_000, 8_000_000, 66
@@ -48,7 +48,7 @@ U = np.uint64
 
 
 def pack(a: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(3).compress(a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes())
+    return zstandard.ZstdCompressor(1).compress(a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes())
 
 
 def unpack(data: bytes, kind=np.int64) -> np.ndarray:
