@@ -14,6 +14,7 @@ from .edit_windows import found_items
 from .isolation_rules import BASE, quality_verdicts
 from .language_id import fit_text_model, page_declared, page_host, page_text, with_language
 from .line_templates import drop_recurring_lines
+from .piece_backtracking import piece_round_trip
 from .range_shards import range_shards
 from .suffix_repeats import without_repeats
 from .token_counts import token_counts
@@ -82,8 +83,16 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merge_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return piece_round_trip(docs, public_tokenizers.path("piece_bpe_32k.model")).select(
+        "doc_id", "n_tokens", F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_context_mixing, op3_isolation_rules, op4_range_shards, op5_edit_windows, op6_token_counts, op7_weighted_near_dup, op8_bpe_transducer, op9_line_templates, op10_suffix_repeats)}
+    return {f.__name__: f for f in (op1_language_id, op2_context_mixing, op3_isolation_rules, op4_range_shards, op5_edit_windows, op6_token_counts, op7_weighted_near_dup, op8_bpe_transducer, op9_line_templates, op10_suffix_repeats, op13_merge_backtracking)}
 
 
 def oracle_sql() -> dict[str, str]:
