@@ -16,9 +16,11 @@ from .language_id import fit_text_model, page_declared, page_host, page_text, wi
 from .line_templates import drop_recurring_lines
 from .piece_backtracking import piece_round_trip
 from .range_shards import range_shards
+from .source_divergence import source_divergence
 from .suffix_repeats import without_repeats
 from .token_counts import token_counts
 from .weighted_near_dup import near_duplicate_classes
+from .whitening import whitening
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +85,14 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
+def op12_shifted_cholesky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_merge_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -92,8 +102,26 @@ def op13_merge_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_context_mixing, op3_isolation_rules, op4_range_shards, op5_edit_windows, op6_token_counts, op7_weighted_near_dup, op8_bpe_transducer, op9_line_templates, op10_suffix_repeats, op13_merge_backtracking)}
+    return {f.__name__: f for f in (op1_language_id, op2_context_mixing, op3_isolation_rules, op4_range_shards, op5_edit_windows, op6_token_counts, op7_weighted_near_dup, op8_bpe_transducer, op9_line_templates, op10_suffix_repeats, op11_source_divergence, op12_shifted_cholesky, op13_merge_backtracking)}
+
+
+OP11_SQL = r"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT k, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept ON kept.lang = t.lang AND kept.term = t.term GROUP BY ALL),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT d.lang, d.source, coalesce(max(v), 0) AS v FROM d LEFT JOIN size ON size.lang = d.lang GROUP BY ALL),
+gn AS (SELECT g.lang, g.source, v, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (SELECT gn.lang, gn.source, kept.term, coalesce(n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 5) // (total + 5 * v) AS p
+  FROM gn JOIN kept ON kept.lang = gn.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = kept.term),
+whole AS (SELECT lang, sum(total) AS total, max(v) AS v FROM gn GROUP BY lang),
+q AS (SELECT p.lang, term, 1 + CAST(1000000000 AS HUGEINT) * (CAST(sum(n) AS HUGEINT) + 5) // (max(total) + 5 * max(v)) AS q FROM p JOIN whole ON whole.lang = p.lang GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM gn a JOIN gn b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT p.lang, source, 'term', p.term, CAST(p - q AS BIGINT) FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM found) WHERE part = 'pair' OR rank <= 50"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_source_divergence": OP11_SQL}
