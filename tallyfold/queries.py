@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from .functions.digests import hash_report, plan_digests, stable, with_digests
 from .operators import audit, index, match
 from .operators.prefix import min_unique_prefix
 from .plans import fixtures as fx
+from .schema import FILES
 from .sources import inventory as src
+from .streaming import index_stream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -573,10 +577,8 @@ def _drained(spark, sf, name, run):
 
 @query("SELECT DISTINCT sha256(text) AS content_hash FROM documents")
 def q_stream_first_seen(spark, sf):
-    from .streaming.index_stream import new_contents_stream
-
     def run(stream, folder):
-        hashes = new_contents_stream(stream.select(F.sha2("text", 256).alias("content_hash")))
+        hashes = index_stream.new_contents_stream(stream.select(F.sha2("text", 256).alias("content_hash")))
         q = hashes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
         return spark.read.schema("content_hash string").parquet(f"{folder}/out")
@@ -586,17 +588,10 @@ def q_stream_first_seen(spark, sf):
 
 @query("""SELECT path, max(seq) AS seq, arg_max(value, seq) AS value FROM event_rows GROUP BY path""")
 def q_stream_index(spark, sf):
-    from pyspark.sql import types as T
-
-    from .streaming.index_stream import DeltaTable, start_upsert_stream
-
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("value", T.DoubleType())])
-
     def run(stream, folder):
         rows = stream.select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("path"), F.col("event_id").alias("seq"), "value")
-        table = DeltaTable(spark, f"{folder}/table", schema, ["path"], "seq")
-        start_upsert_stream(rows, table, f"{folder}/state").awaitTermination()
-        return table.read()
+        index_stream.start(index_stream.latest_stream(rows, ["path"], "seq"), folder).awaitTermination()
+        return index_stream.current_rows(spark, folder)
 
     return _drained(spark, sf, "events", run)
 
@@ -604,19 +599,23 @@ def q_stream_index(spark, sf):
 @query("""SELECT path, inode, size, mtime_ns, h0 AS content_hash FROM docs_files WHERE error IS NULL
 UNION ALL SELECT path, inode, size, mtime_ns, content_hash FROM files_old WHERE path NOT IN (SELECT path FROM docs_files WHERE error IS NULL)""")
 def q_stream_classify(spark, sf):
-    """The index of files kept from a stream of listing rows: each batch is classified against the index, and new and changed files are digested."""
-    from .schema import FILES
-    from .streaming.index_stream import DeltaTable, start_upsert_stream
+    """The index of files kept from a stream of listing rows: each row is classified against the state of its path, and new and changed files are digested."""
+    def run(stream, folder):
+        listing = fx.as_files(stream).select("path", "inode", "size", "mtime_ns", "error", "text")
+        changed = index_stream.index_stream(listing, lambda row: hashlib.sha256(row["text"].encode()).hexdigest(), fx.files_old(spark, sf))
+        index_stream.start(changed, folder).awaitTermination()
+        return index_stream.current_rows(spark, folder).select(*FILES.names)
+
+    return _drained(spark, sf, "documents", run)
 
-    def prepare(batch, current):
-        classified = index.classify(batch, current)
-        todo = classified.where("status <> 'unchanged'").withColumn("content_hash", F.sha2("text", 256))
-        return todo.select(*FILES.names, F.lit(1).alias("seq"))
 
+@query("SELECT path, status, h0 AS content_hash FROM classified WHERE error IS NULL AND status <> 'unchanged'")
+def q_stream_changes(spark, sf):
+    """What such a stream gives out: new and changed files only."""
     def run(stream, folder):
-        table = DeltaTable(spark, f"{folder}/table", FILES, ["path"], "seq")
-        table.seed(fx.files_old(spark, sf))
-        start_upsert_stream(fx.as_files(stream).select("path", "inode", "size", "mtime_ns", "error", "text"), table, f"{folder}/state", prepare).awaitTermination()
-        return table.read()
+        listing = fx.as_files(stream).select("path", "inode", "size", "mtime_ns", "error", "text")
+        changed = index_stream.index_stream(listing, lambda row: hashlib.sha256(row["text"].encode()).hexdigest(), fx.files_old(spark, sf))
+        index_stream.start(changed, folder).awaitTermination()
+        return spark.read.parquet(f"{folder}/changes").select("path", "status", "content_hash")
 
     return _drained(spark, sf, "documents", run)

@@ -1,15 +1,23 @@
-"""The index kept up to date from a stream of listing rows."""
+"""The index kept up to date from a stream of listing rows, as keyed state.
+
+Spark's state store holds one row for each key; a micro-batch reads and writes the keys that it has rows
+of and no others.  State is committed with the batch, so that a batch that is run again starts from the
+state before it and gives the same rows.  ``current_rows`` reads the table that the state is.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
+
+from ..schema import FILES, INFO
 
-from ..sources.inventory import latest_rows
-from ..sources.shared import exists
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def new_contents_stream(stream: DataFrame, column: str = "content_hash") -> DataFrame:
@@ -18,69 +26,97 @@ def new_contents_stream(stream: DataFrame, column: str = "content_hash") -> Data
     return stream.select(column).where(F.col(column).isNotNull()).dropDuplicates([column])
 
 
-class DeltaTable:
-    """A keyed table as a base and the updates of each micro-batch, in any store that Spark reads.
+class KeyedRows(StatefulProcessor):
+    """One row of ``fields`` for each key.  Of a key's rows in a batch the one of the largest ``order`` counts;
+    ``decide(old, row)`` gives the new values, or None to leave the state as it is."""
+
+    def __init__(self, keys: list[str], fields: T.StructType, decide: Callable[[tuple | None, Row], tuple | None], order: Callable[[Row], Any]):
+        self.fields, self.decide, self.order = fields, decide, order
+        self.names = [*keys, *fields.names]
+
+    def init(self, handle) -> None:
+        self.row = handle.getValueState("row", self.fields)
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.row.update(tuple(initialState[n] for n in self.fields.names))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        best = max(rows, key=self.order)
+        new = self.decide(self.row.get() if self.row.exists() else None, best)
+        if new is not None:
+            self.row.update(new)
+            yield Row(**dict(zip(self.names, (*key, *new))))
+
+    def close(self) -> None:
+        pass
 
-    A batch writes its updates under its own number, so that a batch that is run again writes
-    the same rows in the same place; nothing else is touched.  ``read`` merges when it reads:
-    the latest row of each key, by ``order`` where that is a column of the table, else by
-    batch.  ``compact`` writes what is read as a new base and then notes it; earlier files
-    stay for those who read them.
-    """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, keys: list[str], order: str):
-        self.spark, self.folder, self.schema, self.keys, self.order = spark, folder, schema, keys, order
+def _in_order(column: str | None) -> Callable[[Row], Any]:
+    """Rows by the column, null before all; equal ones by their values."""
+    def of(row: Row):
+        value = row[column] if column else 0
+        return (value is not None, value if value is not None else 0, str(row))
 
-    def _table(self, name: str, schema: T.StructType) -> DataFrame:
-        if not exists(self.spark, f"{self.folder}/{name}"):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+    return of
 
-    def base(self) -> int:
-        """The batch up to which the newest base goes; -1 without one."""
-        return self._table("bases", T.StructType([T.StructField("batch", T.LongType())])).agg(F.max("batch")).first()[0] if exists(self.spark, f"{self.folder}/bases") else -1
 
-    def read(self) -> DataFrame:
-        base, batch = self.base(), T.StructField("batch", T.LongType())
-        rows = self._table("updates", T.StructType([*self.schema.fields, batch])).where(F.col("batch") > base)
-        if base >= 0:
-            rows = rows.unionByName(self._table(f"base-{base}", self.schema).withColumn("batch", F.lit(base).cast("long")))
-        by = self.order if self.order in self.schema.names else "batch"
-        return latest_rows(rows, self.keys, by).select(*self.schema.names)
+def keyed_rows(stream: DataFrame, keys: list[str], fields: T.StructType, decide, order: str | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """The rows of ``keys`` and ``fields`` that a stream changes, and the state that they are kept in.  ``initial`` (keys and fields)
+    is there before the first batch."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    out = T.StructType([*[stream.schema[k] for k in keys], *fields.fields])
+    return stream.groupBy(*keys).transformWithState(
+        KeyedRows(keys, fields, decide, _in_order(order)), out, "Update", "None", None if initial is None else initial.groupBy(*keys))
 
-    def append(self, updates: DataFrame, batch: int) -> None:
-        """The latest update of each key, as the batch's rows."""
-        latest_rows(updates, self.keys, self.order).select(*self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/updates/batch={batch}")
 
-    def seed(self, rows: DataFrame) -> None:
-        """The first base."""
-        self._note(rows, 0)
+def latest_stream(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row with the largest ``order`` for each key, given out whenever it changes; rows with an ``error`` are passed over."""
+    fields = T.StructType([f for f in stream.schema.fields if f.name not in (*keys, "error")])
+    place = fields.names.index(order)
+    names = fields.names
 
-    def compact(self) -> None:
-        last = self._table("updates", T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])).agg(F.max("batch")).first()[0]
-        if last is not None and last > self.base():
-            self._note(self.read(), last)
+    def decide(old, row):
+        if old is not None and old[place] is not None and (row[order] is None or row[order] < old[place]):
+            return None
+        return tuple(row[n] for n in names)
 
-    def _note(self, rows: DataFrame, batch: int) -> None:
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/base-{batch}")
-        self.spark.range(1).select(F.lit(batch).cast("long").alias("batch")).write.mode("append").parquet(f"{self.folder}/bases")
+    return keyed_rows(_sound(stream), keys, fields, decide, order)
 
 
-def start_upsert_stream(
-    stream: DataFrame, table: DeltaTable, checkpoint: str, prepare: Callable[[DataFrame, DataFrame], DataFrame] | None = None, compact_every: int = 100
-):
-    """Fold every micro-batch into the table and stop when the input is drained.
+def index_stream(listing: DataFrame, digest: Callable[[Row], str], index: DataFrame | None = None, order: str | None = None) -> DataFrame:
+    """New and changed files of a stream of listing rows, with ``content_hash`` and ``status``.
 
-    ``prepare(batch, current)`` makes the updates (such as classifying and digesting); rows
-    with an ``error`` are passed over and do not stop the others.  Batches are numbered from 1;
-    every ``compact_every`` of them the updates are merged into a new base.
+    A file whose inode, size and time are those of its row in the state is unchanged: it is not
+    given out, and not digested.  ``digest(row)`` gives the hash of a file that is new or changed.
+    ``index`` holds the files known before.  Rows with an ``error`` are passed over and do not stop the rest.
     """
+    fields = T.StructType([*[f for f in FILES.fields if f.name != "path"], T.StructField("status", T.StringType())])
+
+    def decide(old, row):
+        info = tuple(row[c] for c in INFO)
+        if old is not None and tuple(old[: len(INFO)]) == info:
+            return None
+        return (*info, digest(row), "new" if old is None else "changed")
+
+    known = None if index is None else index.select(*FILES.names, F.lit("unchanged").alias("status"))
+    return keyed_rows(_sound(listing), ["path"], fields, decide, order, known)
+
+
+def _sound(stream: DataFrame) -> DataFrame:
+    return stream.where("error IS NULL") if "error" in stream.columns else stream
+
+
+def start(rows: DataFrame, folder: str):
+    """Run such a stream until its input is drained: what changes goes to ``folder/changes``, one folder a batch, which a batch
+    that is run again writes again; the state is in ``folder/state``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
+
+    return rows.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        if "error" in batch.columns:
-            batch = batch.where("error IS NULL")
-        table.append(prepare(batch, table.read()) if prepare else batch, batch_id + 1)
-        if (batch_id + 1) % compact_every == 0:
-            table.compact()
 
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def current_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of all keys after the last batch, from the state itself."""
+    state = spark.read.format("statestore").option("stateVarName", "row").load(f"{folder}/state")
+    return state.select("key.*", "value.*")

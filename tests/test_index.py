@@ -3,17 +3,15 @@
 import datetime
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyfold import queries
 from tallyfold.functions import predicates
 from tallyfold.operators import index, match
 from tallyfold.plans import fixtures as fx
 from tallyfold.sources import inventory, shared
-from tallyfold.streaming.index_stream import DeltaTable, start_upsert_stream
+from tallyfold.streaming import index_stream
 
 SF = "/root/testdata/sf0.001"
-ROW = T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.LongType())])
 
 
 def test_index_versions_round_trip(spark, tmp_path):
@@ -39,35 +37,53 @@ def test_latest_rows_do_not_hang_on_how_rows_come(spark):
     assert inventory.latest_rows(df.where("false"), ["path"], "seq").count() == 0
 
 
-def test_deltas_merge_on_read_and_compact(spark, tmp_path):
-    table = DeltaTable(spark, f"file://{tmp_path}/t", ROW, ["path"], "seq")
-    assert table.read().count() == 0
-    make = lambda rows: spark.createDataFrame(rows, "path string, value long, seq int")
-    table.append(make([("a", 1, 1), ("b", 1, 1), ("a", 2, 2)]), 1)
-    table.append(make([("b", 5, 1), ("c", 9, 1)]), 2)
-    table.append(make([("b", 5, 1), ("c", 9, 1)]), 2)  # the batch once more
-    want = {("a", 2), ("b", 5), ("c", 9)}
-    assert {tuple(r) for r in table.read().collect()} == want and table.base() == -1
-    table.compact()
-    assert table.base() == 2 and {tuple(r) for r in table.read().collect()} == want
-    table.append(make([("c", 1, 1)]), 3)
-    table.compact()
-    table.compact()
-    assert table.base() == 3 and {tuple(r) for r in table.read().collect()} == {("a", 2), ("b", 5), ("c", 1)}
-
-
-def test_stream_in_many_batches(spark, tmp_path):
-    for k in range(5):
-        spark.createDataFrame([(f"p{i % (k + 1)}", 10 * k + i, k, "bad" if i == 3 else None) for i in range(4)], "path string, value long, seq long, error string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("path string, value long, seq long, error string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    schema = T.StructType([*ROW.fields, T.StructField("seq", T.LongType())])
-    table = DeltaTable(spark, f"{tmp_path}/table", schema, ["path"], "seq")
-    start_upsert_stream(stream, table, f"{tmp_path}/state", compact_every=2).awaitTermination()
-    start_upsert_stream(stream, table, f"{tmp_path}/state", compact_every=2).awaitTermination()  # nothing new
-    best = {}
-    for r in spark.read.parquet(f"{tmp_path}/in").where("error IS NULL").collect():
-        best[r["path"]] = max(best.get(r["path"], -1), r["seq"])
-    assert {r["path"]: r["seq"] for r in table.read().collect()} == best and table.base() == 4
+LISTED = "path string, inode long, size long, mtime_ns long, error string, text string"
+
+
+def _stream(spark, folder):
+    return spark.readStream.schema(LISTED).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def test_index_stream_over_ten_batches_and_a_replay(spark, tmp_path):
+    """Each batch against the state of its own paths; a batch that is run again, as after a failure between its writes and
+    its commit, gives equal rows."""
+    want, changes, last = {"/old": (9, 9, 9, "kept"), "/p0": (1, 0, 0, "seed")}, [], []
+    for k in range(10):
+        rows = [(f"/p{i}", 1, k // (i + 1), 0, "bad" if (i + k) % 7 == 6 else None, "") for i in range(5)]
+        if k == 9:
+            rows.append(("/late", 1, 2, 3, None, ""))
+        spark.createDataFrame(rows, LISTED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for path, *info, error, _ in rows:
+            if error is None and want.get(path, ())[:3] != tuple(info):
+                changes.append((k, path, "changed" if path in want else "new"))
+                want[path] = (*info, f"{path}:{info[1]}")
+    index = spark.createDataFrame([(p, *v) for p, v in (("/old", (9, 9, 9, "kept")), ("/p0", (1, 0, 0, "seed")))], inventory.FILES)
+
+    def run():
+        digest = lambda row: f"{row['path']}:{row['size']}"
+        index_stream.start(index_stream.index_stream(_stream(spark, tmp_path), digest, index), f"{tmp_path}/out").awaitTermination()
+        state = {r["path"]: (r["inode"], r["size"], r["mtime_ns"], r["content_hash"]) for r in index_stream.current_rows(spark, f"{tmp_path}/out").collect()}
+        told = sorted((r["batch"], r["path"], r["status"]) for r in spark.read.parquet(f"{tmp_path}/out/changes").collect())
+        return state, told
+
+    first = run()
+    assert first == (want, sorted(changes))
+    assert any(c[0] == 9 for c in changes)
+    for gone in (tmp_path / "out/state/commits").glob("*9*"):
+        gone.unlink()
+    assert run() == first
+    assert run() == first  # nothing new
+
+
+def test_latest_of_a_stream(spark, tmp_path):
+    rows = [("a", 1, 1.0), ("a", 3, 3.0), ("a", 2, 2.0), ("b", None, 7.0), (None, 5, 5.0)]
+    schema = "path string, seq long, value double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("a", 2, 9.0), ("b", 1, 8.0), ("c", 1, 1.0)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    index_stream.start(index_stream.latest_stream(stream, ["path"], "seq"), f"{tmp_path}/out").awaitTermination()
+    got = {r["path"]: (r["seq"], r["value"]) for r in index_stream.current_rows(spark, f"{tmp_path}/out").collect()}
+    assert got == {"a": (3, 3.0), "b": (1, 8.0), None: (5, 5.0), "c": (1, 1.0)}
 
 
 def test_a_second_run_computes_nothing(spark):
