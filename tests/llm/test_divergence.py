@@ -4,12 +4,15 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tallyfold.llm import entries, source_divergence
 
 SF = "/root/testdata/sf0.001"
-TERM = re.compile(source_divergence.TERM)
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def brute(rows, min_df, top):
@@ -52,6 +55,15 @@ def small(spark):
     return spark.createDataFrame(ROWS + ROWS[:3], "lang string, source string, text string")
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["", "en", "日", "en\0x"]), st.text(st.one_of(st.sampled_from("abZ 0-é日\0"), st.characters(exclude_categories=["Cs"])), max_size=12)), max_size=6))
+def test_terms_against_the_pattern(rows):
+    langs, texts = [r[0] for r in rows], [r[1] for r in rows]
+    want = [[f"{lang}\0" + re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in TERM.findall(text)] for lang, text in rows]
+    assert source_divergence.led_terms(langs, pa.array(texts, pa.string())).to_pylist() == want
+    assert source_divergence.led_terms(langs[1:], pa.array(texts, pa.string())[1:]).to_pylist() == want[1:]
+
+
 def test_against_definition(spark, small):
     for min_df, top in ((1, 50), (2, 2)):
         assert rows_of(source_divergence.source_divergence(small, min_df=min_df, top=top)) == brute(ROWS + ROWS[:3], min_df, top)
