@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.digests import info, merge_digests, plan_digests
+from ..functions.digests import ATTEMPTS, info, merge_digests, plan_digests
 from ..functions.predicates import ignore_names, may_have_metadata, split_errors
 from ..schema import DIGESTS
 from ..sources.inventory import Index, upsert
+from ..sources.shared import cut
 
 
 def lookup_paths(requests: DataFrame, files: DataFrame) -> DataFrame:
@@ -77,27 +80,61 @@ def index_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def run_index(listing: DataFrame, index: Index, digest: Callable[[DataFrame], DataFrame], decode: Callable[[DataFrame], DataFrame], desired=DIGESTS) -> tuple[DataFrame, Index]:
-    """One run of the index: the records of all files that could be listed, and the three tables after it.
+def read_contents(todo: DataFrame, digest: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose content could be read while it held still, and those that failed (with ``error``).
 
-    Ignored names and failed entries go; files are classified against the index; new and
-    changed ones are digested, as are unchanged ones that lack a digest asked for:
-    ``digest(rows)`` adds ``content`` (the key digest) and a struct ``new`` of the further
-    ones.  Contents of photo candidates without an image row are decoded: ``decode(hashes)``
-    gives image rows for ``content_hash``.  Rows already known are taken from the index, and
-    what was computed replaces or joins its tables; nothing is ever removed from them.
+    ``digest(rows)`` adds ``content`` (the key digest) and a struct ``new`` of further ones.  It may also add ``failure``, a
+    text where reading failed, and ``before`` and ``after``, the inode, size and time as found when reading began and ended:
+    a row for which they differ is read again, ATTEMPTS times in all.  Each attempt is written once, so that
+    whatever is made of it comes from one read.
     """
-    ok, _ = split_errors(ignore_names(listing))
+    done, failed, left = [], [], todo
+    for attempt in range(ATTEMPTS):
+        got = cut(digest(left), "read")
+        failure = F.col("failure") if "failure" in got.columns else F.lit(None).cast("string")
+        held = F.col("before").eqNullSafe(F.col("after")) if {"before", "after"} <= set(got.columns) else F.lit(True)
+        done.append(got.where(failure.isNull() & held).select(*todo.columns, "content", "new"))
+        failed.append(got.where(failure.isNotNull()).select(*todo.columns, failure.alias("__failure")))
+        left = got.where(failure.isNull() & ~held).select(*todo.columns)
+        if "after" not in got.columns or left.isEmpty():
+            break
+    else:
+        failed.append(left.withColumn("__failure", F.lit(f"changed while it was read, {ATTEMPTS} times")))
+    good, bad = reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, failed)
+    return good, bad.withColumn("error", F.col("__failure")).drop("__failure")
+
+
+class Run(NamedTuple):
+    """What a run of the index gives: records of the files, the tables after it, and the rows that failed (``path, error``)."""
+
+    records: DataFrame
+    index: Index
+    failed: DataFrame
+
+
+def run_index(listing: DataFrame, index: Index, digest: Callable[[DataFrame], DataFrame], decode: Callable[[DataFrame], DataFrame], desired=DIGESTS) -> Run:
+    """One run of the index: the records of all files that could be listed and read, and the three tables after it.
+
+    Ignored names go, failed entries are told and passed over; files are classified against the index; new and
+    changed ones are digested, as are unchanged ones that lack a digest asked for (see :func:`read_contents` for
+    ``digest``; a row that fails is told and the run goes on).  Contents of photo candidates without an image row are decoded:
+    ``decode(hashes)`` gives image rows for ``content_hash``.  Rows already known are taken from the index, and
+    what was computed replaces or joins its tables; nothing is ever removed from them.  Contents are read and
+    decoded once, whatever is then done with the results.
+    """
+    ok, unlisted = split_errors(ignore_names(listing))
     classified = classify(ok, index.files)
     known = attach_extra(classified, index.extra, bool(desired))
     planned = plan_digests(known, desired).withColumn("read", (F.col("status") != "unchanged") | (F.size("todo") > 0))
-    read = digest(planned.where("read")).withColumn("content_hash", F.coalesce("content_hash", "content"))
-    digested = merge_digests(read).select(*planned.columns).unionByName(planned.where("NOT read"))
+    read, unread = read_contents(planned.where("read"), digest)
+    merged = merge_digests(read.withColumn("content_hash", F.coalesce("content_hash", "content"))).select(*planned.columns)
+    digested = cut(merged.unionByName(planned.where("NOT read")), "digested")
     flagged = computed_flags(digested, index.images)
-    made = decode(images_to_compute(flagged, index.images))
-    images = index.images.unionByName(made.select(*index.images.columns))
+    made = cut(decode(images_to_compute(flagged, index.images)).select(*index.images.columns), "decoded")
+    images = index.images.unionByName(made)
     records = attach_images(flagged, images)
     once = F.lit(1)
-    files = upsert(index.files, records.where("hash_computed").select(*index.files.columns, once.alias("seq")), ["path"], "seq")
-    more = records.where("read AND store_extra").select(*index.extra.columns).dropDuplicates(["content_hash"]).withColumn("seq", once)
-    return records, Index(files, images, upsert(index.extra, more, ["content_hash"], "seq"))
+    files = upsert(index.files, digested.where("status <> 'unchanged'").select(*index.files.columns, once.alias("seq")), ["path"], "seq")
+    more = digested.where("read AND store_extra").select(*index.extra.columns).dropDuplicates(["content_hash"]).withColumn("seq", once)
+    failed = unlisted.select("path", "error").unionByName(unread.select("path", "error"))
+    return Run(records, Index(files, images, upsert(index.extra, more, ["content_hash"], "seq")), failed)

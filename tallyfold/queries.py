@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from .operators.prefix import min_unique_prefix
 from .plans import fixtures as fx
 from .schema import FILES
 from .sources import inventory as src
+from .sources.shared import shared_dir
 from .streaming import index_stream
 
 QUERIES: dict = {}
@@ -159,6 +161,16 @@ def q_inventory(spark, sf):
     return src.as_listing(fx.docs_files(spark, sf))
 
 
+@query("""SELECT CAST(doc_id AS VARCHAR) AS path, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents""")
+def q_digest_blocks(spark, sf):
+    """Contents that come in blocks of 1000 bytes are digested block by block."""
+    raw = F.col("raw")
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length("raw") / 1000))
+    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("raw"))
+    blocks = docs.select("path", "raw", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("block"))
+    return digests.digest_blocks(blocks.select("path", "block", F.substring(raw, (F.col("block") * 1000 + 1).cast("int"), F.lit(1000)).alias("data")), ["path"]).drop("failure")
+
+
 @query("""SELECT path, max(seq) AS seq, arg_max(value, seq) AS value FROM event_rows GROUP BY path""")
 def q_upsert_latest(spark, sf):
     return src.latest_rows(fx.event_rows(spark, sf), ["path"], "seq").select("path", "seq", "value")
@@ -365,6 +377,15 @@ def q_change_detect(spark, sf):
     return index.classify(fx.docs_files(spark, sf), fx.files_old(spark, sf)).select("path", "status")
 
 
+@query("SELECT path, status FROM classified")
+def q_change_detect_bucketed(spark, sf):
+    """The same against an index laid out in buckets, which is not shuffled."""
+    stored = src.Index(fx.files_old(spark, sf), fx.images_tbl(spark, sf), fx.extra_tbl(spark, sf))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    version = src.write_index(stored, f"{shared_dir(spark)}/index", buckets)
+    return index.classify(fx.docs_files(spark, sf), src.read_index(spark, version).files).select("path", "status")
+
+
 @query("SELECT DISTINCT h0 AS content_hash FROM photos WHERE h0 NOT IN (SELECT content_hash FROM images_tbl)")
 def q_images_todo(spark, sf):
     return index.images_to_compute(fx.docs_files(spark, sf).withColumn("content_hash", F.col("h0")), fx.images_tbl(spark, sf))
@@ -432,6 +453,11 @@ def q_index_run_extra(spark, sf):
     return _index_run(spark, sf)[1].extra.select("content_hash")
 
 
+@query("""SELECT path, error FROM docs_files WHERE error IS NOT NULL AND regexp_extract(path, '[^/]+$') <> '.picasa.ini' AND NOT starts_with(regexp_extract(path, '[^/]+$'), '._')""")
+def q_index_run_failed(spark, sf):
+    return _index_run(spark, sf).failed
+
+
 # --- matching ------------------------------------------------------------------------------------
 
 _FIND = """SELECT d.path, coalesce(m, '') AS matches FROM docs_files d LEFT JOIN (SELECT path, string_agg(other, '|' ORDER BY other) AS m
@@ -566,10 +592,6 @@ def q_min_unique_images(spark, sf):
 
 def _drained(spark, sf, name, run):
     """Run a stream over one table's file(s) and give what it left behind."""
-    import uuid
-
-    from .sources.shared import shared_dir
-
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(fx.table(spark, sf, name).schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 2).parquet(f"{sf}/{name}.parquet*")
     return run(stream, folder)

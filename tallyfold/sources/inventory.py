@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import EXTRA, FILES, IMAGES, LISTING
+from ..schema import EXTRA, FILES, IMAGES, KEYS, LISTING
+from .shared import exists
 
 
 def read_inventory(spark: SparkSession, roots: list[str], content: bool = False) -> DataFrame:
     """Regular files under the roots: ``path, inode, size, mtime_ns, error`` (and ``content``).
 
-    The file source leaves out empty files and names that start with ``_`` or ``.``, knows no
-    inode (0) and times only to the millisecond; use a ready listing (:func:`read_listing`) where these matter.
+    For any store that Spark reads.  The file source leaves out empty files and names that start with ``_`` or ``.``, knows no
+    inode (0) and times only to the millisecond; use :func:`tallyfold.sources.listing.list_folders` for mounted folders, or a ready
+    listing (:func:`read_listing`), where these matter.
     Without ``content`` the files are listed and not read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
@@ -51,14 +54,41 @@ SCHEMAS = {"files": FILES, "images": IMAGES, "extra": EXTRA}
 
 
 def read_index(spark: SparkSession, folder: str) -> Index:
-    return Index(**{n: spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in SCHEMAS.items()})
+    """The tables of a version; one that was written in buckets is read with them."""
+    laid = spark.read.schema("name string, key string, buckets int").json(f"{folder}/layout").collect() if exists(spark, f"{folder}/layout") else []
+    if not laid:
+        return Index(**{n: spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in SCHEMAS.items()})
+    tables = {}
+    for row in laid:
+        name, schema = _table_name(folder, row["name"]), SCHEMAS[row["name"]]
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (`{row['key']}`) SORTED BY (`{row['key']}`) INTO {row['buckets']} BUCKETS LOCATION '{folder}/{row['name']}'")
+        tables[row["name"]] = spark.table(name)
+    return Index(**tables)
 
 
-def write_index(index: Index, folder: str) -> str:
-    """Write a new version under ``folder`` and give its path; a version that is being read is never touched."""
+def _table_name(folder: str, name: str) -> str:
+    return f"index_{hashlib.md5(folder.encode()).hexdigest()}_{name}"
+
+
+def write_index(index: Index, folder: str, buckets: int | None = None) -> str:
+    """Write a new version under ``folder`` and give its path; a version that is being read is never touched.
+
+    With ``buckets``, files are laid out by path and the other tables by content hash, so that joins on these keys
+    shuffle the other side only.  Take as many as there are shuffle partitions, or more.
+    """
     version = f"{folder}/v-{uuid.uuid4().hex}"
     for n, s in SCHEMAS.items():
-        getattr(index, n).select(*s.names).write.parquet(f"{version}/{n}")
+        rows = getattr(index, n).select(*s.names)
+        if buckets is None:
+            rows.write.parquet(f"{version}/{n}")
+            continue
+        key = KEYS[n][0]
+        dealt = rows.repartition(buckets, key)  # one file a bucket
+        dealt.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", f"{version}/{n}").saveAsTable(_table_name(version, n))
+    if buckets is not None:
+        spark = index.files.sparkSession
+        spark.createDataFrame([(n, KEYS[n][0], buckets) for n in SCHEMAS], "name string, key string, buckets int").coalesce(1).write.json(f"{version}/layout")
     return version
 
 
