@@ -79,6 +79,13 @@ def split_errors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where("error IS NULL"), df.where("error IS NOT NULL")
 
 
+def stop_at_failure(df: DataFrame, error: str = "error", path: str = "path") -> DataFrame:
+    """The rows, none of which may have failed: the query ends with the path and the error of the first such row that a task
+    meets."""
+    told = F.raise_error(F.concat_ws(": ", path, error)).cast("boolean")
+    return df.where(F.when(F.col(error).isNull(), True).otherwise(told))
+
+
 def photo_format(path: Column) -> Column:
     """``jpeg``, ``heic`` or null, by the extension in any case; the stem may not be empty."""
     name = file_name(path)
@@ -150,3 +157,9 @@ def kib(size: Column) -> Column:
 def explode_fields(df: DataFrame, json: str, keep: list[str]) -> DataFrame:
     """One row for each field of a JSON object: ``keep``, ``tag``, ``value``."""
     return df.select(*keep, F.explode(F.from_json(json, "map<string,string>")).alias("tag", "value"))
+
+
+def explode_directories(df: DataFrame, json: str, keep: list[str]) -> DataFrame:
+    """One row for each field of each directory (``ifd``) of a JSON object of objects: ``keep``, ``tag``, ``ifd``, ``value``."""
+    of = df.select(*keep, F.explode(F.from_json(json, "map<string,map<string,string>>")).alias("ifd", "__fields"))
+    return of.select(*keep, "ifd", F.explode("__fields").alias("tag", "value")).select(*keep, "tag", "ifd", "value")

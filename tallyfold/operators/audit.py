@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.predicates import is_invalid
@@ -46,6 +46,15 @@ def failure_counts(failures: DataFrame) -> DataFrame:
     return failures.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+REASONS = (HASH_MISMATCH, FAILED_DECODE, DIMENSIONS, ROTHASH, BLOCKHASH)
+
+
+def counted_failures(failures: DataFrame) -> tuple[DataFrame, Observation]:
+    """The failures, and their number by reason and in all (``total``), filled by whoever writes them."""
+    seen = Observation()
+    return failures.observe(seen, F.count("*").alias("total"), *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS]), seen
+
+
 def require_clean(failures: DataFrame) -> None:
     """Raise if there is any failure; the message counts them by reason."""
     found = {r["reason"]: r["n"] for r in failure_counts(failures).collect()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.digests import ATTEMPTS, info, merge_digests, plan_digests
@@ -80,6 +80,15 @@ def index_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def counted(records: DataFrame) -> tuple[DataFrame, Observation]:
+    """The records, and the counters ``files, computed, reused, images`` that whoever writes them fills on the way: there is no
+    second pass.  (Distinct contents need rows to meet: :func:`index_summary`.)"""
+    seen = Observation()
+    return records.observe(
+        seen, F.count("*").alias("files"), F.count_if(F.col("hash_computed")).alias("computed"), F.count_if(~F.col("hash_computed")).alias("reused"), F.count_if(F.col("image_computed")).alias("images")
+    ), seen
+
+
 def read_contents(todo: DataFrame, digest: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Rows whose content could be read while it held still, and those that failed (with ``error``).
 

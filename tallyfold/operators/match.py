@@ -5,7 +5,8 @@ Inputs have ``path`` and the hash columns ``h0`` (content), ``h1`` (rotation), `
 ``class_sizes`` counts a class, ``class_members`` lists it one row a path, and the links of
 a source path name classes, three at most, however many copies a hash has.  Lists of paths
 (``hash_index``, ``find_matches``, ``diff``) are for reports: a list is one row, so that a
-content with very many copies is better read as a class.
+content with very many copies is better read as a class, or in chunks of bounded length
+(``posting_chunks``, ``find_chunks``, ``first_tier_chunks``).
 """
 
 from __future__ import annotations
@@ -86,3 +87,36 @@ def diff_tiers(src: DataFrame, dest: DataFrame, exact: bool = False) -> DataFram
 def missing(src: DataFrame, dest: DataFrame, exact: bool = False) -> DataFrame:
     """Sorted source paths without any hit, from keys alone."""
     return diff_tiers(src, dest, exact).where("tier IS NULL").select("path").orderBy("path")
+
+
+#: Paths of a chunk on average where a hash has more; a chunk of twice as many is out of all likelihood.
+CHUNK = 1024
+
+
+def posting_chunks(dest: DataFrame, exact: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """``kind, hash, chunk, paths``: the paths of each hash in sorted lists of bounded length, numbered from 0.
+
+    A hash with more than ``chunk`` paths is dealt over chunks by the hash of the path; others are one
+    list.  Counts combine within tasks before they meet, and each chunk is a group of its own.
+    """
+    members = class_members(dest, exact)
+    large = class_sizes(dest, exact).where(F.col("n_paths") > chunk).select("kind", "hash", F.ceil(F.col("n_paths") / chunk).alias("chunks"))
+    place = F.pmod(F.xxhash64("path"), F.coalesce("chunks", F.lit(1)))
+    dealt = members.join(large, ["kind", "hash"], "left").select("kind", "hash", place.cast("int").alias("chunk"), "path")
+    return dealt.groupBy("kind", "hash", "chunk").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+
+
+def find_chunks(src: DataFrame, dest: DataFrame, exact: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """``path, kind, chunk, paths``: what each source path matches, chunk by chunk, of the hashes that are hit only."""
+    hit = class_members(src, exact)
+    keys = hit.select("kind", "hash").distinct()
+    hit_only = melted(dest, exact).join(keys, ["kind", "hash"], "left_semi")
+    wide = hit_only.select("path", *[F.when(F.col("kind") == k, F.col("hash")).alias(h) for k, h in enumerate(KINDS)])
+    return hit.join(posting_chunks(wide, exact, chunk), ["kind", "hash"]).select("path", "kind", "chunk", "paths")
+
+
+def first_tier_chunks(src: DataFrame, dest: DataFrame, exact: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """``path, tier, chunk, paths``: as diff, chunk by chunk; the tier comes from keys alone."""
+    tiers = diff_tiers(src, dest, exact).where("tier IS NOT NULL")
+    found = find_chunks(src, dest, exact, chunk)
+    return found.join(tiers.select("path", F.col("tier").alias("kind")), ["path", "kind"]).select("path", F.col("kind").alias("tier"), "chunk", "paths")

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from .functions import digests, grids, predicates
 from .functions.digests import hash_report, plan_digests, stable, with_digests
 from .operators import audit, index, match
-from .operators.prefix import min_unique_prefix
+from .operators.prefix import hash_neighbours, min_unique_by_halving, min_unique_prefix
+from .operators.seen import first_seen, merge_filters, seen_filter
+from .plans import commands
 from .plans import fixtures as fx
 from .schema import FILES
 from .sources import inventory as src
-from .sources.shared import shared_dir
+from .sources.shared import cut, shared_dir
 from .streaming import index_stream
 
 QUERIES: dict = {}
@@ -77,6 +79,10 @@ UNION ALL SELECT 'c', path, inode, size, mtime_ns FROM listing_c""",
     "orient_fields": """SELECT CAST(user_id AS VARCHAR) AS path, event_id AS seq, event_type = 'click' AS orientation,
   CASE WHEN k % 5 <> 0 THEN k % 10 END AS value FROM (SELECT *, CAST(props->>'$.k' AS INT) AS k FROM events)""",
 }
+_VIEWS["sound_files"] = "SELECT * FROM docs_files WHERE error IS NULL"
+_VIEWS["sound_melted"] = _VIEWS["melted"].replace("docs_files", "sound_files")
+_VIEWS["sound_pairs"] = _VIEWS["pairs"].replace("melted", "sound_melted")
+_VIEWS["sound_tiers"] = _VIEWS["tiers"].replace("docs_files", "sound_files").replace("pairs", "sound_pairs")
 _TURN = {  # orientation number: source cell of cell (i // 8, i % 8) in an 8 by 8 grid
     1: "i + 1", 2: "(i // 8) * 8 + 7 - i % 8 + 1", 3: "63 - i + 1", 4: "(7 - i // 8) * 8 + i % 8 + 1", 5: "(i % 8) * 8 + i // 8 + 1",
     6: "(7 - i % 8) * 8 + i // 8 + 1", 7: "(7 - i % 8) * 8 + 7 - i // 8 + 1", 8: "(i % 8) * 8 + 7 - i // 8 + 1",
@@ -317,6 +323,12 @@ def q_fields_long(spark, sf):
     return predicates.explode_fields(fx.table(spark, sf, "events"), "props", ["event_id"])
 
 
+@query("""SELECT event_id, 'k' AS tag, ifd, CASE ifd WHEN 'primary' THEN props->>'$.k' ELSE event_type END AS value FROM events, (SELECT unnest(['primary', 'thumbnail']) AS ifd)""")
+def q_fields_directories(spark, sf):
+    both = F.concat(F.lit('{"primary":'), "props", F.lit(',"thumbnail":{"k":"'), "event_type", F.lit('"}}'))
+    return predicates.explode_directories(fx.table(spark, sf, "events").withColumn("both", both), "both", ["event_id"])
+
+
 # --- pictures ------------------------------------------------------------------------------------
 
 @query(f"SELECT vec_id, {_ROTHASH} AS rothash FROM grids_src")
@@ -324,6 +336,19 @@ def q_rothash(spark, sf):
     return fx.grids_src(spark, sf).select("vec_id", grids.rothash().alias("rothash"))
 
 
+def _picture_dig(turn: str) -> str:
+    return _dig(f"list_transform(range(0, 480), lambda i: v[CAST({turn} AS INT)])")
+
+
+_PICTURES = """(SELECT vec_id, list_transform(range(0, 480), lambda i: v[CAST((i * 7 + i // 24 * 3) % 64 + 1 AS INT)]) AS v FROM grids_src)"""
+_PICTURE_TURNS = ("i + 1", "(19 - i % 20) * 24 + i // 20 + 1", "480 - i", "(i % 20) * 24 + 23 - i // 20 + 1")
+
+
+@query(f"SELECT vec_id, list_min([{', '.join(map(_picture_dig, _PICTURE_TURNS))}]) AS rothash FROM {_PICTURES}")
+def q_rothash_pictures(spark, sf):
+    return fx.pictures(spark, sf).select("vec_id", grids.picture_rothash()("values", "width", "height").alias("rothash"))
+
+
 @query(f"SELECT vec_id, {_BITS} AS bits FROM grids_src")
 def q_blockhash(spark, sf):
     return fx.grids_src(spark, sf).select("vec_id", grids.cell_bits(brightest=255).alias("bits"))
@@ -534,6 +559,53 @@ def q_duplicates(spark, sf):
     return match.duplicate_classes(fx.docs_files(spark, sf))
 
 
+@query("SELECT CAST(kind AS INT) AS kind, hash, count(DISTINCT path) AS n_paths, string_agg(DISTINCT path, '|' ORDER BY path) AS paths FROM melted WHERE NOT is_src GROUP BY ALL")
+def q_posting_chunks(spark, sf):
+    """Chunks of two paths on average, put together again for the comparison."""
+    chunks = match.posting_chunks(_sides(spark, sf)[1], chunk=2)
+    whole = chunks.groupBy("kind", "hash").agg(F.array_sort(F.flatten(F.collect_list("paths"))).alias("paths"))
+    return whole.select("kind", "hash", F.size("paths").cast("long").alias("n_paths"), _joined("paths").alias("paths"))
+
+
+@query("SELECT path, CAST(kind AS INT) AS kind, other FROM pairs")
+def q_find_chunks(spark, sf):
+    return match.find_chunks(*_sides(spark, sf)).select("path", "kind", F.explode("paths").alias("other"))
+
+
+@query("SELECT t.path, t.tier, other FROM tiers t JOIN pairs p ON p.path = t.path AND p.kind = t.tier")
+def q_diff_chunks(spark, sf):
+    return match.first_tier_chunks(*_sides(spark, sf)).select("path", "tier", F.explode("paths").alias("other"))
+
+
+# --- commands that stop at the first failure, over sound listings --------------------------------
+
+def _sound_sides(spark, sf):
+    return tuple(d.where("error IS NULL") for d in _sides(spark, sf))
+
+
+@query(_FIND.format(w="").replace("docs_files", "sound_files").replace("pairs", "sound_pairs"))
+def q_command_find(spark, sf):
+    return commands.find(*_sound_sides(spark, sf)).select("path", _joined("matches").alias("matches"))
+
+
+@query("""SELECT t.path, t.tier, coalesce(string_agg(other, '|' ORDER BY other), '') AS matches FROM sound_tiers t LEFT JOIN sound_pairs p ON p.path = t.path AND p.kind = t.tier GROUP BY ALL""")
+def q_command_diff(spark, sf):
+    return commands.diff(*_sound_sides(spark, sf)).select("path", "tier", F.coalesce(_joined("matches"), F.lit("")).alias("matches"))
+
+
+@query("SELECT path FROM sound_tiers WHERE tier IS NULL")
+def q_command_missing(spark, sf):
+    return commands.missing(*_sound_sides(spark, sf))
+
+
+@query("""SELECT p.path, CASE WHEN doc_id % 2 = 0 THEN 'recorded as failed photo but looks valid now' ELSE 'bad marker' END AS verdict
+FROM photos p JOIN images_tbl i ON i.content_hash = p.h0 WHERE (width IS NULL OR height IS NULL) AND p.error IS NULL""")
+def q_command_broken(spark, sf):
+    d = fx.docs_files(spark, sf).where("error IS NULL").withColumn("content_hash", F.col("h0"))
+    ok = F.col("doc_id") % 2 == 0
+    return commands.broken(d.select("path", "size", "content_hash", "error"), fx.images_tbl(spark, sf), d.select("path", ok.alias("ok"), F.when(~ok, "bad marker").alias("cause")))
+
+
 # --- audit ---------------------------------------------------------------------------------------
 
 _VALIDATE = """SELECT o.path, CASE WHEN o.content_hash <> f.content_hash THEN 'Blake3Mismatch' WHEN i.content_hash IS NULL OR i.width IS NULL OR i.height IS NULL THEN NULL
@@ -551,6 +623,12 @@ def q_validate(spark, sf):
     return _failures(spark, sf)
 
 
+@query(f"SELECT path, reason FROM ({_VALIDATE}) WHERE reason IS NOT NULL AND path IN (SELECT path FROM sound_files)")
+def q_command_validate(spark, sf):
+    sound = fx.docs_files(spark, sf).where("error IS NULL").select("path", "error")
+    return commands.validate(fx.observed(spark, sf).join(sound, "path"), fx.files_old(spark, sf), fx.images_tbl(spark, sf))
+
+
 @query(f"SELECT reason, CAST(count(*) AS BIGINT) AS n FROM ({_VALIDATE}) WHERE reason IS NOT NULL GROUP BY reason")
 def q_failure_counts(spark, sf):
     return audit.failure_counts(_failures(spark, sf))
@@ -588,6 +666,30 @@ def q_min_unique_images(spark, sf):
     return min_unique_prefix(fx.images_tbl(spark, sf), "content_hash")
 
 
+@query("""SELECT h AS hash, g AS previous, CAST(CASE WHEN g IS NULL THEN 0 ELSE len(list_filter(range(1, 65), lambda i: left(h, i) = left(g, i))) END AS INT) AS common
+FROM (SELECT h, lag(h) OVER (ORDER BY h) AS g FROM (SELECT DISTINCT h0 AS h FROM docs_files))""")
+def q_hash_neighbours(spark, sf):
+    return hash_neighbours(fx.docs_files(spark, sf), "h0")
+
+
+@query(_PREFIX.format(c="h0", t="docs_files"))
+def q_min_unique_halving(spark, sf):
+    return min_unique_by_halving(fx.docs_files(spark, sf), "h0")
+
+
+@query("SELECT DISTINCT sha256(text) AS content_hash FROM documents")
+def q_first_seen_filtered(spark, sf):
+    """Documents in four versions, each against the hashes before it: only possible hits of the merged filter are looked up."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    seen, known = None, None
+    for k in range(4):
+        batch = docs.where(F.col("doc_id") % 4 == k).select("content_hash")
+        new = cut(batch.distinct() if seen is None else first_seen(batch, seen, known), "first-seen")
+        more = seen_filter(new)
+        seen, known = (new, cut(more, "filter")) if seen is None else (seen.unionByName(new), cut(merge_filters(known, more), "filter"))
+    return seen
+
+
 # --- streams: the table as a file stream, drained ------------------------------------------------
 
 def _drained(spark, sf, name, run):
