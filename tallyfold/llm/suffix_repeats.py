@@ -160,7 +160,8 @@ def once(h: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def dealt_anchors(groups: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, gid, hashes, low, high``: the different anchors of each group, by bucket, with the smallest and largest key."""
+    """``bucket, gid, hashes, low, wide``: the different anchors of each group, by bucket, with the smallest key, and whether another key
+    has the anchor too."""
     def run(batches):
         claim(__name__)
         for batch in batches:
@@ -175,7 +176,7 @@ def dealt_anchors(groups: DataFrame, buckets: int) -> DataFrame:
                 parts = [order[edges[k] : edges[k + 1]] for k in some]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(some, pa.int32()), pa.array([gid] * len(some), pa.int64()), pa.array([h[p].tobytes() for p in parts], pa.binary()),
-                    *[pa.array([pack(x) for x in made], pa.binary()) for made in ([low[p] for p in parts], [high[p] - low[p] for p in parts])],
+                    *[pa.array([pack(x) for x in made], pa.binary()) for made in ([low[p] for p in parts], [high[p] > low[p] for p in parts])],
                 ], names=["bucket", "gid", "hashes", "low", "wide"])
 
     return groups.select("gid", "keys", "sizes", "texts").mapInArrow(run, "bucket int, gid long, hashes binary, low binary, wide binary")
@@ -184,11 +185,11 @@ def dealt_anchors(groups: DataFrame, buckets: int) -> DataFrame:
 def shared_anchors(table: pa.Table) -> pa.Table:
     """For the groups of one bucket: bits that say which anchors occur in more than one document."""
     hashes = [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
-    low, wide = (np.concatenate([unpack(x) for x in table.column(c).to_pylist()]) for c in ("low", "wide"))
+    low, wide = (np.concatenate([unpack(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("low", np.int64), ("wide", bool)))
     different, of = np.unique(np.concatenate(hashes), return_inverse=True)
     least, several = np.full(len(different), NO_KEY), np.zeros(len(different), dtype=bool)
     np.minimum.at(least, of, low)
-    several[of[(wide > 0) | (low > least[of])]] = True
+    several[of[wide | (low > least[of])]] = True
     shared = several[of]
     edges = np.cumsum([0] + [len(x) for x in hashes])
     flags = [shared[a:b] for a, b in zip(edges[:-1], edges[1:])]

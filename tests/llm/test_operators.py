@@ -117,6 +117,22 @@ def test_scores_beat_the_base_where_it_counts(spark):
     assert held["score"] > 0.98 * held["base"]  # less negative
 
 
+def test_scores_are_probabilities(spark):
+    """What may follow a known pair, known words and new ones (of the successor's mark too), adds up to one at most."""
+    ids = (k for k in range(10**6) if is_held(k))
+    train = [(k, "alpha beta w0") for k in range(400) if not is_held(k)]
+    train += [(k, " ".join(f"w{(k * 7 + j) % 900}" for j in range(60))) for k in range(400, 900) if not is_held(k)]
+    new = [f"x{k}" for k in range(400_000)]
+    mark = context_mixing.mark_of(context_mixing.Tokens([b"w0"]).h)[0]
+    of = context_mixing.mark_of(context_mixing.Tokens([" ".join(new).encode()]).h)[:-1]
+    asked = [f"w{k}" for k in range(900)] + ["alpha", "beta"] + [w for w, m in zip(new, of) if m == mark] + new[:50]
+    rows = [(next(ids), f"alpha beta {w}") for w in dict.fromkeys(asked)]
+    df = spark.createDataFrame(train + rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in context_mixing.language_model_scores(df).where("held_out").collect()}
+    each = {t: 10 ** got[k] for k, t in rows}
+    assert sum(of == mark) > 1 and sum(each.values()) <= 1 and max(each, key=each.get) == "alpha beta w0" and each["alpha beta w0"] > 0.3
+
+
 def test_all_training_rows_teach_contexts(spark):
     """Copies of one text: whichever row is held out or for development, the others tell what comes next."""
     rng = random.Random(6)
@@ -695,6 +711,15 @@ def test_repeats(spark, docs, odd, none, monkeypatch):
     assert suffix_repeats.without_repeats(odd.where("doc_id = 3")).count() == 3
 
 
+@pytest.mark.parametrize("key", [5, 0, -5, -(2**63), 2**63 - 2])
+def test_repeats_with_a_null_key(spark, key):
+    """A null key comes after all others, in one group with any key: its row loses the passage."""
+    passage = "".join(random.Random(1).choices("abcdefgh", k=86))
+    df = spark.createDataFrame([(key, f"left {passage} end"), (None, f"other {passage}")], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffix_repeats.without_repeats(df).collect()}
+    assert got[key] == f"left {passage} end" and passage not in got[None] and len(got[None]) <= 6
+
+
 def check_suffixes(data, budget):
     b, got = data.tobytes(), []
     for places, common in induced_sort.sorted_suffixes(data, budget):
