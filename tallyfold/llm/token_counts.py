@@ -4,11 +4,15 @@ A batch of distinct pre-tokens lies end to end in one numpy array of symbols.
 Each round finds, for every pre-token at once, its lowest-ranked adjacent pair
 and merges all places of that pair together; finished pre-tokens leave the
 array with the number of symbols that survive.  Rounds needed: the longest
-pre-token's number of distinct merges.
+pre-token's number of distinct merges.  A pre-token of more than LONG bytes has
+an array of its own, whose places are kept by rank: a round takes the places of
+the lowest rank there is and looks at their neighbours only, so that the time
+grows with the merges and not with rounds times length.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -24,6 +28,8 @@ NONE = np.int64(1 << 40)
 #: Pre-tokens whose counts a Python worker remembers; when full it starts anew.
 REMEMBERED = 400_000
 TABLE_BITS = 19
+#: Longer pre-tokens (bytes) are merged on their own.
+LONG = 2000
 #: Odd 64-bit factors of the multiplicative hash, one for each table in turn.
 MULTIPLIERS = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64)) for k in range(64)]
 
@@ -84,8 +90,63 @@ class MergeTable:
             todo = todo[~same]
         return out
 
+    def long_count(self, word: bytes) -> int:
+        """Surviving symbols of one long word.
+
+        A merge makes pairs of higher rank only, as each symbol is made before it is used; so ranks come up in rising
+        order, and places that a rank has when it comes up are all it will ever have.
+        """
+        symbols = self.of_byte[np.frombuffer(word, dtype=np.uint8)]
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive = np.ones(n + 1, dtype=bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def put(places: np.ndarray) -> None:
+            found = self.ranks(symbols[places], symbols[after[places]])
+            some = found < NONE
+            places, found = places[some], found[some]
+            order = np.argsort(found, kind="stable")
+            places, found = places[order], found[order]
+            edges = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else found
+            for rank, part in zip(found[edges].tolist(), np.split(places, edges[1:])):
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(ranks, rank)
+                waiting[rank].append(part)
+
+        put(np.arange(n - 1))
+        while ranks:
+            rank = heapq.heappop(ranks)
+            where = np.unique(np.concatenate(waiting.pop(rank)))
+            left, right = self.keys[rank] >> 32, self.keys[rank] & 0xFFFFFFFF
+            where = where[alive[where] & (symbols[where] == left)]
+            where = where[after[where] < n]
+            where = where[symbols[after[where]] == right]
+            if not len(where):
+                continue
+            # Where one symbol repeats, pairs overlap: every other one from the left is merged.
+            first = np.r_[True, after[where[:-1]] != where[1:]]
+            run = np.maximum.accumulate(np.where(first, np.arange(len(where)), 0))
+            where = where[(np.arange(len(where)) - run) % 2 == 0]
+            gone = after[where]
+            symbols[where] = self.made[rank]
+            alive[gone] = False
+            after[where] = after[gone]
+            inner = after[where] < n
+            before[after[where[inner]]] = where[inner]
+            put(np.unique(np.r_[where[inner], before[where][before[where] >= 0]]))
+        return int(alive[:n].sum())
+
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Surviving symbols of each word."""
+        if long := [k for k, w in enumerate(words) if len(w) > LONG]:
+            out = np.zeros(len(words), dtype=np.int64)
+            out[long] = [self.long_count(words[k]) for k in long]
+            short = np.setdiff1d(np.arange(len(words)), long)
+            out[short] = self.counts([words[k] for k in short.tolist()])
+            return out
         out = np.zeros(len(words), dtype=np.int64)
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         symbols = self.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
