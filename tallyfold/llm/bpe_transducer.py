@@ -83,6 +83,16 @@ class Moves:
             open_, slot = open_[more], slot[more] + 1 & mask
         return out
 
+    def one(self, key: int) -> int:
+        """As find, for one key."""
+        x, mask = key * 0x9E3779B1, len(self.keys) - 1
+        slot = ((x ^ x >> 29) & 0x7FFFFFFF) * 0x85EBCA6B >> 20 & mask
+        while (there := int(self.keys[slot])) >= 0:
+            if there == key:
+                return int(self.values[slot])
+            slot = slot + 1 & mask
+        return -1
+
     def put(self, key: int, value: int) -> None:
         if 2 * self.n >= len(self.keys):
             used = np.flatnonzero(self.keys >= 0)
@@ -111,6 +121,7 @@ class Transducer:
         self.starts = {t[:k] for t in ranks for k in range(1, len(t))}  # proper beginnings of tokens
         self.ordered = sorted(ranks)
         self.open: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.spines: dict[tuple[bytes, bool], tuple | None] = {}
         self.forget()
 
@@ -171,6 +182,14 @@ class Transducer:
         stand if no two that meet would merge with each other before one of them is replaced.
         Where ranks are equal, the place further left comes first.
         """
+        found = self.pairs.get((a, b))
+        if found is None:
+            if len(self.pairs) > REMEMBERED_PAIRS:
+                self.pairs.clear()
+            found = self.pairs[a, b] = self._stand(a, b)
+        return found
+
+    def _stand(self, a: bytes, b: bytes) -> bool:
         left, right = self.spine(a, True), self.spine(b, False)
         if left is None or right is None:
             return self.merged(a + b) == [a, b]
@@ -270,9 +289,15 @@ class Transducer:
         """Ids of one pre-token."""
         state, out = 0, []
         for byte in data:
-            key = state << 8 | byte
-            value = int(self.moves.find(np.array([key]))[0])
-            value = self.step(state, byte) if value < 0 else value
+            value = self.moves.one(state << 8 | byte)
+            if value < 0:
+                if self.moves.n > REMEMBERED_MOVES:  # what is known goes, the state stays
+                    here = self.states[state]
+                    self.forget()
+                    state = self.numbers.setdefault(here, len(self.states))
+                    if state == len(self.states):
+                        self.states.append(here)
+                value = self.step(state, byte)
             out += self.outs[value >> 32]
             state = value & 0xFFFFFFFF
         return out + list(self.outs[self.tail(state)])
