@@ -167,9 +167,16 @@ def with_language(
     only) is ``und`` with posterior 1.  A null declared language or host gives no evidence; a
     declared language that the model doesn't know counts as one further kind.  Equal rows get
     equal results.  An empty table gives an empty result.  Columns with the three new names
-    are replaced.
+    are replaced; others stay, whatever their names.
     """
     df = df.drop("language", "posterior", "accepted")
+    safe = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    out = _with_language(df.toDF(*safe.values()), model, safe[text], safe[declared], safe[host], keep_text)
+    return out.select(*[F.col(s).alias(c) for c, s in safe.items() if keep_text or c != text], "language", "posterior", "accepted")
+
+
+def _with_language(df: DataFrame, model: TextModel, text: str, declared: str, host: str, keep_text: bool) -> DataFrame:
+    """The same for columns whose names no step uses."""
     spark = df.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -405,7 +405,14 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
 
 def keep_one_of_each_class(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` less all but one of each class: that with the smallest key stays (of equal keys the
-    smallest text's; of repeated rows one).  Rows without a word all stay.  Columns stay as they are."""
+    smallest text's; of repeated rows one).  Rows without a word all stay.  Columns stay as they are, whatever their names."""
+    safe = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    kept = _keep_one(docs.toDF(*safe.values()), safe[key], safe[text], similarity)
+    return kept.select(*[F.col(s).alias(c) for c, s in safe.items()])
+
+
+def _keep_one(docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """The same for columns whose names no step uses."""
     _, labels = _labelled(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), similarity)
     body = F.col(text).cast("string")
     own = docs.withColumn("__node", F.unhex(F.md5(body)))
