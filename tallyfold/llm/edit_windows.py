@@ -34,8 +34,9 @@ EDITS, SHORTEST = 0.2, 5
 EMBEDDINGS, SAMPLINGS, SAMPLE = 8, 16, 5
 #: Words of an item that a window must hold before it is walked over.
 NEED = 5
-#: Words of benchmark text that are broadcast at once; larger benchmarks are searched block by block.
-BLOCK_WORDS = 2_000_000
+#: Words and items of the benchmark that are broadcast at once (an item has 128 keys of 16 bytes); larger benchmarks are
+#: searched block by block.
+BLOCK_WORDS, BLOCK_ITEMS = 2_000_000, 20_000
 VOCABULARY_BITS = 20
 
 _rng = np.random.default_rng(5)
@@ -195,8 +196,8 @@ class Items:
 
 def _blocks(items: DataFrame, key: str, text: str) -> Iterator[tuple[Items, bool]]:
     """The benchmark block by block, and whether a block is the last."""
-    words = items.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    n = max(1, -(-words // (4 * BLOCK_WORDS)))
+    size = items.agg(F.sum(F.octet_length(text)).alias("n"), F.count("*").alias("items")).first()
+    n = max(1, -(-(size["n"] or 0) // (4 * BLOCK_WORDS)), -(-size["items"] // BLOCK_ITEMS))
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64(key, text), F.lit(n)) == k).select(key, text).toArrow().sort_by(key)
         yield Items(rows.column(0).to_pylist(), [x or "" for x in rows.column(1).to_pylist()]), k == n - 1
@@ -211,7 +212,7 @@ def found_items(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     to that much shorter than an item can hold it too.  Null, empty and blank texts hold
     nothing; items without words are passed over; items repeated under several ids are each
     reported.  Every row gives one row, equal rows equal ones.  A column named as ``into`` is
-    replaced.  The benchmark is read block by block: a block is bounded (BLOCK_WORDS), each
+    replaced.  The benchmark is read block by block: a block is bounded (BLOCK_WORDS, BLOCK_ITEMS), each
     block is one pass over the documents, and of several, each pass is written before the
     next block is built.
     """
