@@ -36,15 +36,14 @@ def remembers(name: str, forget: Callable[[], None]) -> None:
 
 def claim(name: str) -> None:
     """Called when a task begins.  Spark uses Python workers again for later stages: what other operators keep in
-    this one is dropped, so that memory does not add up over a pipeline."""
+    this one is dropped, and what earlier tasks freed goes back, so that memory does not add up over stages and runs."""
     global _owner
-    if _owner == name:
-        return
-    _owner = name
-    for owner, forget in list(_memories.items()):
-        if owner != name:
-            forget()
-    gc.collect()
+    if _owner != name:
+        _owner = name
+        for owner, forget in list(_memories.items()):
+            if owner != name:
+                forget()
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:  # what is free goes back to the system, which else counts it as this worker's
         ctypes.CDLL(None).malloc_trim(0)
