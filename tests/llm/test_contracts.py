@@ -27,6 +27,7 @@ TYPES = {
     "op7_weighted_near_dup": {"doc_id": "bigint", "class_id": "bigint", "class_size": "bigint"},
     "op8_bpe_transducer": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
     "op9_line_templates": {"doc_id": "bigint", "text": "string", "n_lines": "bigint", "n_dropped": "bigint"},
+    "op13_merge_backtracking": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
     "op10_suffix_repeats": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
 }
 
@@ -56,38 +57,35 @@ def test_columns_and_rows(results, texts, name):
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == sorted(texts)
 
 
-def test_op1_against_slow_fusion(spark, results):
-    """The posterior of each row from its definition: text, declaration, and a host prior without the row itself."""
-    docs, pages = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/pages.parquet")
-    model = language_id.fit_text_model(docs, "text", "lang")
-    rows = [("d", r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
-    rows += [("p", *r) for r in pages.select("page_id", language_id.page_text(F.col("html")), language_id.page_declared(F.col("html")), language_id.page_host(F.col("url"))).collect()]
-    scores, n = model.scores([(r[2] or "").encode() for r in rows])
+def slow_fusion(model, rows):
+    """Language and posterior of rows ``(text, declared, host)`` from the definition: text, declaration, and a host prior without
+    the row itself."""
+    scores, n = model.scores([(text or "").encode() for text, _, _ in rows])
     scores = scores.astype(np.float32).astype(float)
     languages, k = model.languages, len(model.languages)
     vote = [int(s.argmax()) if c and s.argmax() < k else None for s, c in zip(scores, n)]
-    code = [None if r[3] is None else languages.index(r[3].lower()) if r[3].lower() in languages else k for r in rows]
+    code = [None if said is None else languages.index(said.lower()) if said.lower() in languages else k for _, said, _ in rows]
     said, overall = np.full((k, k + 1), language_id.DECLARED_SMOOTH), np.ones(k)
     levels = [{}, {}, {}]
     parts = lambda host: (host.split(".")[-1], ".".join(host.split(".")[-2:]), host)
-    for r, v, c in zip(rows, vote, code):
+    for (_, _, host), v, c in zip(rows, vote, code):
         if v is None:
             continue
         overall[v] += 1
         if c is not None:
             said[v, c] += 1
-        if r[4] is not None:
-            for level, name in zip(levels, parts(r[4])):
+        if host is not None:
+            for level, name in zip(levels, parts(host)):
                 level.setdefault(name, np.zeros(k))[v] += 1
     said = np.log(said / said.sum(axis=1, keepdims=True))
-    want = {}
-    for r, s, v, c, count in zip(rows, scores, vote, code, n):
+    out = []
+    for (_, _, host), s, v, c, count in zip(rows, scores, vote, code, n):
         if not count:
-            want[r[0], r[1]] = ("und", 1.0)
+            out.append(("und", 1.0))
             continue
         log, prior = s.copy(), overall / overall.sum()
-        if r[4] is not None:
-            for level, name in zip(levels, parts(r[4])):
+        if host is not None:
+            for level, name in zip(levels, parts(host)):
                 seen = level.get(name)
                 if seen is not None:
                     own = seen.copy()
@@ -101,7 +99,16 @@ def test_op1_against_slow_fusion(spark, results):
             log[k] -= math.log(k + 1)
         p = np.exp(log - log.max())
         p /= p.sum()
-        want[r[0], r[1]] = ([*languages, "und"][int(p.argmax())], float(p.max()))
+        out.append(([*languages, "und"][int(p.argmax())], float(p.max())))
+    return out
+
+
+def test_op1_against_slow_fusion(spark, results):
+    docs, pages = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/pages.parquet")
+    model = language_id.fit_text_model(docs, "text", "lang")
+    rows = [("d", r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
+    rows += [("p", *r) for r in pages.select("page_id", language_id.page_text(F.col("html")), language_id.page_declared(F.col("html")), language_id.page_host(F.col("url"))).collect()]
+    want = {r[:2]: x for r, x in zip(rows, slow_fusion(model, [r[2:] for r in rows]))}
     got = {("d", r["doc_id"]) if r["doc_id"] is not None else ("p", r["page_id"]): r for r in results("op1_language_id")[1]}
     assert set(got) == set(want)
     for key, (name, p) in want.items():
@@ -109,6 +116,23 @@ def test_op1_against_slow_fusion(spark, results):
         assert got[key]["accepted"] == (name != "und" and p >= language_id.ACCEPTED) or abs(p - language_id.ACCEPTED) < 1e-3
 
 
+def test_stage_language_against_slow_fusion(spark):
+    """The pipeline's first stage keeps what the definition accepts under a model of the rows' own labels."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(90001, None, "en", "src0", 0), (90002, "12 34 !!", "en", None, 8), (90003, "the and of " * 9, None, None, 99)], docs.schema)
+    both = docs.unionByName(odd)
+    rows = both.collect()
+    model = language_id.fit_text_model(both, "text", "lang")
+    told = slow_fusion(model, [(r["text"], r["lang"], r["source"]) for r in rows])
+    assert all(abs(p - language_id.ACCEPTED) > 1e-3 for _, p in told)  # none so close that rounding decides
+    want = sorted(r["doc_id"] for r, (name, p) in zip(rows, told) if name != "und" and p >= language_id.ACCEPTED)
+    kept = corpus_pipeline.language(spark, both, SF)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == want
+    assert not {90001, 90002} & set(want) and len(want) > 0.8 * len(rows)
+
+
 def test_op1_declarations_and_hosts_only_help(spark):
     """Held-out accuracy on short texts, with and without what was declared: labels of the rows that are asked about train nothing."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL")
