@@ -127,7 +127,9 @@ def run_index(listing: DataFrame, index: Index, digest: Callable[[DataFrame], Da
     Ignored names go, failed entries are told and passed over; files are classified against the index; new and
     changed ones are digested, as are unchanged ones that lack a digest asked for (see :func:`read_contents` for
     ``digest``; a row that fails is told and the run goes on).  Contents of photo candidates without an image row are decoded:
-    ``decode(hashes)`` gives image rows for ``content_hash``.  Rows already known are taken from the index, and
+    ``decode(hashes)`` gives image rows for ``content_hash``, with nulls for a photo of no supported kind, which is recorded as such;
+    it may add ``failure``, a text where decoding failed otherwise: nothing is recorded of that image, and its files are told
+    as failed (their contents are recorded).  Rows already known are taken from the index, and
     what was computed replaces or joins its tables; nothing is ever removed from them.  Contents are read and
     decoded once, whatever is then done with the results.
     """
@@ -139,11 +141,17 @@ def run_index(listing: DataFrame, index: Index, digest: Callable[[DataFrame], Da
     merged = merge_digests(read.withColumn("content_hash", F.coalesce("content_hash", "content"))).select(*planned.columns)
     digested = cut(merged.unionByName(planned.where("NOT read")), "digested")
     flagged = computed_flags(digested, index.images)
-    made = cut(decode(images_to_compute(flagged, index.images)).select(*index.images.columns), "decoded")
-    images = index.images.unionByName(made)
+    made = cut(decode(images_to_compute(flagged, index.images)), "decoded")
+    failed = unlisted.select("path", "error").unionByName(unread.select("path", "error"))
+    if "failure" in made.columns:
+        undecoded = made.where("failure IS NOT NULL").select("content_hash", F.col("failure").alias("__failure"))
+        lost = flagged.where("image_computed").join(undecoded, "content_hash").select("path", F.col("__failure").alias("error"))
+        failed = failed.unionByName(lost)
+        flagged = flagged.join(lost.select("path"), "path", "left_anti")
+        made = made.where("failure IS NULL")
+    images = index.images.unionByName(made.select(*index.images.columns))
     records = attach_images(flagged, images)
     once = F.lit(1)
     files = upsert(index.files, digested.where("status <> 'unchanged'").select(*index.files.columns, once.alias("seq")), ["path"], "seq")
     more = digested.where("read AND store_extra").select(*index.extra.columns).dropDuplicates(["content_hash"]).withColumn("seq", once)
-    failed = unlisted.select("path", "error").unionByName(unread.select("path", "error"))
     return Run(records, Index(files, images, upsert(index.extra, more, ["content_hash"], "seq")), failed)

@@ -61,8 +61,9 @@ def read_index(spark: SparkSession, folder: str) -> Index:
     tables = {}
     for row in laid:
         name, schema = _table_name(folder, row["name"]), SCHEMAS[row["name"]]
+        location = f"{folder}/{row['name']}".replace("\\", "\\\\").replace("'", "\\'")
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (`{row['key']}`) SORTED BY (`{row['key']}`) INTO {row['buckets']} BUCKETS LOCATION '{folder}/{row['name']}'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (`{row['key']}`) SORTED BY (`{row['key']}`) INTO {row['buckets']} BUCKETS LOCATION '{location}'")
         tables[row["name"]] = spark.table(name)
     return Index(**tables)
 

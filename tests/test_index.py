@@ -219,6 +219,29 @@ def test_a_run_over_real_files(spark, tmp_path):
     assert again.records.where("hash_computed OR image_computed OR read").count() == 0 and again.records.count() == len(got)
 
 
+def test_a_photo_that_fails_to_decode(spark):
+    """A photo of no supported kind is recorded as such; one that fails otherwise fails its files, whose contents are recorded."""
+    listing_rows = [(p, k, 5, 5, None) for k, p in enumerate(("/good.jpg", "/odd.jpg", "/broken.jpg", "/copy-of-broken.heic", "/copy-of-broken.txt"))]
+    listed = spark.createDataFrame(listing_rows, inventory.LISTING)
+    nothing = inventory.Index(*[spark.createDataFrame([], s) for s in (inventory.FILES, inventory.IMAGES, inventory.EXTRA)])
+    content = F.when(F.col("path").contains("broken"), "b").when(F.col("path") == "/odd.jpg", "o").otherwise("g")
+
+    def digest(rows):
+        return rows.withColumns({"content": content, "new": F.struct(*[content.alias(d) for d in index.DIGESTS])})
+
+    def decode(hashes):
+        h = F.col("content_hash")
+        size = F.when(h == "g", 7).cast("int")
+        return hashes.select(h, size.alias("width"), size.alias("height"), F.when(h == "g", "r").alias("rothash"), F.when(h == "g", "k").alias("blockhash"), F.when(h == "b", "device lost").alias("failure"))
+
+    run = index.run_index(listed, nothing, digest, decode)
+    assert {r["path"]: r["width"] for r in run.records.collect()} == {"/good.jpg": 7, "/odd.jpg": None, "/copy-of-broken.txt": None}
+    assert {tuple(r) for r in run.failed.collect()} == {("/broken.jpg", "device lost"), ("/copy-of-broken.heic", "device lost")}
+    assert {r["content_hash"]: r["width"] for r in run.index.images.collect()} == {"g": 7, "o": None} and run.index.files.count() == 5
+    again = index.run_index(listed, run.index, digest, decode)
+    assert again.failed.count() == 2 and again.records.where("hash_computed").count() == 0
+
+
 def test_unstable_reads_are_tried_again(spark):
     """As contents that change while they are read: /a holds still at once, /b at the third read, /c never, /d cannot be read."""
     todo = spark.createDataFrame([(p, 1, 1, 1) for p in ("/a", "/b", "/c", "/d")], "path string, inode long, size long, mtime_ns long")
