@@ -44,6 +44,11 @@ def claim(name: str) -> None:
             if owner != name:
                 forget()
         gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give free memory back: where large arrays come and go, a task calls it between them."""
     pa.default_memory_pool().release_unused()
     try:  # what is free goes back to the system, which else counts it as this worker's
         ctypes.CDLL(None).malloc_trim(0)

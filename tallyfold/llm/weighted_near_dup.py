@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, cut, pack, pack_texts, prepare, remembers, slices, unpack, unpack_texts
+from .common import claim, cut, pack, pack_texts, prepare, remembers, slices, trim, unpack, unpack_texts
 from .components import components
 from .shingles import U, distinct_shingles, mix
 
@@ -109,6 +109,7 @@ def document_counts(sliced: DataFrame, size: int) -> DataFrame:
         claim(__name__)
         for batch in batches:
             for number, sizes, texts in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                trim()
                 h, k = np.unique(np.concatenate([part[2] for part in shingle_parts(unpack_texts(sizes, texts))]), return_counts=True)
                 place = (h >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), dtype=np.int64)
                 ranges, first = np.unique(place, return_index=True)
@@ -140,13 +141,14 @@ def _draws() -> tuple[np.ndarray, np.ndarray]:
     level below it, and t."""
     rng = np.random.default_rng(97)
     r, c, b = rng.gamma(2, 1, 1 << 16), rng.gamma(2, 1, 1 << 16), rng.uniform(0, 1, 1 << 16)
-    level = np.arange(LEVELS)[:, None] * STEP
-    t = np.floor(level / r + b)
-    a = (np.log(c) - r * (t - b) - r).astype(np.float32)
-    code = a.view(np.uint32)
-    code = np.where(code >> 31, ~code, code | np.uint32(1 << 31)).astype(np.uint64)
-    low = (np.arange(1 << 16, dtype=np.uint64) << U(16)) | (np.arange(LEVELS, dtype=np.uint64)[:, None] << U(11))
-    return (code << U(32) | low).ravel(), t.astype(np.int64).ravel()
+    codes, steps = np.empty((LEVELS, 1 << 16), dtype=np.uint64), np.empty((LEVELS, 1 << 16), dtype=np.int64)
+    draw = np.arange(1 << 16, dtype=np.uint64) << U(16)
+    for k in range(LEVELS):  # one after the other, which holds little besides the result
+        t = np.floor(k * STEP / r + b)
+        code = (np.log(c) - r * (t - b) - r).astype(np.float32).view(np.uint32)
+        code = np.where(code >> 31, ~code, code | np.uint32(1 << 31)).astype(np.uint64)
+        codes[k], steps[k] = code << U(32) | draw | U(k << 11), t
+    return codes.ravel(), steps.ravel()
 
 
 remembers(__name__, lambda: _draws.cache_clear())
@@ -192,6 +194,7 @@ def signed_vectors(own: DataFrame, n: int, size: int) -> DataFrame:
         claim(__name__)
         for batch in batches:
             for nodes, sizes, texts, found in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+                trim()
                 texts = unpack_texts(sizes, texts)
                 nodes = [nodes[k : k + 16] for k in range(0, len(nodes), 16)]
                 counts_of = np.concatenate([unpack(x["df"], "<u4") for x in found] or [np.empty(0, "<u4")])
