@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, cut, prepare, slices
+from .common import claim, cut, given_back, prepare, slices
 
 CELLS_BITS = 16
 #: Labelled rows that the text model is fitted on, about, as many for each language if it has them; most languages, by
@@ -192,7 +192,7 @@ def _with_language(df: DataFrame, model: TextModel, text: str, declared: str, ho
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, scores.size + 1, scores.shape[1]), pa.int32()), pa.array(np.where((n > 0)[:, None], scores, np.nan).ravel().astype(np.float32)))
             yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(a, b - a) for k in kept], flat, pa.array(vote, pa.int32())], names=schema.names)
 
-    scored = df.mapInArrow(scored_batches, schema)
+    scored = df.mapInArrow(given_back(scored_batches), schema)
     if not keep_text:
         scored = cut(scored, "language-scores")
     # Declarations: 0..n-1 for the model's languages, n for another; counts by vote over all rows.
@@ -262,7 +262,7 @@ def _with_language(df: DataFrame, model: TextModel, text: str, declared: str, ho
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([languages[k] for k in best], pa.string()), pa.array(sure)], names=out_schema.names)
 
     model_languages = list(model.languages)
-    out = joined.select(*names, *extra).mapInArrow(fused, out_schema)
+    out = joined.select(*names, *extra).mapInArrow(given_back(fused), out_schema)
     return out.withColumn("accepted", (F.col("language") != UND) & (F.col("posterior") >= ACCEPTED))
 
 
