@@ -5,7 +5,9 @@ import hashlib
 import os
 import re
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyfold import queries
 from tallyfold.functions import digests, predicates
@@ -78,6 +80,31 @@ def test_index_stream_over_ten_batches_and_a_replay(spark, tmp_path):
     assert run() == first  # nothing new
 
 
+def test_one_hand_over_serves_many_keys(spark):
+    """A bucket's keys come in one call, each with its own state; of a key's rows in a batch the last in order counts."""
+    asked = []
+
+    class Held(dict):
+        getValue, updateValue = dict.get, dict.__setitem__
+
+    class Handle:
+        def getMapState(self, name, keys, fields):
+            assert (name, keys.names, fields.names) == ("row", ["path"], ["seq"])
+            return Held({("/b",): (7,)})
+
+    def decide(old, row):
+        asked.append((row["path"], old))
+        return None if old == (row["seq"],) else (row["seq"],)
+
+    kept = index_stream.KeyedRows(T.StructType().add("path", "string"), T.StructType().add("seq", "long"), decide, lambda row: row["seq"])
+    kept.init(Handle())
+    kept.handleInitialState((3,), Row(path="/c", seq=1), None)
+    rows = [Row(path=p, seq=n) for p, n in (("/a", 2), ("/b", 7), ("/a", 5), ("/a", 4), ("/c", 2), (None, 1))]
+    assert [tuple(r) for r in kept.handleInputRows((3,), iter(rows), None)] == [("/a", 5), ("/c", 2), (None, 1)]
+    assert asked == [("/a", None), ("/b", (7,)), ("/c", (1,)), (None, None)]
+    assert kept.rows == {("/a",): (5,), ("/b",): (7,), ("/c",): (2,), (None,): (1,)}
+
+
 def test_latest_of_a_stream(spark, tmp_path):
     rows = [("a", 1, 1.0), ("a", 3, 3.0), ("a", 2, 2.0), ("b", None, 7.0), (None, 5, 5.0)]
     schema = "path string, seq long, value double"
