@@ -15,6 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tallyfold.llm.common import cut
 from tallyfold.llm import (
     bpe_transducer, components, context_mixing, edit_windows, induced_sort, isolation_rules, language_id, line_templates, pretokens, range_shards, shingles,
     suffix_repeats, token_counts, weighted_near_dup,
@@ -141,6 +142,33 @@ def test_all_training_rows_teach_contexts(spark):
     assert all(r["bits_per_byte"] < 0.5 for r in context_mixing.language_model_scores(df).collect())
 
 
+def test_all_training_rows_teach_the_mixer_online(spark, monkeypatch):
+    """Each training row is mixed once, against counts of other rows; a slice starts from what the slice before it ended with."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{min(rng.randrange(1, 60), rng.randrange(1, 60))}" for _ in range(rng.randrange(1, 40)))) for i in range(240)]
+    fit, taught, starts = context_mixing.fit_mixer, [], []
+
+    def watched(given, codes, table, layout, marks, mixer):
+        one = cut(given.coalesce(1), "one")
+        got = fit(one, codes, table, layout, marks, mixer)
+        starts.append((mixer, got))
+        for r in one.collect():
+            taught.extend(r["keys"])
+            found, learned = [{"range": x["range"], "data": bytes(x["data"])} for x in r["found"]], []
+            t = context_mixing.Tokens(context_mixing.unpack_texts(r["sizes"], r["texts"]))
+            known = context_mixing.told(t, r["held"], found, layout, context_mixing.known_counts(t, found), marks)
+            context_mixing.mixed(context_mixing.Events(codes.value, t, known), table.value, mixer, learned)
+            mixer = context_mixing.Mixer.of(sum(x for x, _ in learned) / sum(n for _, n in learned))
+        assert np.allclose(got.weights, mixer.weights, atol=1e-4) and np.allclose(got.refine, mixer.refine, atol=1e-4)
+        return got
+
+    monkeypatch.setattr(context_mixing, "fit_mixer", watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert context_mixing.language_model_scores(df).where("score < 0").count() == len(rows)
+    assert sorted(taught) == [k for k, _ in rows if not is_held(k)]
+    assert starts[1][0] is starts[0][1] and not np.allclose(starts[0][0].weights, starts[1][1].weights)
+
+
 def small_codes():
     h = context_mixing.Tokens([b"the of and a"]).h
     vocabulary = context_mixing.Vocabulary(h, np.array([50, 20, 9, 4, 3]))
