@@ -181,25 +181,30 @@ def _with_language(df: DataFrame, model: TextModel, text: str, declared: str, ho
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
     names = [c for c in df.columns if keep_text or c != text]
-    place, n_lang = df.columns.index(text), len(model.languages)
-    kept = [df.columns.index(c) for c in names]
-    schema = T.StructType([*[df.schema[c] for c in names], *_vote(model)])
+    n_lang = len(model.languages)
 
-    def scored_batches(batches):
+    def scored_batches(batches, place: int, kept: list[int]):
+        """The columns ``kept`` (their places), scores and vote of the rows, whose texts are in column ``place``."""
         for batch, a, b, texts in _groups(batches, place):
             scores, n = shared.value.scores(texts)
             vote = np.where((n > 0) & (scores.argmax(axis=1) < n_lang), scores.argmax(axis=1), -1)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, scores.size + 1, scores.shape[1]), pa.int32()), pa.array(np.where((n > 0)[:, None], scores, np.nan).ravel().astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(a, b - a) for k in kept], flat, pa.array(vote, pa.int32())], names=schema.names)
+            own = [batch.schema.names[k] for k in kept]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(a, b - a) for k in kept], flat, pa.array(vote, pa.int32())], names=[*own, *[f.name for f in _vote(model)]])
+
+    def scored(columns: list[str]) -> DataFrame:
+        run = given_back(lambda batches: scored_batches(batches, 0, list(range(1, 1 + len(columns)))))
+        return df.select(text, *columns).mapInArrow(run, T.StructType([*[df.schema[c] for c in columns], *_vote(model)]))
 
-    scored = df.mapInArrow(given_back(scored_batches), schema)
-    if not keep_text:
-        scored = cut(scored, "language-scores")
     # Declarations: 0..n-1 for the model's languages, n for another; counts by vote over all rows.
     known = F.array_position(F.array(*map(F.lit, model.languages)), F.lower(F.col(declared))) if n_lang else F.lit(0)
     code = F.when(F.col(declared).isNull(), None).when(known > 0, known - 1).otherwise(n_lang).cast("int")
-    scored = scored.withColumns({"__declared": code, "__host": F.col(host).cast("string")})
-    votes = scored.where("__vote >= 0").groupBy("__host", "__declared", "__vote").agg(F.count("*").alias("n"))
+    coded = {"__declared": code, "__host": F.col(host).cast("string")}
+    if keep_text:  # texts are scored again where evidence is fused: no table of them is written, and no two Python steps follow each other
+        rows, first = df.withColumns(coded), scored(list(dict.fromkeys([declared, host]))).withColumns(coded)
+    else:
+        rows = first = cut(scored(names), "language-scores").withColumns(coded)
+    votes = first.where("__vote >= 0").groupBy("__host", "__declared", "__vote").agg(F.count("*").alias("n"))
     votes = cut(votes, "language-votes")
     said = np.full((n_lang, n_lang + 1), DECLARED_SMOOTH)
     for r in votes.where("__declared IS NOT NULL").groupBy("__declared", "__vote").agg(F.sum("n").alias("n")).collect():  # languages squared
@@ -218,23 +223,24 @@ def _with_language(df: DataFrame, model: TextModel, text: str, declared: str, ho
         hosts = counts(["__host", "__domain", "__suffix"], "__h").join(counts(["__domain"], "__d"), "__domain").join(counts(["__suffix"], "__s"), "__suffix")
         hosts = cut(hosts.select("__host", "__h", "__d", "__s"), "hosts")
         if hosts.count() <= BROADCAST_ROWS:
-            joined = scored.join(F.broadcast(hosts), "__host", "left")
+            joined = rows.join(F.broadcast(hosts), "__host", "left")
         else:  # a host with very many rows is spread over SALTS keys
             salted = hosts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            joined = scored.withColumn("__salt", F.floor(F.rand(1) * SALTS).cast("int")).join(salted, ["__host", "__salt"], "left")
+            joined = rows.withColumn("__salt", F.floor(F.rand(1) * SALTS).cast("int")).join(salted, ["__host", "__salt"], "left")
     else:
-        joined = scored.withColumns({c: F.lit(None).cast("array<long>") for c in ("__h", "__d", "__s")})
+        joined = rows.withColumns({c: F.lit(None).cast("array<long>") for c in ("__h", "__d", "__s")})
 
     evidence = spark.sparkContext.broadcast((np.log(said / said.sum(axis=1, keepdims=True)), overall / overall.sum()))
     out_schema = T.StructType([*[df.schema[c] for c in names], T.StructField("language", T.StringType()), T.StructField("posterior", T.DoubleType())])
-    extra = ["__scores", "__vote", "__declared", "__h", "__d", "__s"]
+    known_of, found = ["__declared", "__h", "__d", "__s"], [f.name for f in _vote(model)]
+    extra = [*known_of, *found]
 
     def fused(batches):
         log_said, base = evidence.value
         languages = [*model_languages, UND]
         for batch in batches:
             rows = batch.num_rows
-            scores, vote, said_code, *counts = [batch.column(len(names) + k) for k in range(len(extra))]
+            said_code, *counts, scores, vote = [batch.column(len(names) + k) for k in range(len(extra))]
             log = np.array(scores.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(rows, n_lang + 1)
             silent = np.isnan(log[:, 0])
             vote = vote.to_numpy(zero_copy_only=False)
@@ -262,7 +268,12 @@ def _with_language(df: DataFrame, model: TextModel, text: str, declared: str, ho
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([languages[k] for k in best], pa.string()), pa.array(sure)], names=out_schema.names)
 
     model_languages = list(model.languages)
-    out = joined.select(*names, *extra).mapInArrow(given_back(fused), out_schema)
+    if keep_text:
+        taken = [*names, *known_of]
+        run = given_back(lambda batches: fused(scored_batches(batches, names.index(text), list(range(len(taken))))))
+        out = joined.select(*taken).mapInArrow(run, out_schema)
+    else:
+        out = joined.select(*names, *extra).mapInArrow(given_back(fused), out_schema)
     return out.withColumn("accepted", (F.col("language") != UND) & (F.col("posterior") >= ACCEPTED))
 
 

@@ -141,7 +141,7 @@ def _draws() -> tuple[np.ndarray, np.ndarray]:
     level below it, and t."""
     rng = np.random.default_rng(97)
     r, c, b = rng.gamma(2, 1, 1 << 16), rng.gamma(2, 1, 1 << 16), rng.uniform(0, 1, 1 << 16)
-    codes, steps = np.empty((LEVELS, 1 << 16), dtype=np.uint64), np.empty((LEVELS, 1 << 16), dtype=np.int64)
+    codes, steps = np.empty((LEVELS, 1 << 16), dtype=np.uint64), np.empty((LEVELS, 1 << 16), dtype=np.int32)
     draw = np.arange(1 << 16, dtype=np.uint64) << U(16)
     for k in range(LEVELS):  # one after the other, which holds little besides the result
         t = np.floor(k * STEP / r + b)
@@ -170,7 +170,7 @@ def samples(h: np.ndarray, weights: np.ndarray, counts: np.ndarray, n: int) -> n
         keys = table[level | (h * factor >> U(48))] | own
         best = np.minimum.reduceat(keys, starts) & U(0xFFFFFFFF)
         draw, at = best >> U(16), (best >> U(11)) & U(LEVELS - 1)
-        step = t[(at << U(16) | draw).astype(np.int64)].astype(np.uint64)
+        step = t[(at << U(16) | draw).astype(np.int64)].astype(np.int64).view(np.uint64)
         out[d] = mix((draw << U(11) | (best & U(0x7FF))) + (step << U(32)) + U(d * 0x9E3779B97F4A7C15 % (1 << 64)))
     return out.T
 

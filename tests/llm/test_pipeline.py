@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyfold.llm import bpe_transducer, line_templates
+from tallyfold.llm import bpe_transducer, language_id, line_templates, shingles, weighted_near_dup
 
 from test_operators import brute_classes, brute_edits
 
@@ -81,6 +81,21 @@ def brute_lines(rows):
     return out
 
 
+def test_language_has_one_python_step(spark, made):
+    """Two Python steps in a row take two workers a core, which later stages keep; one pass gives what two gave."""
+    docs = spark.read.parquet(f"{made}/documents.parquet")
+    kept = corpus_pipeline.language(spark, docs, made)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    apart = language_id.identified(docs, keep_text=False).select("doc_id", "language", "posterior", "accepted")
+    once = language_id.identified(docs).select("doc_id", "language", "posterior", "accepted")
+    assert Counter(map(tuple, apart.collect())) == Counter(map(tuple, once.collect()))
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in apart.where("accepted").collect())
+
+
+def test_tables_that_near_duplicates_hold_are_small():
+    assert shingles.PIECE * 16 <= 4 << 20 and sum(x.nbytes for x in weighted_near_dup._draws()) <= 25.5e6
+
+
 def test_lines_against_brute_force(spark, made):
     docs = spark.read.parquet(f"{made}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
