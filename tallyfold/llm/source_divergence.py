@@ -6,7 +6,11 @@ all languages and document frequencies are those within a language.  The vocabul
 driver: terms are dealt by hash into as many pieces as are needed for PIECE_TERMS each, fitted one
 after the other; their number comes from a count of kept terms in a 64th of the hashes, over all rows.
 
-Vectors are summed by (language, source) in sparse form within tasks, then by Spark.  Pairs of sources are
+It is fitted on the different terms of each document.  For the sums, the terms of a task's documents are
+gathered by (language, source) before they become vectors: a term that occurs n times there is in a bag for each
+binary digit of n that is one, and a bag's vector counts for that power of two.  So a vector has few entries
+however often a term is said.  The vectors are summed by (language, source) in sparse form within tasks; the sums are
+packed by blocks of the vocabulary, and each block's are added by one task, one after the other.  Pairs of sources are
 compared in tiles: a block of sources against a block of sources on a block of terms, so that a task holds
 two blocks of sources at most, however many there are.
 """
@@ -14,6 +18,7 @@ two blocks of sources at most, however many there are.
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +27,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, cut, prepare
+from .common import claim, cut, pack, prepare, unpack
 
 #: What each UTF-8 byte is in a term, 0 for bytes of no term: letters (A to Z lower-cased) and all beyond ASCII.
 IN_TERM = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 0 for b in range(256)], dtype=np.uint8)
@@ -33,8 +38,8 @@ PIECE_TERMS = 1_000_000
 SAMPLED = 64
 #: Sources and terms of a tile's side (about so many: they are dealt by hash).
 BLOCK_SOURCES, BLOCK_TERMS = 128, 4096
-#: Sums of (group, term) that a task holds before it hands them on.
-HELD = 1_000_000
+#: Sums of (group, term) that a task holds before it hands them on, and terms of a block of sums, as a power of two.
+HELD, BLOCK_BITS = 1_000_000, 14
 
 
 def led_terms(langs: list[str], texts: pa.Array) -> pa.ListArray:
@@ -66,11 +71,71 @@ def led_terms(langs: list[str], texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_text)].astype(np.int32)), words)
 
 
-def _rows_of_terms(batches):
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in ascending order, and how often each occurs."""
+    keys = np.sort(keys)
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(new)
+    return keys[first], np.diff(np.r_[first, len(keys)])
+
+
+def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """A list for each of n owners, in whose order the values lie."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), values)
+
+
+_LOW = 0xFFFFFFFF
+_TERM_ROWS = "lang string, source string, terms array<string>, some array<string>, bag array<string>, power int"
+
+
+def _rows_of_terms(batches, sampled: int):
+    """A row for each document: its different ``terms``, and ``some`` of them, one in ``sampled`` by hash.  Then rows for groups
+    of documents, in which a ``bag`` has terms that are to count 2^power times."""
     claim(__name__)
+    names = ["lang", "source", "terms", "some", "bag", "power"]
+    none = lambda n: pa.nulls(n, pa.list_(pa.string()))
+    groups: dict[tuple, int] = {}
+    waiting: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+
+    def bags():
+        coded = pa.concat_arrays([w for _, w, _ in waiting]).dictionary_encode()
+        keys = np.concatenate([g for g, _, _ in waiting]) << 32 | coded.indices.to_numpy().astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        once, _ = _counted(keys)
+        n = np.add.reduceat(np.concatenate([n for _, _, n in waiting])[order], np.searchsorted(keys[order], once)) if len(once) else np.zeros(0, np.int64)
+        lang, source = (pa.array([x[k] for x in groups], pa.string()) for k in (0, 1))
+        for power in range(int(n.max(initial=0)).bit_length()):
+            here = once[(n >> power & 1) == 1]
+            of, _ = _counted(here >> 32)
+            lists = _lists(np.searchsorted(of, here >> 32), len(of), coded.dictionary.take(pa.array(here & _LOW)))
+            yield pa.RecordBatch.from_arrays([lang.take(pa.array(of)), source.take(pa.array(of)), none(len(of)), none(len(of)), lists, pa.array([power] * len(of), pa.int32())], names=names)
+        waiting.clear()
+        groups.clear()
+
     for batch in batches:
         lang, source, text = batch.columns
-        yield pa.RecordBatch.from_arrays([lang, source, led_terms(lang.to_pylist(), text)], names=["lang", "source", "terms"])
+        listed = led_terms(lang.to_pylist(), text)
+        coded, rows = listed.values.dictionary_encode(), len(text)
+        code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        of = np.repeat(np.arange(rows), np.diff(listed.offsets.to_numpy()))
+        each, _ = _counted(of << 32 | code)
+        own, mine = each >> 32, each & _LOW
+        drawn = np.array([crc32(x.encode()) % sampled == 0 for x in words.to_pylist()], dtype=bool)[mine]
+        yield pa.RecordBatch.from_arrays([lang, source, _lists(own, rows, words.take(pa.array(mine))), _lists(own[drawn], rows, words.take(pa.array(mine[drawn]))), none(rows), pa.nulls(rows, pa.int32())], names=names)
+        group = np.array([groups.setdefault(x, len(groups)) for x in zip(lang.to_pylist(), source.to_pylist())], dtype=np.int64)
+        each, n = _counted(group[of] << 32 | code)
+        waiting.append((each >> 32, words.take(pa.array(each & _LOW)), n))
+        if sum(len(n) for _, _, n in waiting) > HELD:
+            yield from bags()
+    if waiting:
+        yield from bags()
+
+
+def term_rows(docs: DataFrame) -> DataFrame:
+    """Of ``lang, source, text``: rows of documents and rows of bags, see :func:`_rows_of_terms`."""
+    sampled = SAMPLED
+    return docs.select("lang", "source", "text").mapInArrow(lambda batches: _rows_of_terms(batches, sampled), _TERM_ROWS)
 
 
 def _bucket(value: Column, n: Column | int) -> Column:
@@ -81,8 +146,8 @@ def _dealt_to(piece: int, pieces: int) -> Callable[[Column], Column]:
     return lambda term: _bucket(term, pieces) == piece
 
 
-def _sums(batches, count):
-    """Sparse sums of vectors by language and source, of bounded size; for mapInArrow."""
+def _sums(batches):
+    """Sparse sums of vectors by language and source, packed by blocks of the vocabulary, of bounded size; for mapInArrow."""
     claim(__name__)
     codes: dict[tuple, int] = {}
     keys, values = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -95,19 +160,25 @@ def _sums(batches, count):
         return once, added
 
     def rows():
-        names = list(codes)
-        of = keys >> 32
-        columns = [pa.array([n[k] for n in names], pa.string()).take(pa.array(of)) for k in (0, 1)]
-        for a in range(0, len(keys), count):
-            part = slice(a, a + count)
-            yield pa.RecordBatch.from_arrays([*[c[part] for c in columns], pa.array((keys[part] & 0xFFFFFFFF).astype(np.int64)), pa.array(values[part])], names=["lang", "source", "index", "n"])
+        names, (blocks, sizes) = list(codes), _counted(keys >> BLOCK_BITS)
+        ends = np.cumsum(sizes)
+        for a in range(0, len(blocks), 1000):
+            some = blocks[a : a + 1000]
+            of = (some >> 32 - BLOCK_BITS).tolist()
+            parts = [slice(e - k, e) for e, k in zip(ends[a : a + 1000].tolist(), sizes[a : a + 1000].tolist())]
+            places = [pack(np.diff(keys[p] & (1 << BLOCK_BITS) - 1, prepend=0).astype("<u4")) for p in parts]
+            yield pa.RecordBatch.from_arrays([
+                *[pa.array([names[g][k] for g in of], pa.string()) for k in (0, 1)], pa.array(some & (1 << 32 - BLOCK_BITS) - 1),
+                pa.array(places, pa.binary()), pa.array([pack(values[p]) for p in parts], pa.binary()),
+            ], names=["lang", "source", "block", "places", "n"])
 
     for batch in batches:
-        lang, source, vectors = batch.columns
+        lang, source, power, vectors = batch.columns
         index, number = vectors.field("indices"), vectors.field("values")
         lengths = np.diff(index.offsets.to_numpy())
         group = np.array([codes.setdefault(x, len(codes)) for x in zip(lang.to_pylist(), source.to_pylist())], dtype=np.int64)
-        waiting.append((np.repeat(group << 32, lengths) | index.flatten().to_numpy().astype(np.int64), number.flatten().to_numpy().astype(np.int64)))
+        times = number.flatten().to_numpy().astype(np.int64) << np.repeat(power.to_numpy().astype(np.int64), lengths)
+        waiting.append((np.repeat(group << 32, lengths) | index.flatten().to_numpy().astype(np.int64), times))
         if sum(len(k) for k, _ in waiting) > HELD:
             keys, values = merged()
             waiting.clear()
@@ -120,6 +191,30 @@ def _sums(batches, count):
     yield from rows()
 
 
+def _added(batches, first: int):
+    """Sums ``lang, source, id, n`` of packed ones that come block by block; one block is held at a time.  Ids count from ``first``."""
+    claim(__name__)
+    now, total = None, np.zeros(1 << BLOCK_BITS, dtype=np.int64)
+
+    def out():
+        some = np.flatnonzero(total)
+        lang, source, block = now
+        return pa.RecordBatch.from_arrays([
+            *[pa.repeat(pa.scalar(x, pa.string()), len(some)) for x in (lang, source)], pa.array(some + first + (block << BLOCK_BITS)), pa.array(total[some]),
+        ], names=["lang", "source", "id", "n"])
+
+    for batch in batches:
+        for *key, places, n in zip(*[c.to_pylist() for c in batch.columns]):
+            if key != now:
+                if now:
+                    yield out()
+                now = key
+                total[:] = 0
+            total[np.cumsum(unpack(places, "<u4"), dtype=np.int64)] += unpack(n, np.int64)
+    if now:
+        yield out()
+
+
 def _tile(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Summed differences of all pairs of sources of a tile, less what they would be if no term here occurred."""
     sid, block, term, p = (table[c].to_numpy() for c in ("sid", "block", "id", "p"))
@@ -141,19 +236,19 @@ def _tile(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def vocabulary_and_sums(rows: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows ``lang, source, terms`` (terms led by language and a zero): the kept terms ``id, lang, term`` and their
+    """Of :func:`term_rows` (terms led by language and a zero): the kept terms ``id, lang, term`` and their
     occurrences ``lang, source, id, n`` in each group."""
     spark = rows.sparkSession
-    some = F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(SAMPLED)) == 0)
-    kept = rows.select(F.explode(F.array_distinct(some)).alias("t")).groupBy("t").count().where(F.col("count") >= min_df).count()
+    kept = rows.select(F.explode("some").alias("t")).groupBy("t").count().where(F.col("count") >= min_df).count()
     pieces = 1 + kept * SAMPLED // PIECE_TERMS
     count_vectors = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=LARGEST_VOCABULARY)
     words = spark.createDataFrame([], "id long, lang string, term string")
     sums = spark.createDataFrame([], "lang string, source string, id long, n long")
+    bags = rows.where("bag IS NOT NULL").select("lang", "source", "power", F.col("bag").alias("terms"))
     for piece in range(pieces):
-        here = rows if pieces == 1 else rows.withColumn("terms", F.filter("terms", _dealt_to(piece, pieces)))
+        each, bagged = (x if pieces == 1 else x.withColumn("terms", F.filter("terms", _dealt_to(piece, pieces))) for x in (rows.where("terms IS NOT NULL").select("terms"), bags))
         try:
-            model = count_vectors.fit(here)
+            model = count_vectors.fit(each)
         except IllegalArgumentException as e:
             if "vocabulary size should be > 0" not in str(e):
                 raise
@@ -162,10 +257,10 @@ def vocabulary_and_sums(rows: DataFrame, min_df: int) -> tuple[DataFrame, DataFr
         names = spark.createDataFrame(pa.table({"id": pa.array(range(first, first + len(model.vocabulary)), pa.int64()), "both": pa.array(model.vocabulary)}))
         term = F.substring_index("both", "\0", -1)
         words = words.unionByName(cut(names.select("id", F.substring("both", F.lit(1), F.length("both") - F.length(term) - 1).alias("lang"), term.alias("term")), "vocabulary"))
-        vectors = model.transform(here).select("lang", "source", "vector")
-        part = vectors.mapInArrow(lambda b: _sums(b, 50_000), "lang string, source string, index long, n long")
-        summed = part.groupBy("lang", "source", "index").agg(F.sum("n").alias("n"))
-        sums = sums.unionByName(cut(summed.select("lang", "source", (F.col("index") + first).alias("id"), "n"), "sums"))
+        vectors = model.transform(bagged).select("lang", "source", "power", "vector")
+        part = vectors.mapInArrow(_sums, "lang string, source string, block long, places binary, n binary")
+        by_block = part.repartition("lang", "source", "block").sortWithinPartitions("lang", "source", "block")
+        sums = sums.unionByName(cut(by_block.mapInArrow(lambda batches, first=first: _added(batches, first), "lang string, source string, id long, n long"), "sums"))
     return words, sums
 
 
@@ -187,7 +282,7 @@ def source_divergence(docs: DataFrame, lang: str = "lang", source: str = "source
     """
     prepare(docs.sparkSession)
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang, "lang"), (source, "source"), (text, "text"))])
-    rows = cut(plain.mapInArrow(_rows_of_terms, "lang string, source string, terms array<string>"), "terms")
+    rows = cut(term_rows(plain), "terms")
     words, sums = vocabulary_and_sums(rows, min_df)
 
     size = words.groupBy("lang").agg(F.count("*").alias("v"))

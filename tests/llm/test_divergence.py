@@ -78,6 +78,41 @@ def test_in_tiles_and_pieces(small, monkeypatch):
     assert rows_of(source_divergence.source_divergence(small, min_df=1)) == want
 
 
+def test_terms_said_often_are_few_entries(spark):
+    """What becomes vectors follows the different terms of a task's groups, not how often they occur."""
+    docs = spark.createDataFrame([("en", "a", "the cat " * 1000), ("en", "a", "the " * 47), ("en", "b", "cat"), ("de", "a", ""), ("de", "b", "the the")], "lang string, source string, text string").coalesce(1)
+    rows = source_divergence.term_rows(docs).collect()
+    assert sorted(sorted(r["terms"]) for r in rows if r["terms"] is not None) == [[], ["de\0the"], ["en\0cat"], ["en\0cat", "en\0the"], ["en\0the"]]
+    bags = [r for r in rows if r["bag"] is not None]
+    got = Counter()
+    for r in bags:
+        assert len(set(r["bag"])) == len(r["bag"])
+        got.update({(r["lang"], r["source"], t): 1 << r["power"] for t in r["bag"]})
+    assert got == {("en", "a", "en\0the"): 1047, ("en", "a", "en\0cat"): 1000, ("en", "b", "en\0cat"): 1, ("de", "b", "de\0the"): 2}
+    assert sum(len(r["bag"]) for r in bags) == 5 + 6 + 1 + 1
+
+
+def test_sums_in_blocks(small, monkeypatch):
+    """Sums that a task hands on before its end, of many blocks."""
+    schema = "lang string, source string, block long, places binary, n binary"
+    rows = source_divergence.term_rows(small.fillna("").select("lang", "source", "text")).cache()
+    words, sums = source_divergence.vocabulary_and_sums(rows, 1)
+    want = Counter((x or "", y or "", f"{x or ''}\0" + re.sub("[A-Z]", lambda m: m[0].lower(), t)) for x, y, text in ROWS + ROWS[:3] for t in TERM.findall(text or ""))
+    names = {r["id"]: f"{r['lang']}\0{r['term']}" for r in words.collect()}
+    assert {(r["lang"], r["source"], names[r["id"]]): r["n"] for r in sums.collect()} == want
+    monkeypatch.setattr(source_divergence, "BLOCK_BITS", 2)
+    monkeypatch.setattr(source_divergence, "HELD", 3)
+    terms = sorted({t for _, _, t in want})
+    vectors = [(x, y, k, [terms.index(t)]) for (x, y, t), n in want.items() for k in range(12) if n >> k & 1]
+    kind = pa.struct([("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+    batches = [pa.RecordBatch.from_arrays([pa.array([v[0]]), pa.array([v[1]]), pa.array([v[2]], pa.int32()), pa.array([{"indices": v[3], "values": [1.0]}], kind)], names=["lang", "source", "power", "vector"]) for v in vectors]
+    packed = pa.Table.from_batches(list(source_divergence._sums(iter(batches))))
+    assert packed.column_names == [x.split()[0] for x in schema.split(", ")] and len(set(packed["block"].to_pylist())) > 2
+    packed = packed.sort_by([(c, "ascending") for c in ("lang", "source", "block")])
+    out = pa.Table.from_batches(list(source_divergence._added(iter(packed.to_batches(max_chunksize=2)), 100)))
+    assert {(r["lang"], r["source"], terms[r["id"] - 100]): r["n"] for r in out.to_pylist()} == want and len(out) == len(want)
+
+
 def test_nothing_kept_and_nothing_there(small):
     got = rows_of(source_divergence.source_divergence(small, min_df=1000))
     assert got == brute(ROWS, 1000, 50) and {r[4] for r in got} == {0}
