@@ -18,7 +18,6 @@ two blocks of sources at most, however many there are.
 from __future__ import annotations
 
 from collections.abc import Callable
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,8 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, cut, pack, prepare, unpack
+from .common import claim, cut, given_back, pack, prepare, trim, unpack
+from .shingles import _BYTE, U, mix
 
 #: What each UTF-8 byte is in a term, 0 for bytes of no term: letters (A to Z lower-cased) and all beyond ASCII.
 IN_TERM = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 0 for b in range(256)], dtype=np.uint8)
@@ -85,6 +85,15 @@ def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), values)
 
 
+def _drawn(words: pa.StringArray, sampled: int) -> np.ndarray:
+    """Whether each word (none is empty) is one of those drawn, one in ``sampled`` by a hash of its bytes in any order."""
+    if not len(words):
+        return np.zeros(0, dtype=bool)
+    edges = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], dtype=np.uint8)[: edges[-1]]
+    return mix(np.add.reduceat(_BYTE[data], edges[:-1])) % U(sampled) == 0
+
+
 _LOW = 0xFFFFFFFF
 _TERM_ROWS = "lang string, source string, terms array<string>, some array<string>, bag array<string>, power int"
 
@@ -112,6 +121,7 @@ def _rows_of_terms(batches, sampled: int):
             yield pa.RecordBatch.from_arrays([lang.take(pa.array(of)), source.take(pa.array(of)), none(len(of)), none(len(of)), lists, pa.array([power] * len(of), pa.int32())], names=names)
         waiting.clear()
         groups.clear()
+        trim()
 
     for batch in batches:
         lang, source, text = batch.columns
@@ -121,7 +131,7 @@ def _rows_of_terms(batches, sampled: int):
         of = np.repeat(np.arange(rows), np.diff(listed.offsets.to_numpy()))
         each, _ = _counted(of << 32 | code)
         own, mine = each >> 32, each & _LOW
-        drawn = np.array([crc32(x.encode()) % sampled == 0 for x in words.to_pylist()], dtype=bool)[mine]
+        drawn = _drawn(words, sampled)[mine]
         yield pa.RecordBatch.from_arrays([lang, source, _lists(own, rows, words.take(pa.array(mine))), _lists(own[drawn], rows, words.take(pa.array(mine[drawn]))), none(rows), pa.nulls(rows, pa.int32())], names=names)
         group = np.array([groups.setdefault(x, len(groups)) for x in zip(lang.to_pylist(), source.to_pylist())], dtype=np.int64)
         each, n = _counted(group[of] << 32 | code)
@@ -135,7 +145,7 @@ def _rows_of_terms(batches, sampled: int):
 def term_rows(docs: DataFrame) -> DataFrame:
     """Of ``lang, source, text``: rows of documents and rows of bags, see :func:`_rows_of_terms`."""
     sampled = SAMPLED
-    return docs.select("lang", "source", "text").mapInArrow(lambda batches: _rows_of_terms(batches, sampled), _TERM_ROWS)
+    return docs.select("lang", "source", "text").mapInArrow(given_back(lambda batches: _rows_of_terms(batches, sampled)), _TERM_ROWS)
 
 
 def _bucket(value: Column, n: Column | int) -> Column:
@@ -258,7 +268,7 @@ def vocabulary_and_sums(rows: DataFrame, min_df: int) -> tuple[DataFrame, DataFr
         term = F.substring_index("both", "\0", -1)
         words = words.unionByName(cut(names.select("id", F.substring("both", F.lit(1), F.length("both") - F.length(term) - 1).alias("lang"), term.alias("term")), "vocabulary"))
         vectors = model.transform(bagged).select("lang", "source", "power", "vector")
-        part = vectors.mapInArrow(_sums, "lang string, source string, block long, places binary, n binary")
+        part = vectors.mapInArrow(given_back(_sums), "lang string, source string, block long, places binary, n binary")
         by_block = part.repartition("lang", "source", "block").sortWithinPartitions("lang", "source", "block")
         sums = sums.unionByName(cut(by_block.mapInArrow(lambda batches, first=first: _added(batches, first), "lang string, source string, id long, n long"), "sums"))
     return words, sums

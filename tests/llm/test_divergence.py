@@ -92,6 +92,13 @@ def test_terms_said_often_are_few_entries(spark):
     assert sum(len(r["bag"]) for r in bags) == 5 + 6 + 1 + 1
 
 
+def test_terms_are_drawn_by_themselves():
+    words = pa.array([f"en\0{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}é" for a in range(26) for b in range(26) for c in range(26)])
+    drawn = source_divergence._drawn(words, 8)
+    assert (source_divergence._drawn(words[5000:], 8) == drawn[5000:]).all() and source_divergence._drawn(words, 1).all()
+    assert 0.5 < drawn.mean() * 8 < 1.5 and not len(source_divergence._drawn(words[:0], 8))
+
+
 def test_sums_in_blocks(small, monkeypatch):
     """Sums that a task hands on before its end, of many blocks."""
     schema = "lang string, source string, block long, places binary, n binary"
