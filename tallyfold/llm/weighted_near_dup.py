@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, cut, pack, pack_texts, prepare, remembers, slices, trim, unpack, unpack_texts
+from .common import claim, cut, given_back, pack, pack_texts, prepare, remembers, slices, trim, unpack, unpack_texts
 from .components import components
 from .shingles import U, distinct_shingles, mix
 
@@ -93,7 +93,7 @@ def text_slices(own: DataFrame) -> DataFrame:
         if texts:
             yield out()
 
-    return cut(own.select("text", "node").mapInArrow(run, "slice long, nodes binary, sizes array<long>, texts binary"), "slices")
+    return cut(own.select("text", "node").mapInArrow(given_back(run), "slice long, nodes binary, sizes array<long>, texts binary"), "slices")
 
 
 def shingle_parts(texts: list[bytes]) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -128,7 +128,7 @@ def document_counts(sliced: DataFrame, size: int) -> DataFrame:
         parts = [pack(x) for x in np.split(df, np.cumsum([len(x) for x in hashes])[:-1])]
         return pa.table({"slice": table.column("slice"), "range": table.column("range"), "df": pa.array(parts, pa.binary())})
 
-    packed = sliced.select("slice", "sizes", "texts").mapInArrow(dealt, "slice long, range long, hashes binary, counts binary")
+    packed = sliced.select("slice", "sizes", "texts").mapInArrow(given_back(dealt), "slice long, range long, hashes binary, counts binary")
     counted = packed.groupBy("range").applyInArrow(summed, "slice long, range long, df binary")
     return counted.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("range", "df"))).alias("found"))
 
@@ -151,7 +151,11 @@ def _draws() -> tuple[np.ndarray, np.ndarray]:
     return codes.ravel(), steps.ravel()
 
 
-remembers(__name__, lambda: _draws.cache_clear())
+def _forget() -> None:
+    _draws.cache_clear()
+
+
+remembers(__name__, _forget)
 
 
 @lru_cache(2)
@@ -220,7 +224,7 @@ def signed_vectors(own: DataFrame, n: int, size: int) -> DataFrame:
                     ], names=["node", "keys", "hashes", "weights", "single", "total"])
 
     joined = sliced.join(document_counts(sliced, size), "slice").select("nodes", "sizes", "texts", "found")
-    return cut(joined.mapInArrow(run, "node binary, keys array<long>, hashes binary, weights binary, single double, total double"), "signed-vectors")
+    return cut(joined.mapInArrow(given_back(run, _forget), "node binary, keys array<long>, hashes binary, weights binary, single double, total double"), "signed-vectors")
 
 
 def fine_signatures(texts: DataFrame, n: int) -> DataFrame:
@@ -237,7 +241,7 @@ def fine_signatures(texts: DataFrame, n: int) -> DataFrame:
                 keys = band_keys(samples(h, w, counts, FINE_BANDS * FINE_ROWS), FINE_BANDS, FINE_ROWS).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([node], pa.binary()), pa.array([keys.ravel()], pa.list_(pa.int64()))], names=["node", "keys"])
 
-    return texts.select("text", "node", "hashes", "weights").mapInArrow(run, "node binary, keys array<long>")
+    return texts.select("text", "node", "hashes", "weights").mapInArrow(given_back(run, _forget), "node binary, keys array<long>")
 
 
 # --- exact comparison ----------------------------------------------------------------------------
@@ -269,7 +273,7 @@ def verified(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "wa", "hb", "wb", (F.col("ta") + F.col("tb")).alias("total"))
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(given_back(run), "a binary, b binary")
 
 
 def lone_weights(known: DataFrame) -> DataFrame:
