@@ -207,6 +207,33 @@ def test_successors_against_counts(spark):
                 at += 1
 
 
+def test_answers_are_shuffled_once_and_what_is_joined_goes(spark, monkeypatch):
+    """Each half and the held-out rows get their own answers only, once, and neither slices nor answers lie beside the joined rows."""
+    from tallyfold.sources import shared
+
+    joined, join = [], context_mixing.answered
+    monkeypatch.setattr(context_mixing, "answered", lambda sliced, known: joined.append((sliced, known)) or join(sliced, known))
+    left, fit = [], context_mixing.fit_mixer
+
+    def watched(*args):
+        left.append([x for x in shared._written if x not in before and x.rsplit("/", 1)[1].startswith(("slices-", "answers-"))])
+        return fit(*args)
+
+    monkeypatch.setattr(context_mixing, "fit_mixer", watched)
+    before, told, cut_ = set(shared._written), [], context_mixing.cut
+
+    def counted(df, name):
+        if name == "answered":
+            told.append([{r["slice"] for r in x.select("slice").collect()} for x in joined[-1]])
+        return cut_(df, name)
+
+    monkeypatch.setattr(context_mixing, "cut", counted)
+    rows = [(i, f"a b c w{i % 7}") for i in range(60)]
+    assert context_mixing.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string")).count() == 60
+    assert len(told) == 3 and all(own == answers and own for own, answers in told)
+    assert left == [[], []]
+
+
 def test_codes_are_prefix_free_and_tails_complete_them():
     codes = small_codes()
     share = sum(2.0 ** -codes.length[k] for k in range(6))
