@@ -87,15 +87,15 @@ class PriorityQueue:
         self.shift = max(0, math.ceil(math.log2(max(1, symbols / max(1, slots)))))
         self.slots = Slots(((symbols - 1) >> self.shift) + 1, budget)
 
-    def push(self, tuples: Tuples) -> None:
+    def push(self, tuples: Tuples, ordered: bool = False) -> None:
+        """``ordered``: the symbols do not fall."""
         slot = (tuples[0] >> self.shift).astype(np.uint16)  # 16 bits are sorted by radix
-        if len(slot) > 1:
+        if len(slot) > 1 and not ordered:
             order = np.argsort(slot, kind="stable")
             slot, tuples = slot[order], tuple(x[order] for x in tuples)
-        edges = np.r_[0, np.flatnonzero(slot[1:] != slot[:-1]) + 1, len(slot)].tolist()
-        for a, b in zip(edges, edges[1:]):
-            if a < b:
-                self.slots.put(int(slot[a]), tuple(x[a:b] for x in tuples))
+        edges = [0, *(np.flatnonzero(slot[1:] != slot[:-1]) + 1).tolist(), len(slot)]
+        for k, a, b in zip(slot[edges[:-1]].tolist() if len(slot) else [], edges, edges[1:]):
+            self.slots.put(k, (tuples[0][a:b], tuples[1][a:b], tuples[2][a:b]))
 
     def pop(self, slot: int) -> Tuples:
         tuples = self.slots.take(slot)
@@ -114,31 +114,29 @@ class Carried:
 
     def pushed(self, common: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Common prefixes of what is pushed: ``common`` are those of the suffixes that come out now (each with the one
-        before), ``at`` which of them push something, and under which ``symbols``."""
-        n = len(common)
-        tables = [common]
-        while 2 << (len(tables) - 1) <= n:
-            half = 1 << (len(tables) - 1)
-            tables.append(np.minimum(tables[-1][:-half], tables[-1][half:]))
-        out = np.empty(len(at), dtype=np.uint8)
+        before), ``at`` which of them push something, and under which ``symbols``, which do not fall (equal ones in the order
+        in which they come out)."""
+        n, out = len(common), np.empty(len(at), dtype=np.uint8)
         if len(at):
-            order = np.argsort(symbols.astype(np.uint16), kind="stable")
-            s, i = symbols[order], at[order]
-            first = np.r_[True, s[1:] != s[:-1]]
-            low = np.where(first, 0, np.r_[0, i[:-1] + 1])
-            level = np.frexp((i - low + 1).astype(np.float64))[1] - 1
-            value = np.empty(len(i), dtype=np.uint8)
-            for k in np.unique(level):
-                own = level == k
-                value[own] = np.minimum(tables[k][low[own]], tables[k][i[own] - (1 << int(k)) + 1])
-            value[first] = np.minimum(value[first], self.least[s[first]])
-            out[order] = np.minimum(value.astype(np.int64) + 1, LONGEST)
+            first = np.r_[True, symbols[1:] != symbols[:-1]]
+            low = np.where(first, 0, np.r_[0, at[:-1] + 1])
+            level = np.frexp((at - low + 1).astype(np.float64))[1] - 1
+            table, half = common, 1  # the least of ``half`` common prefixes from each place on
+            for k in range(int(level.max()) + 1):
+                if k:
+                    table, half = np.minimum(table[:-half], table[half:]), 2 * half
+                own = np.flatnonzero(level == k)
+                if len(own):
+                    out[own] = np.minimum(table[low[own]], table[at[own] - (half - 1)])
+            starts = np.flatnonzero(first)
+            out[starts] = np.minimum(out[starts], self.least[symbols[starts]])
+            np.minimum(out + np.uint8(1), LONGEST, out=out)
         if n:
             np.minimum(self.least, common.min(), out=self.least)
             if len(at):
-                last = np.flatnonzero(np.r_[s[1:] != s[:-1], True])
+                last = np.r_[starts[1:], len(at)] - 1
                 after = np.r_[np.minimum.accumulate(common[::-1])[::-1], np.uint8(LONGEST)]
-                self.least[s[last]] = after[i[last] + 1]
+                self.least[symbols[last]] = after[at[last] + 1]
         return out
 
 
@@ -167,29 +165,40 @@ class Level:
         sizes = np.r_[np.diff(stars) + 1, 1]
         bits = (2 * self.symbols + 1).bit_length()
         per = 64 // bits
+        coded = np.zeros(n + per, dtype=np.int32)
+        coded[:n] = self.text
+        coded[:n] += coded[:n] + self.rising + np.int32(1)
         rank, active, offset = np.zeros(len(stars), dtype=np.int64), np.arange(len(stars)), 0
         while len(active):
+            at, more = stars[active] + offset, sizes[active] - offset
             key = np.zeros(len(active), dtype=np.uint64)
-            for j in range(offset, offset + per):
-                at = np.minimum(stars[active] + j, n - 1)
-                coded = 2 * self.text[at].astype(np.uint64) + self.rising[at] + np.uint64(1)
-                key = key << np.uint64(bits) | np.where(j < sizes[active], coded, np.uint64(0))
-            order = np.lexsort((key, rank[active]))
-            active, key = active[order], key[order]
+            for j in range(per):
+                key <<= np.uint64(bits)
+                key |= np.where(j < more, coded[at + j], 0).view(np.uint32)
+            order = np.argsort(key)  # stretches that are equal so far are named alike, in whatever order they come
+            new = np.r_[True, (found := key[order])[1:] != found[:-1]]
+            if offset:  # inside the groups that were alike
+                key = np.empty(len(active), dtype=np.int64)
+                key[order] = np.cumsum(new)
+                key += rank[active] << 32
+                order = np.argsort(key)
+                new = np.r_[True, (found := key[order])[1:] != found[:-1]]
+            active = active[order]
             group = rank[active]
             new_group = np.r_[True, group[1:] != group[:-1]]
-            new = new_group | np.r_[True, key[1:] != key[:-1]]
             start, begin = np.flatnonzero(new), np.flatnonzero(new_group)
-            rank[active] = group + np.repeat(start, np.diff(np.r_[start, len(new)])) - np.repeat(begin, np.diff(np.r_[begin, len(new)]))
-            several = np.repeat(np.diff(np.r_[start, len(new)]) > 1, np.diff(np.r_[start, len(new)]))
+            alike = np.diff(np.r_[start, len(new)])
+            rank[active] = group + np.repeat(start, alike) - np.repeat(begin, np.diff(np.r_[begin, len(new)]))
             offset += per
-            active = active[several & (sizes[active] > offset)]
+            active = active[np.repeat(alike > 1, alike) & (sizes[active] > offset)]
         return rank
 
     def sorted_stars(self) -> np.ndarray:
         """The stars in the order of their suffixes."""
         rank = self.star_names()
-        names, dense = np.unique(rank, return_inverse=True)
+        there = np.zeros(len(rank), dtype=bool)
+        there[rank] = True
+        names, dense = np.flatnonzero(there), (np.cumsum(there) - 1)[rank]
         covered = 2 << self.level  # symbols of the first level that a name has at least
         if self.level + 1 >= LEVELS:
             n = len(rank)
@@ -210,52 +219,66 @@ class Level:
         """Slot by slot the suffixes that are induced there, in order.  ``extras`` gives a slot's further sources, which come
         after the induced ones of their symbol."""
 
-        def targets(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.flatnonzero(places > 0)
-            at = at[wanted[places[at] - 1]]
-            return at, symbol(self.text[places[at] - 1])
+        none = self.symbols  # where nothing is induced
+        left = np.full(len(self.text), none, dtype=self.text.dtype)
+        np.copyto(left[1:], symbol(self.text[:-1]), where=wanted[:-1])
 
         def pushes(places: np.ndarray, common: np.ndarray) -> Tuples:
-            at, symbols = targets(places)
-            return symbols, places[at] - 1, carried.pushed(common, at, symbols) if carried is not None else np.zeros(len(at), dtype=np.uint8)
+            symbols = left[places]
+            at = np.flatnonzero(symbols < none)
+            symbols = symbols[at].astype(np.int32)
+            order = np.argsort(symbols.astype(np.uint16) if none <= 1 << 16 else symbols, kind="stable")
+            at, symbols = at[order], symbols[order]
+            return symbols, places[at] - np.int32(1), carried.pushed(common, at, symbols) if carried is not None else np.zeros(len(at), dtype=np.uint8)
+
+        def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.argsort(np.concatenate([a, b]), kind="stable")  # equal symbols of ``a`` first
 
         for slot in range(queue.slots.n):
-            now, more, end, done = queue.pop(slot), extras(slot), (slot + 1) << queue.shift, []
+            # Besides the tuple, what each suffix induces.
+            now, more = ((*x, left[x[1]]) for x in (queue.pop(slot), extras(slot)))
+            end, done = (slot + 1) << queue.shift, []
             while len(now[0]) or len(more[0]):
                 low = min(int(x[0][0]) for x in (now, more) if len(x[0]))
                 high = low + 1
                 if queue.shift:  # below the least symbol that the slot's own suffixes induce, nothing comes in any more
-                    inside = [int(s.min()) for s in (targets(x[1])[1] for x in (now, more)) if len(s)]
-                    high = max(high, min(inside + [end]))
+                    high = max(high, min([end, *(int(x[3].min()) for x in (now, more) if len(x[0]))]))
                 a, b = (int(np.searchsorted(x[0], high)) for x in (now, more))
                 here, there = tuple(x[:a] for x in now), tuple(x[:b] for x in more)
-                now, more, entered = tuple(x[a:] for x in now), tuple(x[b:] for x in more), []
+                now, more = tuple(x[a:] for x in now), tuple(x[b:] for x in more)
                 if high > low + 1 and carried is None:
-                    order = np.argsort(np.r_[2 * here[0], 2 * there[0] + 1], kind="stable")
-                    done.append(here)
-                    entered.append(pushes(np.r_[here[1], there[1]][order], here[2]))
+                    done.append(here[:3])
+                    if b:
+                        order = merged(here[0], there[0])
+                        here = tuple(np.concatenate(x)[order] for x in zip(here, there))
+                    at = np.flatnonzero(here[3] < none)
+                    new = here[3][at], here[1][at] - np.int32(1), np.zeros(len(at), dtype=np.uint8)
+                    stays = new[0] < end
+                    queue.push(tuple(x[~stays] for x in new))
+                    entered = [tuple(x[stays] for x in new)]
                 else:  # one symbol: what it induces under itself follows at once
-                    last = None
+                    last, entered, here = None, [], here[:3]
                     while len(here[0]):
                         if carried is not None and last is None:
                             here = here[0], here[1], np.r_[np.uint8(0), here[2][1:]]
                         done.append(here)
                         last = int(here[1][-1])
                         new = pushes(here[1], here[2])
-                        same = new[0] == low
-                        entered.append(tuple(x[~same] for x in new))
-                        here = tuple(x[same] for x in new)
-                    if len(there[0]):
+                        same = int(np.searchsorted(new[0], low, "right"))
+                        entered.append(tuple(x[same:] for x in new))
+                        here = tuple(x[:same] for x in new)
+                    if b:
                         common = there[2].copy()
                         common[0] = 0 if last is None or carried is None else min(self.run(last), self.run(int(there[1][0])), LONGEST)
                         entered.append(pushes(there[1], common))
-                new = tuple(np.concatenate(x) for x in zip(*entered))
-                stays = new[0] < end
-                queue.push(tuple(x[~stays] for x in new))
-                if stays.any():
-                    now = tuple(np.concatenate([x, y[stays]]) for x, y in zip(now, new))
-                    order = np.argsort(now[0], kind="stable")
-                    now = tuple(x[order] for x in now)
+                    for k, new in enumerate(entered):
+                        stays = int(np.searchsorted(new[0], end))
+                        queue.push(tuple(x[stays:] for x in new), ordered=True)
+                        entered[k] = tuple(x[:stays] for x in new)
+                for new in entered:
+                    if len(new[0]):
+                        order = merged(now[0], new[0])
+                        now = tuple(np.concatenate(x)[order] for x in zip(now, (*new, left[new[1]])))
             yield slot, tuple(np.concatenate(x) for x in zip(*done)) if done else nothing()
 
     def suffixes(self, common_prefixes: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> Iterator[Tuples]:
@@ -278,7 +301,7 @@ class Level:
             return first[a:b], stars[a:b], common[a:b]
 
         falling = Slots(queue.slots.n, self.budget)
-        for slot, found in self._sweep(queue, ~self.rising, lambda s: s.astype(np.int32), seeds, None if wide else Carried(self.symbols)):
+        for slot, found in self._sweep(queue, ~self.rising, lambda s: s, seeds, None if wide else Carried(self.symbols)):
             if len(found[0]):
                 falling.put(slot, found)
         queue.slots.close()
@@ -307,7 +330,7 @@ class Level:
             current[0] = fallen(slot)
             return current[0]
 
-        for slot, up in self._sweep(queue, self.rising, lambda s: (top - s).astype(np.int32), sources, None if wide else Carried(self.symbols)):
+        for slot, up in self._sweep(queue, self.rising, lambda s: top - s, sources, None if wide else Carried(self.symbols)):
             down = current[0]
             if slot == queue.slots.n - 1 and not len(up[0]) + len(down[0]) and self.symbols > 1 and not wide:
                 continue

@@ -9,7 +9,8 @@ the text is first reduced to where repeats can be, without loss:
 2. Each group of documents deals its different anchors by hash, each once, with the smallest
    and the largest key; those that occur in one document only are dropped.
 3. The windows of the other anchors, a stretch of bytes each, are dealt by hash again, equal
-   stretches of a group once with their smallest and largest key.  The suffixes of a shard
+   stretches of a group once with their smallest and largest key.  Those of one document whose
+   windows lie nowhere else are left out.  The suffixes of the other stretches of a shard
    are put in order with their common prefixes by external induced sorting
    (``induced_sort``); neighbours with a common prefix of LENGTH bytes are equal windows, and
    the smallest key among them says from which documents they go.
@@ -261,6 +262,25 @@ def least_keys(data: np.ndarray, size: np.ndarray, smallest: np.ndarray, budget:
     return out
 
 
+def met_again(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of some stretches that lie end to end have a window that lies elsewhere too, by hash: all that do, and hardly another."""
+    out, ends, found = np.zeros(len(size), dtype=bool), np.cumsum(size), []
+    for a, b in slices(size.tolist(), SLICE_BYTES):
+        start = int(ends[a] - size[a])
+        h, power, width = _BYTE[data[start : int(ends[b - 1])]], int(_BYTE[255]) | 1, 1
+        while width * 2 <= LENGTH:
+            h = h[:-width] * U(power) + h[width:]
+            power, width = power * power % (1 << 64), width * 2
+        h = h[: len(h) - (LENGTH - width)] * U(3) + h[LENGTH - width :]
+        begin, windows = ends[a:b] - size[a:b] - start, size[a:b] - (LENGTH - 1)
+        found.append(h[np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())])
+    found, windows = np.concatenate(found), size - (LENGTH - 1)
+    order = np.argsort(found)
+    same = np.flatnonzero(found[order[1:]] == found[order[:-1]])
+    out[np.searchsorted(np.cumsum(windows), order[np.r_[same, same + 1]], "right")] = True
+    return out
+
+
 def repeated_windows(table: pa.Table, budget: int | None = None) -> pa.Table:
     """For one shard: runs of windows (stretch of the group, first window, end of the last, smallest key) whose smallest key is
     smaller than some key that the stretch has in the group."""
@@ -271,12 +291,17 @@ def repeated_windows(table: pa.Table, budget: int | None = None) -> pa.Table:
         raw, ends = zstandard.ZstdDecompressor().decompress(texts), np.cumsum(about[0]).tolist()
         of.append(np.array([seen.setdefault(raw[e - n : e], len(seen)) for e, n in zip(ends, about[0].tolist())], dtype=np.int64))
         keys.append(about[1])
-    smallest = np.full(len(seen), NO_KEY)
+    smallest, largest = np.full(len(seen), NO_KEY), np.full(len(seen), np.iinfo(np.int64).min)
     np.minimum.at(smallest, np.concatenate(of), np.concatenate(keys))
+    np.maximum.at(largest, np.concatenate(of), np.concatenate([about[2] for about in abouts]))
     data = np.frombuffer(b"".join(seen), dtype=np.uint8)
     size = np.array([len(x) for x in seen], dtype=np.int64)
     del seen
-    least = least_keys(data, size, smallest, budget)
+    # Stretches of one document without a window that lies elsewhere lose nothing, and nothing by them: they need no order.
+    kept = (smallest < largest) | met_again(data, size)
+    places = np.repeat(kept, size)
+    least = np.full(len(data), NO_KEY)
+    least[places] = least_keys(data[places], size[kept], smallest[kept], budget)
     begin = np.cumsum(size) - size
     # Runs of windows with one smallest key; the places after a stretch's last window part stretches.
     first = np.flatnonzero((least != NO_KEY) & np.r_[True, least[1:] != least[:-1]])

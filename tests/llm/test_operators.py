@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -856,3 +857,22 @@ def test_digests_of_op8_and_op10(spark, docs):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
     want = {k: (n, sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept).hexdigest()) for k, n, spans, kept in brute_repeats(list(texts.items()))}
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in entries.op10_suffix_repeats(spark, SF).collect()} == want
+
+
+def test_only_stretches_that_may_repeat_are_put_in_order(monkeypatch):
+    rng = random.Random(3)
+    alone, both, tail = ("".join(rng.choices("abcd ", k=n)).encode() for n in (80, 70, 9))
+    texts = [alone, both, both[12:] + tail, alone[:49] + b"x" * 20]  # of documents 4; 2 and 7; 5; 6
+    about = np.array([[len(t) for t in texts], [4, 2, 5, 6], [4, 7, 5, 6]], dtype=np.int64)
+    table = pa.table({"shard": pa.array([0], pa.int32()), "gid": pa.array([9]), "about": pa.array([suffix_repeats.pack(about)]), "texts": pa.array([suffix_repeats.pack(b"".join(texts))])})
+    given, least_keys = [], suffix_repeats.least_keys
+    monkeypatch.setattr(suffix_repeats, "least_keys", lambda data, *a: given.append(data.tobytes()) or least_keys(data, *a))
+    runs = suffix_repeats.unpack(suffix_repeats.repeated_windows(table).column("runs")[0].as_py()).reshape(4, -1)
+    assert given == [both + both[12:] + tail]
+    assert runs.T.tolist() == [[1, 0, 70, 2], [2, 0, 58, 2]]
+    for trial in range(20):  # against all windows
+        pool = ["".join(rng.choices("ab", k=60)) for _ in range(3)]
+        made = list({rng.choice(pool)[rng.randint(0, 10) :] + "".join(rng.choices("ab", k=rng.randint(40, 60))) for _ in range(8)})
+        windows = [{t[i : i + 50] for i in range(len(t) - 49)} for t in made]
+        got = suffix_repeats.met_again(np.frombuffer("".join(made).encode(), np.uint8), np.array([len(t) for t in made]))
+        assert got.tolist() == [any(w & o for j, o in enumerate(windows) if j != i) for i, w in enumerate(windows)]
