@@ -876,3 +876,23 @@ def test_only_stretches_that_may_repeat_are_put_in_order(monkeypatch):
         windows = [{t[i : i + 50] for i in range(len(t) - 49)} for t in made]
         got = suffix_repeats.met_again(np.frombuffer("".join(made).encode(), np.uint8), np.array([len(t) for t in made]))
         assert got.tolist() == [any(w & o for j, o in enumerate(windows) if j != i) for i, w in enumerate(windows)]
+
+
+def test_different_hashes_are_sought_once_and_own_numbers_are_those_of_training_rows(spark, monkeypatch):
+    """What a slice's counts found is used again for its codes, and nothing is sought for rows that are held out."""
+    calls, unique = [], np.unique
+    monkeypatch.setattr(context_mixing.np, "unique", lambda *a, **b: calls.append(len(a[0])) or unique(*a, **b))
+    t = context_mixing.Tokens([b"the cat sat on the mat", b"the cat sat on a hat"])
+    layout = context_mixing.Layout.of(100)
+    pairs = unique(t.pairs(layout.pair_bits) >> np.uint64(context_mixing.MARK_BITS))
+    found = [{"range": 0, "data": context_mixing.pack(np.ones(len(unique(t.h)), dtype=np.int64))}, {"range": 1, "data": context_mixing._joined(*[np.full(len(pairs), k) for k in (0, 5, 9)])}]
+    assert context_mixing.known_counts(t, found).tolist() == [1] * len(t.h)
+    times, seen, _ = context_mixing.successors(t, [True, True], found, layout)
+    assert times.tolist() == [5] * len(t.h) and seen.tolist() == [9] * len(t.h)
+    assert calls[-1] == 0  # all rows are held out
+    words = context_mixing.Vocabulary(unique(t.h)[::-1].copy(), np.full(len(unique(t.h)), 2))
+    sought, lookup = [], context_mixing.Vocabulary.lookup
+    monkeypatch.setattr(context_mixing.Vocabulary, "lookup", lambda self, h: sought.append(len(h)) or lookup(self, h))
+    codes = context_mixing.Codes.build(words, np.zeros(words.n, dtype=np.int64), 1, np.ones((257, 257), dtype=np.int64), 100)
+    context_mixing.Events(codes, t, (times, seen, np.zeros(len(t.h), dtype=bool)))
+    assert sought == [len(unique(t.h))] and sought[0] < len(t.h)
